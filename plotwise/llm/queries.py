@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plotwise.llm import mixing, tokens
+from plotwise.llm import addresses, mixing, tokens
 from plotwise.session import materialize
 from plotwise.sources.tables import table
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Properties at the same place although the address is written differently."""
+    return addresses.same_place(table(spark, sf, "property_master").select("id", "address"), table(spark, sf, "town_ref"))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     """The ids of every text by byte_bpe_50k."""
     return tokens.encode(table(spark, sf, "documents").select("doc_id", "text"))
@@ -39,6 +44,6 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.report(mixing.mix(sizes, targets), mixing.quotas(sizes, targets))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p7_decoded, p8_found, p8_mix, p8_report)}
+QUERIES = {f.__name__: f for f in (p5_found, p7_ids, p7_decoded, p8_found, p8_mix, p8_report)}
 
 SQL = {"p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
