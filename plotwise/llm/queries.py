@@ -4,11 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plotwise.llm import addresses, mixing, tokens
+from plotwise.llm import addresses, mixing, percentiles, tokens
 from plotwise.session import materialize
 from plotwise.sources.tables import table
 
 
+PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
+RATES = ("cap", "terminal_cap_rate")
+
+
+def p2_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact percentiles of the rates for each issuer and load, and (load_no 0) for each issuer over all loads."""
+    pp = table(spark, sf, "property_period").select("reit_code", "reit", "load_no", *RATES)
+    by_load = percentiles.percentiles(pp, ["reit_code", "load_no"], RATES, PROBS)
+    over_all = percentiles.percentiles(pp, ["reit_code"], RATES, PROBS).withColumn("load_no", F.lit(0))
+    spelled = pp.where("reit is not null").groupBy("reit_code", F.regexp_replace("reit", r"(?U)\s", "").alias("reit")).count()
+    names = spelled.groupBy("reit_code").agg(F.max_by("reit", F.struct("count", "reit")).alias("reit"))
+    rows = by_load.unionByName(over_all).alias("r").join(names.alias("m"), F.col("r.reit_code").eqNullSafe(F.col("m.reit_code")), "left")
+    return rows.select("r.reit_code", "m.reit", "load_no", "metric", "p", "n", F.round("value", 9).alias("value"))
+
+
+def p2_combined(spark: SparkSession, sf: str) -> DataFrame:
+    """Bounds of the percentiles over all loads, combined from the states of the separate loads."""
+    pp = table(spark, sf, "property_period").select("reit_code", "load_no", *RATES)
+    by_load = percentiles.sketch(pp, ["reit_code", "load_no"], RATES)
+    return percentiles.sketch_percentiles(percentiles.merge(by_load, ["reit_code"]), ["reit_code"], PROBS)
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Properties at the same place although the address is written differently."""
     return addresses.same_place(table(spark, sf, "property_master").select("id", "address"), table(spark, sf, "town_ref"))
@@ -44,6 +66,15 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.report(mixing.mix(sizes, targets), mixing.quotas(sizes, targets))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p7_ids, p7_decoded, p8_found, p8_mix, p8_report)}
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_combined, p5_found, p7_ids, p7_decoded, p8_found, p8_mix, p8_report)}
+
+_LONG = " UNION ALL ".join(f"SELECT reit_code, load_no, '{c}' AS metric, {c} AS x FROM property_period WHERE {c} IS NOT NULL AND NOT isnan({c})" for c in RATES)
+_PROBS = ", ".join(f"({p}::DOUBLE)" for p in PROBS)
 
-SQL = {"p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
+SQL = {
+    "p2_percentiles": f"""WITH long AS ({_LONG}), g AS (SELECT reit_code, load_no, metric, list(x ORDER BY x) AS xs FROM long GROUP BY reit_code, load_no, metric UNION ALL SELECT reit_code, 0, metric, list(x ORDER BY x) FROM long GROUP BY reit_code, metric),
+      names AS (SELECT reit_code, arg_max(reit, struct_pack(n := n, r := reit)) AS reit FROM (SELECT reit_code, regexp_replace(reit, '[\\s　]', '', 'g') AS reit, count(*) AS n FROM property_period WHERE reit IS NOT NULL GROUP BY 1, 2) GROUP BY reit_code),
+      v AS (SELECT reit_code, load_no, metric, p, len(xs) AS n, xs, (len(xs) - 1) * p AS pos FROM g, (VALUES {_PROBS}) AS q(p))
+      SELECT v.reit_code, names.reit, load_no, metric, p, n, round(xs[CAST(floor(pos) AS BIGINT) + 1] + (xs[CAST(ceil(pos) AS BIGINT) + 1] - xs[CAST(floor(pos) AS BIGINT) + 1]) * (pos - floor(pos)), 9) AS value FROM v LEFT JOIN names ON v.reit_code IS NOT DISTINCT FROM names.reit_code""",
+    "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+}
