@@ -29,6 +29,8 @@ BY_WORDS, BY_POSTAL = 0.55, 0.2
 #: Every n-gram counts as if it were in one wording of so many more, so that a slip's unheard-of n-grams don't outweigh the rest.
 SMOOTHING = 500
 PREFIX_REST = 0.5
+#: Wordings that a task compares with the gazetteer.
+TASK_WORDINGS = 400
 #: What an agreeing postal code counts against cosine when towns compete.
 POSTAL_BONUS = 0.35
 
@@ -117,10 +119,14 @@ def resolve(wordings: DataFrame, towns: DataFrame, by_words: float = BY_WORDS, b
     # candidates share in them then rules nearly all out before any vector is compared.
     tail = F.transform("v", lambda _, i: F.sqrt(F.aggregate(F.slice("v", i + 1, 1 << 20), F.lit(0.0), lambda s, y: s + y["w"] * y["w"])))
     mine = materialize(mine.select("words", "v", tail.alias("tail")).withColumn("rest", F.coalesce(F.array_max(F.filter("tail", lambda t: t < by_words * PREFIX_REST)), F.lit(0.0))).withColumn("x", F.monotonically_increasing_id()))
-    probes = mine.select("x", "rest", F.explode(F.arrays_zip(F.col("v").alias("v"), F.col("tail").alias("t"))).alias("z")).where(F.col("z.t") > F.col("rest")).select("x", "rest", "z.v.g", "z.v.w")
+    # All probes of a wording stay in one task, so what they share with a candidate adds up without a shuffle.
+    parts = max(int(wordings.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-mine.count() // TASK_WORDINGS))
+    probes = mine.repartition(parts, "x").select("x", "rest", F.explode(F.arrays_zip(F.col("v").alias("v"), F.col("tail").alias("t"))).alias("z")).where(F.col("z.t") > F.col("rest")).select("x", "rest", "z.v.g", "z.v.w")
     after = F.transform("v", lambda _, i: F.sqrt(F.aggregate(F.slice("v", i + 2, 1 << 20), F.lit(0.0), lambda s, y: s + y["w"] * y["w"])))
     index = of_hub.select("y", F.explode(F.arrays_zip(F.col("v").alias("v"), after.alias("t"))).alias("z")).select("y", "z.v.g", F.col("z.v.w").alias("hub_w"), F.col("z.t").alias("after"))
-    met = probes.join(index, "g").groupBy("x", "y").agg(F.sum(F.col("w") * F.col("hub_w")).alias("part"), F.max("rest").alias("rest"), F.min("after").alias("after"))
+    lists = materialize(index.groupBy("g").agg(F.collect_list(F.struct("y", "hub_w", "after")).alias("ys")))  # as large as the gazetteer
+    index = broadcast_if_small(lists, F.lit(32) + 24 * F.size("ys"))
+    met = probes.join(index, "g").select("x", "rest", "w", F.inline("ys")).groupBy("x", "y").agg(F.sum(F.col("w") * F.col("hub_w")).alias("part"), F.max("rest").alias("rest"), F.min("after").alias("after"))
     by_gram = met.where(F.col("part") + F.col("rest") * F.col("after") >= by_words - 1e-9).select("x", "y")
     by_gram = by_gram.join(mine.select("x", "words"), "x").join(of_hub.select("y", F.col("words").alias("hub_words")), "y").select("words", "hub_words")
     names = broadcast_if_small(hub, 150)
