@@ -25,7 +25,7 @@ _TRIPLE = rf"({_NUM})\s*(?:丁目|[\s-]*(?:chome|cho-me)|-|の|ノ)[\s-]*({_NUM}
 _POSTAL = r"(?:〒\s*|\A\s*|[\s,])([0-9]{3}-?[0-9]{4})(?=[^0-9-]|\z)|〒\s*([0-9]{3}-?[0-9]{4})"
 
 #: Cosine that a wording must reach to be taken for a town on its words alone, and where the postal code agrees.
-BY_WORDS, BY_POSTAL = 0.55, 0.2
+BY_WORDS, BY_POSTAL = 0.55, 0.03
 #: Every n-gram counts as if it were in one wording of so many more, so that a slip's unheard-of n-grams don't outweigh the rest.
 SMOOTHING = 500
 PREFIX_REST = 0.5
@@ -74,15 +74,15 @@ def parsed(df: DataFrame, key: str, address: str) -> DataFrame:
 
 
 def gazetteer(towns: DataFrame) -> DataFrame:
-    """(town, words, postal): each town in the writings an address may use, with and without prefecture and city.
+    """(town, words, postal): each town in the writings an address may use, with and without the prefecture.
 
     town_ref: postal_code, prefecture, city, town and their Latin forms. Folded as addresses are.
     """
     f = lambda c: folded(F.coalesce(F.col(c), F.lit("")))
     ja, la = [f("prefecture"), f("city"), f("town")], [f("prefecture_latin"), f("city_latin"), f("town_latin")]
-    forms = [_words(F.concat(*ja[k:])) for k in range(3)] + [_words(F.concat_ws(" ", *la[k:])) for k in range(3)]
+    forms = [_words(F.concat(*ja[k:])) for k in range(2)] + [_words(F.concat_ws(" ", *la[k:])) for k in range(2)]
     town = F.concat_ws("|", f("prefecture"), f("city"), f("town"))
-    rows = towns.select(town.alias("town"), F.explode(F.array(*forms)).alias("words"), F.regexp_replace("postal_code", "-", "").alias("postal"))
+    rows = towns.select(town.alias("town"), F.explode(F.array(*forms)).alias("words"), F.regexp_replace(F.coalesce("postal_code", F.lit("")), "-", "").alias("postal"))
     return rows.where("words <> ''").distinct()
 
 
@@ -96,51 +96,55 @@ def grams(words: Column) -> Column:
     return F.array_distinct(F.when(words.rlike("^[a-z ]+$"), latin).otherwise(F.concat(cut(words, 1), cut(words, 2))))
 
 
-def _vectors(rows: DataFrame, weights: DataFrame, key: list[str]) -> DataFrame:
-    """rows with v, their unit vectors: an array of (o, w, g), rarest n-gram first."""
-    long = rows.select(*key, F.explode(grams(F.col("words"))).alias("g")).join(weights, "g")
-    v = long.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("o", "g", "w"))).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return v.select(*key, F.transform("v", lambda x: F.struct(x["o"].alias("o"), (x["w"] / F.col("norm")).alias("w"), x["g"].alias("g"))).alias("v"))
+def _vectors(rows: DataFrame, weights: DataFrame, key: str) -> DataFrame:
+    """(key, v): unit vectors, an array of (g, w) with the rarest n-gram first; g is its place in that order."""
+    long = rows.select(key, F.explode(grams(F.col("words"))).alias("gram")).join(weights, "gram")
+    v = long.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("g", "w"))).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return v.select(key, F.transform("v", lambda x: F.struct(x["g"].alias("g"), (x["w"] / F.col("norm")).alias("w"))).alias("v"))
+
+
+def _tails(start: int) -> Column:
+    """For each n-gram of v the length of the rest of the vector, from it (1) or after it (2)."""
+    return F.transform("v", lambda _, i: F.sqrt(F.aggregate(F.slice("v", i + start, 1 << 20), F.lit(0.0), lambda s, y: s + y["w"] * y["w"])))
 
 
 def resolve(wordings: DataFrame, towns: DataFrame, by_words: float = BY_WORDS, by_postal: float = BY_POSTAL, bonus: float = POSTAL_BONUS) -> DataFrame:
     """(words, postal, town, cosine): the town of each distinct wording; ties between towns and too low cosines leave no row."""
-    hub = materialize(gazetteer(towns))
-    seen = wordings.select("words").distinct()
-    texts = seen.unionByName(hub.select("words").distinct())
-    count = texts.count()
-    df = texts.select(F.explode(grams(F.col("words"))).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    # The order of the prefix filter: rare n-grams first, equal ones by text.
-    weights = materialize(df.select("g", F.log(1 + F.lit(float(count)) / (F.col("df") + count / SMOOTHING)).alias("w"), F.col("df").alias("o")))
-    of_hub = materialize(_vectors(hub.select("words").distinct(), weights, ["words"]).withColumn("y", F.monotonically_increasing_id()))
-    mine = _vectors(seen, weights, ["words"])
+    spark = wordings.sparkSession
+    hub = materialize(gazetteer(towns).withColumn("y", F.monotonically_increasing_id()))
+    seen = materialize(wordings.select("words", "postal").distinct().withColumn("x", F.monotonically_increasing_id()))
+    texts = seen.select("words").unionByName(hub.select("words")).distinct()
+    df = materialize(texts.select(F.explode(F.concat(F.array(F.lit("")), grams(F.col("words")))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df")))
+    count = float(df.where("gram = ''").agg(F.coalesce(F.max("df"), F.lit(1))).first()[0])
+    # The order of the prefix filter: rare n-grams first; equal ones by a hash. g orders and names an n-gram.
+    g = F.shiftleft("df", 40) + F.pmod(F.xxhash64("gram"), F.lit(1 << 40))
+    weights = broadcast_if_small(materialize(df.where("gram <> ''").select("gram", F.log(1 + count / (F.col("df") + count / SMOOTHING)).alias("w"), g.alias("g"))), 80)
+    of_hub = materialize(_vectors(hub, weights, "y").join(hub.select("y", "town", "postal"), "y"))
     # Whoever reaches the cosine shares an n-gram of the prefix, since the rest of the vector is shorter. The prefix is taken
     # longer than that, until the rest is PREFIX_REST of the cosine: its n-grams are still among the rarer ones, and what
     # candidates share in them then rules nearly all out before any vector is compared.
-    tail = F.transform("v", lambda _, i: F.sqrt(F.aggregate(F.slice("v", i + 1, 1 << 20), F.lit(0.0), lambda s, y: s + y["w"] * y["w"])))
-    mine = materialize(mine.select("words", "v", tail.alias("tail")).withColumn("rest", F.coalesce(F.array_max(F.filter("tail", lambda t: t < by_words * PREFIX_REST)), F.lit(0.0))).withColumn("x", F.monotonically_increasing_id()))
+    mine = _vectors(seen, weights, "x").withColumn("tail", _tails(1)).withColumn("rest", F.coalesce(F.array_max(F.filter("tail", lambda t: t < by_words * PREFIX_REST)), F.lit(0.0)))
+    mine = materialize(mine.join(seen, "x"))
+    lists = of_hub.select("y", F.explode(F.arrays_zip(F.col("v").alias("v"), _tails(2).alias("t"))).alias("z")).groupBy("z.v.g").agg(F.collect_list(F.struct("y", F.col("z.v.w").alias("hub_w"), F.col("z.t").alias("after"))).alias("ys"))
+    lists = broadcast_if_small(materialize(lists), F.lit(32) + 24 * F.size("ys"))
     # All probes of a wording stay in one task, so what they share with a candidate adds up without a shuffle.
-    parts = max(int(wordings.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-mine.count() // TASK_WORDINGS))
-    probes = mine.repartition(parts, "x").select("x", "rest", F.explode(F.arrays_zip(F.col("v").alias("v"), F.col("tail").alias("t"))).alias("z")).where(F.col("z.t") > F.col("rest")).select("x", "rest", "z.v.g", "z.v.w")
-    after = F.transform("v", lambda _, i: F.sqrt(F.aggregate(F.slice("v", i + 2, 1 << 20), F.lit(0.0), lambda s, y: s + y["w"] * y["w"])))
-    index = of_hub.select("y", F.explode(F.arrays_zip(F.col("v").alias("v"), after.alias("t"))).alias("z")).select("y", "z.v.g", F.col("z.v.w").alias("hub_w"), F.col("z.t").alias("after"))
-    lists = materialize(index.groupBy("g").agg(F.collect_list(F.struct("y", "hub_w", "after")).alias("ys")))  # as large as the gazetteer
-    index = broadcast_if_small(lists, F.lit(32) + 24 * F.size("ys"))
-    met = probes.join(index, "g").select("x", "rest", "w", F.inline("ys")).groupBy("x", "y").agg(F.sum(F.col("w") * F.col("hub_w")).alias("part"), F.max("rest").alias("rest"), F.min("after").alias("after"))
-    by_gram = met.where(F.col("part") + F.col("rest") * F.col("after") >= by_words - 1e-9).select("x", "y")
-    by_gram = by_gram.join(mine.select("x", "words"), "x").join(of_hub.select("y", F.col("words").alias("hub_words")), "y").select("words", "hub_words")
-    names = broadcast_if_small(hub, 150)
-    found = wordings.join(by_gram, "words").join(names.withColumnRenamed("words", "hub_words").withColumnRenamed("postal", "hub_postal"), "hub_words").select("words", "postal", "hub_words", "town", "hub_postal")
-    coded = wordings.where("postal <> ''").join(names.withColumnRenamed("words", "hub_words").withColumn("hub_postal", F.col("postal")), "postal").select("words", "postal", "hub_words", "town", "hub_postal")
-    both = found.where("postal <> hub_postal").unionByName(coded)
-    dot = F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"] * F.coalesce(F.try_element_at(F.col("m"), x["g"]), F.lit(0.0)))
-    maps = of_hub.select(F.col("words").alias("hub_words"), F.map_from_entries(F.transform("v", lambda x: F.struct(x["g"], x["w"]))).alias("m"))
-    scored = both.join(mine.select("words", "v"), "words").join(broadcast_if_small(maps, 1000), "hub_words").select("words", "postal", "town", dot.alias("cosine"), (F.col("postal") == F.col("hub_postal")).alias("coded"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-mine.count() // TASK_WORDINGS))
+    placed = mine.repartition(parts, "x")
+    probes = placed.select("x", "rest", F.explode(F.arrays_zip(F.col("v").alias("v"), F.col("tail").alias("t"))).alias("z")).where(F.col("z.t") > F.col("rest")).select("x", "rest", "z.v.g", "z.v.w")
+    met = probes.join(lists, "g").select("x", "rest", "w", F.inline("ys")).groupBy("x", "y").agg(F.sum(F.col("w") * F.col("hub_w")).alias("part"), F.max("rest").alias("rest"), F.min("after").alias("after"))
+    near = met.where(F.col("part") + F.col("rest") * F.col("after") >= by_words - 1e-9).select("x", "y")
+    maps = of_hub.select("y", "town", F.col("postal").alias("code"), F.map_from_entries(F.transform("v", lambda e: F.struct(e["g"], e["w"]))).alias("m"))
+    maps = broadcast_if_small(materialize(maps), F.lit(100) + 24 * F.size("m"))
+    by_grams = near.join(maps, "y").join(placed.select("x", "v", "postal"), "x")
+    by_code = mine.where("postal <> ''").select("x", "v", "postal").join(maps, F.col("postal") == F.col("code"))
+    dot = F.aggregate("v", F.lit(0.0), lambda s, e: s + e["w"] * F.coalesce(F.try_element_at(F.col("m"), e["g"]), F.lit(0.0)))
+    coded = (F.col("postal") == F.col("code")) & (F.col("postal") != "")
+    scored = by_grams.select("x", "town", dot.alias("cosine"), coded.alias("coded")).unionByName(by_code.select("x", "town", dot.alias("cosine"), coded.alias("coded")))
     scored = scored.where((F.col("cosine") >= by_words) | (F.col("coded") & (F.col("cosine") >= by_postal)))
-    best = scored.groupBy("words", "postal", "town").agg(F.max(F.round(F.col("cosine") + F.when(F.col("coded"), bonus).otherwise(0.0), 9)).alias("score"), F.max("cosine").alias("cosine"))
-    top = best.groupBy("words", "postal").agg(F.max(F.struct("score", "town", "cosine")).alias("top"))
-    ties = best.join(top.select("words", "postal", F.col("top.score").alias("score")), ["words", "postal", "score"]).groupBy("words", "postal").agg(F.count(F.lit(1)).alias("ties"))
-    return top.join(ties, ["words", "postal"]).where("ties = 1").select("words", "postal", "top.town", "top.cosine")
+    one = F.struct(F.round(F.col("cosine") + F.when(F.col("coded"), bonus).otherwise(0.0), 9).alias("score"), "town", "cosine")
+    top = scored.groupBy("x").agg(F.max(one).alias("top"), F.collect_set(one).alias("all"))
+    clear = ~F.exists("all", lambda e: (e["score"] == F.col("top.score")) & (e["town"] != F.col("top.town")))
+    return top.where(clear).join(seen, "x").select("words", "postal", "top.town", "top.cosine")
 
 
 def located(df: DataFrame, towns: DataFrame, key: str = "id", address: str = "address") -> DataFrame:
