@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plotwise.llm import addresses, mixing, percentiles, tokens
+from plotwise.llm import addresses, mixing, percentiles, subjects, tokens
 from plotwise.session import materialize
 from plotwise.sources.tables import table
 
@@ -66,7 +66,18 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.report(mixing.mix(sizes, targets), mixing.quotas(sizes, targets))
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_combined, p5_found, p7_ids, p7_decoded, p8_found, p8_mix, p8_report)}
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The subjects of every document."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source", "reit_code")
+    return subjects.subjects_of(docs, table(spark, sf, "subject_label"), table(spark, sf, "subject_ref"))
+
+
+def p9_composition(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus counted by subject."""
+    return p9_found(spark, sf).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_combined, p5_found, p7_ids, p7_decoded, p8_found, p8_mix, p8_report, p9_found, p9_composition)}
 
 _LONG = " UNION ALL ".join(f"SELECT reit_code, load_no, '{c}' AS metric, {c} AS x FROM property_period WHERE {c} IS NOT NULL AND NOT isnan({c})" for c in RATES)
 _PROBS = ", ".join(f"({p}::DOUBLE)" for p in PROBS)
