@@ -160,5 +160,5 @@ def same_place(df: DataFrame, towns: DataFrame, key: str = "id", address: str =
 
     Null keys and addresses, and addresses without three numbers, take no part; repeated rows count once.
     """
-    pairs = pairs_by_key(located(df, towns, key, address), ["town", "n1", "n2", "n3"], "rid")
+    pairs = pairs_by_key(materialize(located(df, towns, key, address)), ["town", "n1", "n2", "n3"], "rid")
     return pairs.select(F.col("a").alias("id_a"), F.col("b").alias("id_b")).distinct()
