@@ -94,7 +94,8 @@ def percent(part: Column, whole: Column) -> Column:
 
 def scaled_difference(a: Column, b: Column, scale: float, weight: float) -> Column:
     """Penalty of a difference, full from `scale` on; half where a value is missing."""
-    return F.coalesce(F.least(F.abs(a - b) / scale, F.lit(1.0)) * weight, F.lit(weight / 2))
+    off = F.abs(a - b) / scale  # least() would pass over a null
+    return F.when(off.isNull(), F.lit(weight / 2)).otherwise(F.least(off, F.lit(1.0)) * weight)
 
 
 def ratio_difference(a: Column, b: Column, weight: float) -> Column:

@@ -15,7 +15,7 @@ def score(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """100 less the penalties for distance, area, price, rates and occupancy, rounded half up, at least 0."""
     km = F.when(valid_coordinate(a["lat"], a["lng"]) & valid_coordinate(b["lat"], b["lng"]), F.round(haversine_km(a["lat"], a["lng"], b["lat"], b["lng"]), 6))
     v = {c: (finite(a[c]), finite(b[c])) for c in _FIELDS}
-    lost = F.coalesce(F.least(km / 50, F.lit(1.0)) * 30, F.lit(15.0)) + ratio_difference(*v["leasable_area"], 20) + ratio_difference(*v["price"], 10)
+    lost = F.when(km.isNull(), F.lit(15.0)).otherwise(F.least(km / 50, F.lit(1.0)) * 30) + ratio_difference(*v["leasable_area"], 20) + ratio_difference(*v["price"], 10)
     lost = lost + scaled_difference(*v["cap"], 1.5, 15) + scaled_difference(*v["terminal_cap_rate"], 1.5, 15) + scaled_difference(*v["occupancy"], 10, 10)
     return F.greatest(F.lit(0.0), F.floor(F.round(100 - lost, 9) + 0.5)).cast("int")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plotwise.functions import scalars as S
 from plotwise.functions.scalars import METRICS
-from plotwise.operators import changes, evidence, quality, search, similarity, timeseries
+from plotwise.operators import cells, changes, evidence, matching, quality, search, similarity, timeseries
 from plotwise.session import materialize
 from plotwise.sources.tables import table
 from plotwise.streaming import half_year
@@ -235,8 +235,8 @@ def q_coordinates(spark, sf):
 
 
 def q_area(spark, sf):
-    """Leased area beyond the leasable area."""
-    return quality.area_exceeded(periods(spark, sf), "pos")
+    """Leased area beyond 99 % of the leasable area."""
+    return quality.area_exceeded(periods(spark, sf), "pos", 0.99)
 
 
 def q_evidence(spark, sf):
@@ -273,10 +273,10 @@ def _sides(spark, sf):
 
 
 def c_entities(spark, sf):
-    """Properties added and removed between the datasets."""
-    a, b = _sides(spark, sf)
-    d = changes.diff_rows(a.select("property_id").distinct(), b.select("property_id").distinct(), ["property_id"])
-    return d.where("change <> 'shared'")
+    """Properties added and removed between the first and the last delivery."""
+    ps = table(spark, sf, "property_snapshot")
+    ids = lambda n: ps.where(F.col("snapshot_no") == n).select(F.lower(F.trim("id")).alias("id")).distinct()
+    return changes.diff_rows(ids(1), ids(5), ["id"]).where("change <> 'shared'")
 
 
 def c_periods(spark, sf):
@@ -335,9 +335,9 @@ def j_latest_review(spark, sf):
     return evidence.with_reviews(e.select("evidence_id", key.alias("k")), ledger, "k", "o").select("evidence_id", "status")
 
 
-def j_unmatched_documents(spark, sf):
-    """Documents that no evidence cites."""
-    return evidence.unmatched(table(spark, sf, "source_document"), table(spark, sf, "source_evidence"), "document_id", "source_document_id").select("document_id", "reit_code")
+def j_unmatched_snapshots(spark, sf):
+    """Rows of deliveries whose id, as written, isn't that of a property."""
+    return evidence.unmatched(table(spark, sf, "property_snapshot"), table(spark, sf, "property_master"), "id", "id").select("row_id", "id")
 
 
 def a_catalog(spark, sf):
@@ -419,11 +419,70 @@ def x_period_key(spark, sf):
     return periods(spark, sf).select("pos", key.alias("key"), S.half_year(key).alias("bucket"), S.half_year_label(S.half_year(key)).alias("bucket_label"), S.period_label(F.col("as_of_date"), F.col("period"), F.col("period_no"), key).alias("label"), S.period_end(F.col("period_no")).alias("closing"))
 
 
+# --- cells and names ------------------------------------------------------------------------------------------------------
+
+
+def _cells(spark, sf):
+    e = table(spark, sf, "source_evidence").where("source_document_id is not null and locator.sheet is not null")
+    ref = F.col("locator.cell")
+    return e.where(ref.rlike(r"\A[A-Z]{1,3}[0-9]+\z")).select(F.col("source_document_id").alias("doc"), "locator.sheet", F.regexp_extract(ref, "[A-Z]+", 0).alias("col"), F.regexp_extract(ref, "[0-9]+", 0).cast("int").alias("row"), F.col("field").alias("value"), "evidence_id")
+
+
+def p_find_row(spark, sf):
+    """The first row, up to the 200th, of each sheet that has a cap rate."""
+    return cells.find_row(_cells(spark, sf), ["doc", "sheet"], F.col("value") == "cap", 200)
+
+
+def p_header_map(spark, sf):
+    """The columns of the fields in the first row of each sheet."""
+    c = _cells(spark, sf)
+    return cells.header_map(c, ["doc", "sheet"], cells.find_row(c, ["doc", "sheet"], F.lit(True), 1 << 30))
+
+
+def p_wide_to_long(spark, sf):
+    """Rates of periods, wide to long, rows without any value left out."""
+    return cells.wide_to_long(periods(spark, sf), ["pos"], {"direct": {"rate": "cap", "amount": "appraisal"}, "discounted": {"rate": "discount_rate", "amount": "book_value"}}, "method").where("not isnan(coalesce(rate, 0))")
+
+
+def j_same_row(spark, sf):
+    """Boxes right of a cap rate's box in the same line of a page."""
+    e = table(spark, sf, "source_evidence").where("source_document_id is not null and locator.page is not null and size(locator.bbox) = 4")
+    b = F.col("locator.bbox")
+    w = e.select(F.col("source_document_id").alias("doc"), "locator.page", F.col("evidence_id").alias("word_id"), "field", b[0].alias("x0"), b[1].alias("top"), b[2].alias("x1"), b[3].alias("bottom"))
+    return cells.same_row_numbers(w, ["doc"], F.col("field").isin("cap", "noi"), ~F.col("field").isin("cap", "noi"))
+
+
+def j_nearest_number(spark, sf):
+    """The box nearest to each cap rate's box."""
+    e = table(spark, sf, "source_evidence").where("source_document_id is not null and size(locator.bbox) = 4")
+    b = F.col("locator.bbox")
+    w = e.select(F.col("source_document_id").alias("doc"), F.col("evidence_id").alias("word_id"), "field", b[0].alias("x0"), b[1].alias("top"), b[2].alias("x1"), b[3].alias("bottom"))
+    return cells.nearest_number(w, ["doc"], F.col("field").isin("cap", "noi"), ~F.col("field").isin("cap", "noi"))
+
+
+def u_missing_required(spark, sf):
+    """Fields that a document with sheets has no cell for."""
+    c = _cells(spark, sf)
+    required = c.select("doc").distinct().select("doc", F.explode(F.array(*map(F.lit, M))).alias("value"))
+    return cells.missing_names(required, c, ["doc"], "value")
+
+
+def c_layout_fingerprint(spark, sf):
+    """A digest of the sheets of each document."""
+    return cells.layout_fingerprint(a_layout(spark, sf), ["source_document_id"], ["sheet", "max_row", "max_column", "non_empty_cells"])
+
+
+def j_name_match(spark, sf):
+    """Names of delivered properties that contain a property's name, or are contained in one."""
+    return matching.contained_names(table(spark, sf, "property_master"), table(spark, sf, "property_snapshot"))
+
+
 QUERIES = {f.__name__: f for f in (
     s_facets, f_search_text, f_equality, f_ranges, f_bounds, f_radius, o_sort_nulls_last, o_bounded_selection, k_csv_lines, x_bands, m_comparables, t_raw_series, t_half_year_series, t_timeline, t_grid, t_segments, t_gap_edges,
     t_band_segments, a_distribution, t_latest_snapshot, t_summary, t_prior_delta, p_spread, t_recent, t_stream_half_year, q_duplicates, q_required, q_ranges, q_coordinates, q_area, q_evidence, q_by_metric, q_by_group, q_first_issues,
-    c_entities, c_periods, c_metrics, c_by_metric, c_master, c_fingerprint, e_build, a_review_summary, j_latest_review, j_unmatched_documents, a_catalog, a_layout, p_layout_status, a_recon, a_history_hist, j_previous_run, u_union_sources,
+    c_entities, c_periods, c_metrics, c_by_metric, c_master, c_fingerprint, e_build, a_review_summary, j_latest_review, j_unmatched_snapshots, a_catalog, a_layout, p_layout_status, a_recon, a_history_hist, j_previous_run, u_union_sources,
     x_clean_name, x_labelled_number, x_numeric_text, x_evidence_id, x_period_key,
+    p_find_row, p_header_map, p_wide_to_long, j_same_row, j_nearest_number, u_missing_required, c_layout_fingerprint, j_name_match,
 )}
 
 _HY = "regexp_matches(bucket, '^[0-9]{4}-H[12]$')"
@@ -449,9 +508,13 @@ _NB = lambda c: f"coalesce({c}, '') <> ''"
 _COMPLETE = f"coalesce((locator.page IS NOT NULL OR ({_NB('locator.sheet')} AND ({_NB('locator.cell')} OR {_NB('locator.cell_range')}))) AND " + " AND ".join(_NB(c) for c in ("source_document_id", "retrieved_at", "metric_code", "unit", "extraction.parser", "extraction.parser_version")) + ", false)"
 _SAME = "coalesce((CASE field " + " ".join(f"WHEN '{f}' THEN metric_code = '{c}' AND unit = '{u}'" for f, (c, u) in METRICS.items()) + " END), false)"
 _PCT = lambda a, b: f"CASE WHEN {b} = 0 THEN 100.0 ELSE round_even({a} / {b} * 100, 1) END"
-_SCALED = lambda f, s, w: f"coalesce(least(abs(q.{f} - p.{f}) / {s}, 1.0) * {w}, {w / 2})"
+_SCALED = lambda f, s, w: f"CASE WHEN q.{f} IS NULL OR p.{f} IS NULL THEN {w / 2} ELSE least(abs(q.{f} - p.{f}) / {s}, 1.0) * {w} END"
 _RATIO = lambda f, w: f"coalesce(CASE WHEN q.{f} > 0 AND p.{f} > 0 THEN least(abs(ln(q.{f} / p.{f})) / ln(4.0), 1.0) * {w} END, {w / 2})"
 
+_CELLS = "c AS (SELECT source_document_id AS doc, locator.sheet AS sheet, regexp_extract(locator.cell, '[A-Z]+') AS col, CAST(regexp_extract(locator.cell, '[0-9]+') AS INT) AS row, field AS value FROM source_evidence WHERE source_document_id IS NOT NULL AND locator.sheet IS NOT NULL AND regexp_full_match(locator.cell, '[A-Z]{1,3}[0-9]+'))"
+_LAYOUT = "WITH c AS (SELECT source_document_id, locator.sheet AS sheet, locator.cell AS cell FROM source_evidence WHERE source_document_id IS NOT NULL AND locator.sheet IS NOT NULL AND regexp_full_match(locator.cell, '[A-Z]{1,3}[0-9]+')), x AS (SELECT *, CAST(regexp_extract(cell, '[0-9]+') AS INT) AS r, list_reduce([CAST(0 AS INT)] || [ascii(z) - 64 FOR z IN string_split(regexp_extract(cell, '[A-Z]+'), '')], lambda n, v: n * 26 + v) AS q FROM c) SELECT source_document_id, sheet, max(r) AS max_row, max(q) AS max_column, count(DISTINCT cell) AS non_empty_cells FROM x GROUP BY ALL"
+_BOX = "w AS (SELECT source_document_id AS doc, evidence_id AS id, field IN ('cap', 'noi') AS label, locator.bbox[1] AS x0, locator.bbox[3] AS x1, (locator.bbox[2] + locator.bbox[4]) / 2 AS y FROM source_evidence WHERE source_document_id IS NOT NULL AND len(locator.bbox) = 4{more})"
+
 SQL = {
     "s_facets": " UNION ".join(f"SELECT '{c}' AS facet, {c} AS value FROM property_master WHERE coalesce({c}, '') <> ''" for c in ("reit_code", "type", "region")),
     "f_search_text": f"WITH {_PROP} SELECT id, name FROM prop WHERE contains(lower(coalesce(name, '') || ' ' || coalesce(address, '') || ' ' || coalesce(reit, '')), 'ミヅキ')",
@@ -466,7 +529,7 @@ SQL = {
     "k_csv_lines": f"WITH {_PROP} SELECT " + " || ',' || ".join(f"'\"' || replace(coalesce(CAST({c} AS VARCHAR), ''), '\"', '\"\"') || '\"'" for c in ("id", "name", "reit", "region", "tenants", "source")) + " AS line FROM prop",
     "x_bands": f"WITH {_PROP} SELECT CASE WHEN cap IS NULL OR NOT isfinite(cap) THEN 'unknown' WHEN cap >= 5.5 THEN 'from_5_5' WHEN cap >= 5 THEN '5_0_to_5_5' WHEN cap >= 4.5 THEN '4_5_to_5_0' WHEN cap >= 4 THEN '4_0_to_4_5' WHEN cap >= 3.5 THEN '3_5_to_4_0' ELSE 'under_3_5' END AS band, count(*) AS n FROM prop GROUP BY 1",
     "m_comparables": f"""WITH {_PROP}, f AS (SELECT id, type, CASE WHEN {_VALID.format(p='')} THEN lat END AS lat, lng, {', '.join(f'{_FIN(c)} AS {c}' for c in ('leasable_area', 'price', 'cap', 'terminal_cap_rate', 'occupancy'))} FROM prop),
-      s AS (SELECT q.id AS base_id, p.id AS id, CAST(greatest(0.0, floor(round(100 - (coalesce(least(round({_HAV.format(a='q.', b='p.')}, 6) / 50, 1.0) * 30, 15.0) + {_RATIO('leasable_area', 20)} + {_RATIO('price', 10)} + {_SCALED('cap', 1.5, 15)} + {_SCALED('terminal_cap_rate', 1.5, 15)} + {_SCALED('occupancy', 10, 10)}), 9) + 0.5)) AS INT) AS score
+      s AS (SELECT q.id AS base_id, p.id AS id, CAST(greatest(0.0, floor(round(100 - (CASE WHEN q.lat IS NULL OR p.lat IS NULL THEN 15.0 ELSE least(round({_HAV.format(a='q.', b='p.')}, 6) / 50, 1.0) * 30 END + {_RATIO('leasable_area', 20)} + {_RATIO('price', 10)} + {_SCALED('cap', 1.5, 15)} + {_SCALED('terminal_cap_rate', 1.5, 15)} + {_SCALED('occupancy', 10, 10)}), 9) + 0.5)) AS INT) AS score
         FROM f q JOIN f p ON q.type = p.type AND q.id <> p.id WHERE CAST(regexp_extract(q.id, '([0-9]+)$', 1) AS BIGINT) % 50 = 0)
       SELECT *, CAST(row_number() OVER (PARTITION BY base_id ORDER BY score DESC, id) AS INT) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY base_id ORDER BY score DESC, id) <= 5""",
     "t_raw_series": f"WITH {_KEYED} SELECT id, key, value FROM k QUALIFY row_number() OVER (PARTITION BY id, key ORDER BY pos DESC) = 1",
@@ -487,12 +550,12 @@ SQL = {
     "q_required": "SELECT missing, count(*) AS n FROM (SELECT concat_ws(',', " + ", ".join(f"CASE WHEN coalesce({c}, '') = '' THEN '{c}' END" for c in (*quality.REQUIRED, "region")) + ") AS missing FROM property_master) WHERE missing <> '' GROUP BY missing",
     "q_ranges": f"WITH {_PROP}, l AS ({_LONGSQL('prop', 'id')} UNION ALL {_LONGSQL('property_period', 'property_id AS id')}) SELECT field, count(*) AS n, count(DISTINCT id) AS properties FROM l WHERE value IS NOT NULL AND {_outside()} GROUP BY field",
     "q_coordinates": f"WITH {_PROP} SELECT CASE WHEN lat IS NULL OR lng IS NULL THEN 'missing' WHEN isnan(lat) OR isnan(lng) OR lat NOT BETWEEN -90 AND 90 OR lng NOT BETWEEN -180 AND 180 THEN 'invalid' ELSE 'valid' END AS state, count(*) AS n FROM prop GROUP BY 1",
-    "q_area": "SELECT row_id AS pos, leased_area, leasable_area FROM property_period WHERE leased_area > leasable_area * 1.02::DOUBLE",
+    "q_area": "SELECT row_id AS pos, leased_area, leasable_area FROM property_period WHERE leased_area > leasable_area * 0.99::DOUBLE",
     "q_evidence": f"SELECT field, count(*) AS n, count(*) FILTER (ok) AS complete, count(*) FILTER (ok AND NOT same) AS inconsistent, {_PCT('count(*) FILTER (ok)', 'count(*)')} AS coverage FROM (SELECT coalesce(field, '') AS field, {_COMPLETE} AS ok, {_SAME} AS same FROM source_evidence) GROUP BY field",
     "q_by_metric": f"WITH {_PROP}, l AS ({_LONGSQL('prop', 'id')}) SELECT field, count(value) AS available, count(*) AS rows, {_PCT('count(value)', 'count(*)')} AS coverage FROM l GROUP BY field",
     "q_by_group": f"WITH {_PROP} SELECT coalesce(nullif(reit_code, ''), '未分類') AS grp, count(*) AS properties, CAST(sum({' + '.join(f'CASE WHEN {m} IS NOT NULL AND NOT isnan({m}) THEN 1 ELSE 0 END' for m in M)}) AS BIGINT) AS numeric_values, count(*) FILTER (ok) AS with_coordinates, {_PCT('count(*) FILTER (ok)', 'count(*)')} AS coordinate_coverage FROM (SELECT *, coalesce(NOT isnan(lat) AND NOT isnan(lng) AND lat BETWEEN -90 AND 90 AND lng BETWEEN -180 AND 180, false) AS ok FROM prop) GROUP BY 1",
     "q_first_issues": f"WITH l AS ({_LONGSQL('property_period', 'row_id AS pos')}) SELECT * FROM (SELECT * FROM l WHERE value IS NOT NULL AND {_outside()} QUALIFY row_number() OVER (PARTITION BY field ORDER BY pos) <= 20) WHERE NOT isnan(value)",
-    "c_entities": f"WITH {_SIDES} SELECT property_id, 'removed' AS change FROM (SELECT property_id FROM a EXCEPT SELECT property_id FROM b) UNION ALL SELECT property_id, 'added' FROM (SELECT property_id FROM b EXCEPT SELECT property_id FROM a)",
+    "c_entities": "WITH a AS (SELECT DISTINCT lower(trim(id)) AS id FROM property_snapshot WHERE snapshot_no = 1 AND id IS NOT NULL), b AS (SELECT DISTINCT lower(trim(id)) AS id FROM property_snapshot WHERE snapshot_no = 5 AND id IS NOT NULL) SELECT id, 'removed' AS change FROM (FROM a EXCEPT FROM b) UNION ALL SELECT id, 'added' FROM (FROM b EXCEPT FROM a)",
     "c_periods": f"WITH {_SIDES} SELECT property_id, CASE WHEN a.row_id IS NULL THEN 'added' WHEN b.row_id IS NULL THEN 'removed' ELSE 'shared' END AS change, count(*) AS n FROM a FULL JOIN b USING (property_id, period_no) GROUP BY 1, 2",
     "c_metrics": f"WITH {_DIFFSQL} SELECT property_id, period_no, field, change, round(before, 6) AS before, round(after, 6) AS after, round(after - before, 6) AS delta FROM dd",
     "c_by_metric": f"WITH {_DIFFSQL} SELECT f.field, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'removed') AS removed, count(*) FILTER (change = 'changed') AS changed FROM (VALUES {', '.join(f'({m!r})' for m in M)}) AS f(field) LEFT JOIN dd ON dd.field = f.field GROUP BY f.field",
@@ -500,9 +563,9 @@ SQL = {
     "e_build": f"WITH {_PROP} " + " UNION ALL ".join(f"SELECT id, '{m}' AS field, '{METRICS[m][0]}' AS metric_code, 'Sheet!1' AS sheet, '{c}' || length(name) AS cell FROM prop WHERE {m} IS NOT NULL AND name IS NOT NULL" for m, c in (("price", "A"), ("cap", "B"), ("noi", "C"))),
     "a_review_summary": "WITH s AS (SELECT CASE WHEN review.status IN ('approved', 'rejected') THEN review.status ELSE 'pending' END AS status FROM source_evidence) SELECT k.status, count(s.status) AS n FROM (VALUES ('approved'), ('rejected'), ('pending')) AS k(status) LEFT JOIN s ON s.status = k.status GROUP BY k.status",
     "j_latest_review": "WITH e AS (SELECT evidence_id, concat_ws('|', property_id, field, observed_at) AS k, review.status AS s FROM source_evidence WHERE property_id IS NOT NULL AND field IS NOT NULL AND observed_at IS NOT NULL), l AS (SELECT k, arg_max(s, evidence_id) AS s FROM e WHERE s IS NOT NULL GROUP BY k) SELECT evidence_id, coalesce(l.s, 'pending') AS status FROM e LEFT JOIN l USING (k)",
-    "j_unmatched_documents": "SELECT document_id, reit_code FROM source_document d WHERE NOT EXISTS (SELECT 1 FROM source_evidence e WHERE e.source_document_id = d.document_id)",
+    "j_unmatched_snapshots": "SELECT row_id, id FROM property_snapshot s WHERE NOT EXISTS (SELECT 1 FROM property_master p WHERE p.id = s.id)",
     "a_catalog": "WITH k AS (SELECT source_document_id AS document_id, count(*) AS k FROM source_evidence WHERE coalesce(source_document_id, '') <> '' GROUP BY 1) SELECT reit_code, count(*) AS documents, CAST(coalesce(sum(k), 0) AS BIGINT) AS evidence, count(k) AS cited FROM source_document LEFT JOIN k USING (document_id) GROUP BY reit_code",
-    "a_layout": "WITH c AS (SELECT source_document_id, locator.sheet AS sheet, locator.cell AS cell FROM source_evidence WHERE source_document_id IS NOT NULL AND locator.sheet IS NOT NULL AND regexp_full_match(locator.cell, '[A-Z]{1,3}[0-9]+')), x AS (SELECT *, CAST(regexp_extract(cell, '[0-9]+') AS INT) AS r, list_reduce([CAST(0 AS INT)] || [ascii(z) - 64 FOR z IN string_split(regexp_extract(cell, '[A-Z]+'), '')], lambda n, v: n * 26 + v) AS q FROM c) SELECT source_document_id, sheet, max(r) AS max_row, max(q) AS max_column, count(DISTINCT cell) AS non_empty_cells FROM x GROUP BY ALL",
+    "a_layout": _LAYOUT,
     "p_layout_status": "WITH s AS (SELECT feed_id, CASE WHEN p IS NULL THEN 'new' WHEN p = schema_version THEN 'unchanged' ELSE 'changed' END AS s FROM (SELECT feed_id, schema_version, lag(schema_version) OVER (PARTITION BY feed_id ORDER BY load_no) AS p FROM quality_report)) SELECT feed_id, CASE WHEN bool_or(s = 'changed') THEN 'changed' WHEN bool_and(s = 'unchanged') THEN 'unchanged' ELSE 'new' END AS status FROM s GROUP BY feed_id",
     "a_recon": "WITH p AS (SELECT feed_id, load_no, count(DISTINCT property_id) AS counted FROM property_period GROUP BY 1, 2) SELECT feed_id, load_no, q.totals.properties AS reported, counted, counted - q.totals.properties AS difference, CASE WHEN abs(counted - q.totals.properties) <= 2 THEN 'ok' ELSE 'review' END AS state FROM quality_report q LEFT JOIN p USING (feed_id, load_no)",
     "a_history_hist": "WITH s AS (SELECT count(*) AS c FROM property_period WHERE property_id IS NOT NULL GROUP BY property_id) SELECT CAST(l AS INT) AS length, count(s.c) AS n FROM range(1, 31) AS r(l) LEFT JOIN s ON s.c = l GROUP BY l",
@@ -513,4 +576,12 @@ SQL = {
     "x_numeric_text": "WITH t AS (SELECT row_id, regexp_replace(as_of_date, '[,，\\s　]', '', 'g') AS t FROM property_period) SELECT row_id, CASE WHEN regexp_full_match(t, '|-|－|―|—|–|ー|非開示.*') THEN NULL WHEN regexp_matches(t, '^[△▲-]') THEN -try_cast(nullif(regexp_extract(t, '[0-9]+(\\.[0-9]+)?'), '') AS DOUBLE) ELSE try_cast(nullif(regexp_extract(t, '[0-9]+(\\.[0-9]+)?'), '') AS DOUBLE) END AS value FROM t",
     "x_evidence_id": "SELECT evidence_id, 'ev-' || substr(sha256(" + " || '|' || ".join(f"coalesce({c}, '')" for c in ("property_id", "field", "observed_at", "source_document_id", "locator.sheet", "locator.cell")) + "), 1, 32) AS ev, concat_ws(' / ', 'PDF p.' || locator.page, 'Sheet: ' || nullif(locator.sheet, ''), 'Cell: ' || nullif(coalesce(nullif(locator.cell, ''), locator.cell_range), '')) AS position FROM source_evidence",
     "x_period_key": f"WITH p AS (SELECT row_id AS pos, {_KEY} AS key, as_of_date, period, period_no FROM property_period), b AS (SELECT *, {_bucket('key')} AS bucket FROM p) SELECT pos, key, bucket, CASE WHEN {_HY} THEN substr(bucket, 1, 4) || CASE WHEN bucket LIKE '%H1' THEN '-06' ELSE '-12' END ELSE bucket END AS bucket_label, coalesce(substr(nullif(as_of_date, ''), 1, 7), nullif(period, ''), '第' || period_no || '期', key) AS label, format('{{:04d}}', CAST(2001 + floor((period_no + 1) / 2) AS INT)) || CASE WHEN period_no % 2 = 1 THEN '-03-31' ELSE '-09-30' END AS closing FROM b",
+    "p_find_row": f"WITH {_CELLS} SELECT doc, sheet, min(row) AS row FROM c WHERE value = 'cap' AND row <= 200 GROUP BY doc, sheet",
+    "p_header_map": f"WITH {_CELLS}, h AS (SELECT doc, sheet, min(row) AS row FROM c GROUP BY doc, sheet) SELECT doc, sheet, trim(value) AS name, arg_max(col, struct_pack(l := length(col), c := col)) AS col FROM c JOIN h USING (doc, sheet, row) WHERE trim(value) <> '' GROUP BY doc, sheet, trim(value)",
+    "p_wide_to_long": "SELECT * FROM (SELECT row_id AS pos, 'direct' AS method, cap AS rate, appraisal AS amount FROM property_period UNION ALL SELECT row_id, 'discounted', discount_rate, book_value FROM property_period) WHERE (rate IS NOT NULL OR amount IS NOT NULL) AND NOT isnan(coalesce(rate, 0))",
+    "j_same_row": f"WITH {_BOX.format(more=' AND locator.page IS NOT NULL')} SELECT a.doc, a.id AS label_id, b.id AS number_id FROM w a JOIN w b ON a.doc = b.doc AND a.label AND NOT b.label AND abs(a.y - b.y) <= 5.5 AND b.x0 >= a.x1",
+    "j_nearest_number": f"WITH {_BOX.format(more='')}, k AS (SELECT a.doc, a.id AS label_id, b.id AS number_id, CASE WHEN abs(b.y - a.y) <= 6 AND b.x0 - a.x1 >= 0 THEN b.x0 - a.x1 + abs(b.y - a.y) WHEN b.y - a.y > 0 AND b.y - a.y <= 24 AND abs(b.x0 - a.x0) <= 80 THEN abs(b.x0 - a.x0) + (b.y - a.y) + 80 END AS cost FROM w a JOIN w b ON a.doc = b.doc AND a.label AND NOT b.label) SELECT doc, label_id, number_id FROM k WHERE cost IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc, label_id ORDER BY cost, number_id) = 1",
+    "u_missing_required": f"WITH {_CELLS} SELECT d.doc, m.value FROM (SELECT DISTINCT doc FROM c) d, (VALUES {', '.join(f'({m!r})' for m in M)}) AS m(value) WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc = d.doc AND c.value = m.value)",
+    "c_layout_fingerprint": f"SELECT source_document_id, sha256(string_agg(line, chr(10) ORDER BY line)) AS fingerprint FROM (SELECT source_document_id, concat_ws('|', sheet, max_row, max_column, non_empty_cells) AS line FROM ({_LAYOUT})) GROUP BY source_document_id",
+    "j_name_match": "WITH a AS (SELECT DISTINCT regexp_replace(lower(name), '[\\s　]', '', 'g') AS l FROM property_master WHERE name IS NOT NULL), b AS (SELECT DISTINCT regexp_replace(lower(name), '[\\s　]', '', 'g') AS r FROM property_snapshot WHERE name IS NOT NULL) SELECT l AS left_name, r AS right_name FROM a JOIN b ON l <> '' AND r <> '' AND (contains(l, r) OR contains(r, l))",
 }
