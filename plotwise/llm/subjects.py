@@ -51,6 +51,11 @@ def _plain(text: Column) -> Column:
     return F.translate(text, wide + "　", "".join(map(chr, range(0x21, 0x7F))) + " ")
 
 
+def _let(value: Column, then) -> Column:
+    """then(value) with value computed once: within a lambda an expression would be computed for each element."""
+    return F.transform(F.array(value), then)[0]
+
+
 def sentences(text: Column) -> Column:
     """The sentences of a text in order: an array of (para, sentence); pieces without a letter or digit are none."""
     ends = r"[。!?\n\r]+|(?<=[A-Za-z)\]%0-9][.])\s+|(?<=[A-Za-z)\]][.])(?=[A-Z\p{IsHan}\p{IsHiragana}\p{IsKatakana}])"
@@ -61,12 +66,14 @@ def sentences(text: Column) -> Column:
 
 def grams(sentence: Column) -> Column:
     """The distinct features of a sentence: Latin words and their pairs, two and three characters of Japanese runs."""
-    low = F.regexp_replace(F.lower(sentence), "[0-9]+", "0")
-    latin = F.regexp_extract_all(low, F.lit("[a-z']+"), F.lit(0))
-    runs = F.regexp_extract_all(low, F.lit("[぀-ヿ一-鿿]+"), F.lit(0))
-    pairs = F.transform(F.slice(latin, 2, 1 << 20), lambda w, i: F.concat_ws(" ", F.get(latin, i), w))
     cut = lambda r, n: F.when(F.length(r) >= n, F.transform(F.sequence(F.lit(1), F.length(r) - n + 1), lambda i: F.substring(r, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(F.filter(latin, lambda w: F.length(w) > 2), pairs, F.flatten(F.transform(runs, lambda r: F.concat(cut(r, 2), cut(r, 3))))))
+
+    def of(low: Column) -> Column:
+        latin = _let(F.regexp_extract_all(low, F.lit("[a-z']+"), F.lit(0)), lambda ws: F.concat(F.filter(ws, lambda w: F.length(w) > 2), F.transform(F.slice(ws, 2, 1 << 20), lambda w, i: F.concat_ws(" ", F.get(ws, i), w))))
+        runs = F.regexp_extract_all(low, F.lit("[぀-ヿ一-鿿]+"), F.lit(0))
+        return F.array_distinct(F.concat(latin, F.flatten(F.transform(runs, lambda r: F.concat(cut(r, 2), cut(r, 3))))))
+
+    return _let(F.regexp_replace(F.lower(sentence), "[0-9]+", "0"), of)
 
 
 def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], documents: int = FIT_DOCUMENTS, per_document: int = FIT_SENTENCES, rounds: int = 12, outside: float = 0.01) -> Classifier:
@@ -176,11 +183,14 @@ def votes(docs: DataFrame, labels: DataFrame, model: Classifier, sure: float = 3
     source = F.lower(F.trim("source"))
     by_source, by_issuer = _lift_votes(docs, labels, source), _lift_votes(docs, labels, F.col("reit_code"))
     base = docs.where("doc_id is not null and text is not null").repartition("doc_id")
-    cut = base.select("doc_id", F.xxhash64("text").alias("h"), pick(source, by_source).alias("source"), pick(F.col("reit_code"), by_issuer).alias("issuer"), F.posexplode(sentences(F.col("text"))).alias("pos", "x"))
-    low = F.lower("x.s")
-    hits = F.array(*(F.when(low.rlike(LEXICON[s]), F.lit(k)) for s, k in at.items() if s in LEXICON)) if any(s in LEXICON for s in subjects) else F.array().cast("array<int>")
-    hits = F.filter(hits, lambda k: k.isNotNull())
-    one = cut.select("doc_id", "h", "pos", "source", "issuer", F.col("x.para").alias("para"), F.when(F.size(hits) == 1, hits[0]).otherwise(-1).alias("lexicon"), F.explode(F.concat(F.array(F.lit("")), grams(F.col("x.s")))).alias("g"))
+    whole = base.select("doc_id", F.xxhash64("text").alias("h"), pick(source, by_source).alias("source"), pick(F.col("reit_code"), by_issuer).alias("issuer"), sentences(F.col("text")).alias("xs"))
+    cut = whole.select("doc_id", "h", "source", "issuer", F.posexplode("xs").alias("pos", "x"))
+    known = [(LEXICON[s], k) for s, k in at.items() if s in LEXICON]
+    hits = _let(F.lower("x.s"), lambda low: F.filter(F.array(*(F.when(low.rlike(words), F.lit(k)) for words, k in known)), lambda k: k.isNotNull())) if known else F.array().cast("array<int>")
+    lexicon = _let(hits, lambda h: F.when(F.size(h) == 1, h[0]).otherwise(-1))
+    # Computed before the explode: beside it they would be computed again for each feature.
+    seen = cut.select("doc_id", "h", "pos", "source", "issuer", F.col("x.para").alias("para"), lexicon.alias("lexicon"), F.concat(F.array(F.lit("")), grams(F.col("x.s"))).alias("gs"))
+    one = seen.select("doc_id", "h", "pos", "source", "issuer", "para", "lexicon", F.explode("gs").alias("g"))
     # The empty feature marks the sentence: it counts its copies and keeps sentences of unknown words.
     met = one.join(F.broadcast(table), "g")
     copies = F.count(F.when(F.col("g") == "", 1))
