@@ -176,7 +176,9 @@ def _encoded_words(df: DataFrame, keys: Sequence[str], text: str, path: str) ->
     hot = known.where(fits).orderBy(F.desc("n"), "word").limit(HOT_WORDS) if known.count() > HOT_WORDS else known.where(fits)
     hot = hot.select(F.col("word").alias("_word"), F.col("ids").alias("_ids"))
     out = [*keys, "_h", "_pos", "_ids"]
-    met = df.select(*keys, F.xxhash64(text).alias("_h"), F.posexplode_outer(words(F.col(text))).alias("_pos", "_word")).join(F.broadcast(hot), "_word", "left")
+    # Hashed and cut before the explode: beside it the text would be hashed again for each word.
+    cut = df.select(*keys, F.xxhash64(text).alias("_h"), words(F.col(text)).alias("_words"))
+    met = cut.select(*keys, "_h", F.posexplode_outer("_words").alias("_pos", "_word")).join(F.broadcast(hot), "_word", "left")
     cold = known.select(F.col("word").alias("_word"), F.col("ids").alias("_ids")).join(F.broadcast(hot.select("_word")), "_word", "left_anti")
     if cold.isEmpty():
         return met.select(*out)
