@@ -67,7 +67,8 @@ def percentiles(df: DataFrame, groups: Sequence[str], columns: Sequence[str], pr
     """(groups, metric, p, n, value): exact percentiles, interpolated between the two nearest ranks.
 
     n is the number of values that count; null and NaN don't, infinities do. Groups without any value have no row. Repeated
-    rows count each time. The four passes are the digits; each reads the values again and keeps rows under followed digits.
+    rows count each time. The data are read twice: for the first digit, and for the values under the digits that hold a target
+    rank, which are kept with their counts; the other three digits follow from those.
     """
     groups = list(groups)
     names = [*groups, "metric"]
@@ -79,14 +80,16 @@ def percentiles(df: DataFrame, groups: Sequence[str], columns: Sequence[str], pr
     ranks = asked.select(*names, F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("rank")).distinct()
     # rank: the target as it was asked; left: what is left of it under the prefix followed so far.
     state = ranks.withColumn("left", F.col("rank")).withColumn("prefix", F.lit(0).cast("bigint"))
+    kept = None
     for k in range(DIGITS):
-        if k:
-            followed = broadcast_if_small(state.select(*names, "prefix").distinct(), 100)
-            width = 64 - DIGIT_BITS * k
-            kept = values.withColumn("prefix", F.shiftright("key", width)).alias("v").join(followed.alias("f"), _same("v", "f", [*names, "prefix"])).select("v.*")
-            hist = materialize(kept.groupBy(*names, "prefix", _digit(F.col("key"), k).alias("digit")).agg(F.count(F.lit(1)).alias("c")))
-        else:
+        if k == 0:
             hist = hist.withColumn("prefix", F.lit(0).cast("bigint"))
+        else:
+            followed = broadcast_if_small(state.select(*names, "prefix").distinct(), 100)
+            under = lambda rows: rows.withColumn("prefix", F.shiftright("key", 64 - DIGIT_BITS * k)).alias("v").join(followed.alias("f"), _same("v", "f", [*names, "prefix"])).select("v.*")  # noqa: B023, E731
+            if kept is None:  # equal values are one row from here on, and the rest of the data isn't read again
+                kept = materialize(under(values).groupBy(*names, "key").agg(F.count(F.lit(1)).alias("c")))
+            hist = under(kept).groupBy(*names, "prefix", _digit(F.col("key"), k).alias("digit")).agg(F.sum("c").alias("c"))
         w = Window.partitionBy(*names, "prefix").orderBy("digit")
         upto = hist.withColumn("upto", F.sum("c").over(w))
         met = state.alias("s").join(upto.alias("h"), _same("s", "h", [*names, "prefix"]) & (F.col("s.left") < F.col("h.upto")) & (F.col("s.left") >= F.col("h.upto") - F.col("h.c")))
