@@ -24,16 +24,16 @@ FIT_DOCUMENTS, FIT_SENTENCES = 2000, 150
 
 # A small lexicon of general knowledge for the subjects that bear these names. Others have none.
 LEXICON = {
-    "finance": "借入|融資|金利|利息|利払い|社債|格付け|分配金|有利子負債|投資法人債|返済期日|財務制限|loan|lender|interest rate|refinanc|bond|credit|dividend|distribution per unit|debt|covenant|hedge",
-    "law": "訴訟|裁判|判決|原告|被告|弁護士|仲裁|和解|損害賠償|条例|時効|公正証書|地役権|lawsuit|court|judge|plaintiff|tribunal|arbitrat|injunction|easement|litigation|statute",
-    "engineering": "耐震|杭|鉄骨|外壁|配管|昇降機|基礎の|打診|免震|梁|seismic|steel|beam|facade|piping|elevator|foundation|damper|girder|waterproof",
-    "energy": "太陽光|蓄電池|省エネ|断熱|再エネ|炭素|電力|冷暖房|脱炭素|solar|battery|energy|carbon|insulation|heat pump|renewable|emission|electricity",
-    "logistics": "物流|荷主|倉庫|トラック|配送|積替え|仕分け|コンテナ|荷捌き|ピッキング|warehouse|truck|freight|shipper|container|carrier|cross-dock|pallet|forklift|delivery route",
-    "retail": "売場|店舗|買物|商店|専門店|出店|来館者|セール|レジ|店頭|shop|store|retail|merchant|boutique|shopper|checkout|food hall|tenant mix|outlet",
-    "hospitality": "宿泊|客室|旅館|ホテル|観光|宴会|予約|フロント|朝食|温浴|hotel|guest|banquet|booking|tourist|room rate|housekeep|breakfast|check-in|resort",
-    "sport": "試合|選手|監督|得点|競技|決勝|延長戦|練習場|スタジアム|マラソン|match|player|coach|stadium|tournament|league|goal|final|marathon|athlete|swim",
-    "software": "ソフト|クラウド|データ連携|不具合|バックアップ|アプリ|暗号|ログイン|サーバ|ネットワーク機器|software|cloud|bug|backup|server|encrypt|login|api|database|firmware|schema",
-    "health": "診療|病院|看護|介護|患者|医師|感染|薬局|リハビリ|手術|clinic|hospital|nurse|patient|doctor|pharmacy|ward|infection|surgery|care plan",
+    "finance": "借入|融資|金利|利息|利払い|社債|格付け|分配金|有利子負債|投資法人債|返済期日|財務制限|loan|lender|interest rate|refinanc|bond|credit|dividend|distribution per unit|debt|covenant|hedge|調達コスト|増資|投資口価格|手元資金|金融機関|maturity|equity offering|swap|yield|financ|unitholder|basis point|tranche",
+    "law": "訴訟|裁判|判決|原告|被告|弁護士|仲裁|和解|損害賠償|条例|時効|公正証書|地役権|lawsuit|court|judge|plaintiff|tribunal|arbitrat|injunction|easement|litigation|statute|差止|契約違反|借地|公証|宣誓|法廷|appeal|breach|deed|attorney|sworn|legal|verdict",
+    "engineering": "耐震|杭|鉄骨|外壁|配管|昇降機|基礎の|打診|免震|梁|seismic|steel|beam|facade|piping|elevator|foundation|damper|girder|waterproof|補強|劣化|ひび|剛性|構造|bolt|crack|retrofit|concrete|structural|bedrock",
+    "energy": "太陽光|蓄電池|省エネ|断熱|再エネ|炭素|電力|冷暖房|脱炭素|solar|battery|energy|carbon|insulation|heat pump|renewable|emission|electricity|環境認証|電源|燃料|ガスの|水の再利用|排出|charging|kilowatt|power demand|green|utility|fuel",
+    "logistics": "物流|荷主|倉庫|トラック|配送|積替え|仕分け|コンテナ|荷捌き|ピッキング|warehouse|truck|freight|shipper|container|carrier|cross-dock|pallet|forklift|delivery route|車両動線|ランプウェイ|荷は|輸送|冷凍|depot|parcel|inbound|picking|loading|berth|courier|shipment",
+    "retail": "売場|店舗|買物|商店|専門店|出店|来館者|セール|レジ|店頭|shop|store|retail|merchant|boutique|shopper|checkout|food hall|tenant mix|outlet|値下げ|販促|催事|テナント|食品|bargain|customer|window display|grocer|discount|basket",
+    "hospitality": "宿泊|客室|旅館|ホテル|観光|宴会|予約|フロント|朝食|温浴|hotel|guest|banquet|booking|tourist|room rate|housekeep|breakfast|check-in|resort|旅行|連泊|満室|枕|ラウンジ|traveller|stay|suite|lobby|overnight|spa",
+    "sport": "試合|選手|監督|得点|競技|決勝|延長戦|練習場|スタジアム|マラソン|match|player|coach|stadium|tournament|league|goal|final|marathon|athlete|swim|更衣室|観客|リレー|水泳|テニス|主将|relay|penalty|locker room|season ticket|captain|fans|lap|racket",
+    "software": "ソフト|クラウド|データ連携|不具合|バックアップ|アプリ|暗号|ログイン|サーバ|ネットワーク機器|software|cloud|bug|backup|server|encrypt|login|api|database|firmware|schema|更新版|障害|実行|画面|開発者|同期|developer|deploy|migration|sign in|script|patch|mobile app",
+    "health": "診療|病院|看護|介護|患者|医師|感染|薬局|リハビリ|手術|clinic|hospital|nurse|patient|doctor|pharmacy|ward|infection|surgery|care plan|血圧|ケアプラン|認知症|健康|衛生|dementia|blood pressure|care home|physician|therapy|vaccin|medical",
 }
 
 
@@ -76,23 +76,31 @@ def grams(sentence: Column) -> Column:
     return _let(F.regexp_replace(F.lower(sentence), "[0-9]+", "0"), of)
 
 
-def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], documents: int = FIT_DOCUMENTS, per_document: int = FIT_SENTENCES, rounds: int = 12, outside: float = 0.01) -> Classifier:
+def lexicon_hits(sentence: Column, subjects: list[str]) -> Column:
+    """The numbers of the subjects whose lexicon the sentence meets."""
+    known = [(LEXICON[s], k) for k, s in enumerate(subjects) if s in LEXICON]
+    if not known:
+        return F.array().cast("array<int>")
+    return _let(F.lower(sentence), lambda low: F.filter(F.array(*(F.when(low.rlike(words), F.lit(k)) for words, k in known)), lambda k: k.isNotNull()))
+
+
+def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], documents: int = FIT_DOCUMENTS, per_document: int = FIT_SENTENCES, rounds: int = 12, outside: float = 0.01, hint: float = 8.0) -> Classifier:
     """A classifier of sentences from labels of documents.
 
     A labelled document says which subjects its sentences may have, not which has which; and some labels are wrong. Each
-    sentence is a mixture over its document's subjects and the general one, with a little weight (`outside`) on all others,
-    and the mixture and the words' weights are estimated in turn. Bounded by `documents` and `per_document`, in the order of
+    sentence is a mixture over its document's subjects and the general one, with a little weight (`outside`) on all others
+    and more (`hint`) on those whose lexicon it meets, and the mixture and the words' weights are estimated in turn. Bounded by `documents` and `per_document`, in the order of
     a hash of the id.
     """
     known = labels.where(F.col("subject").isin(subjects)).groupBy("doc_id").agg(F.collect_set("subject").alias("ys"))
     some = known.join(docs.where("text is not null"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
-    got = some.select("ys", F.transform(F.slice(sentences(F.col("text")), 1, per_document), lambda x: grams(x["s"])).alias("xs")).collect()
+    got = some.select("ys", F.transform(F.slice(sentences(F.col("text")), 1, per_document), lambda x: F.struct(grams(x["s"]).alias("g"), lexicon_hits(x["s"], subjects).alias("k"))).alias("xs")).collect()
     at = {s: k for k, s in enumerate(subjects)}
     n_subjects, general = len(subjects), at[GENERAL]
     count: dict[str, int] = {}
     for r in got:
         for x in r.xs:
-            for g in x:
+            for g in x.g:
                 count[g] = count.get(g, 0) + 1
     vocabulary = {g: k for k, g in enumerate(sorted(g for g, c in count.items() if c >= 2))}
     flat, owner, allowed = [], [], []
@@ -100,11 +108,13 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], documents: int
         may = np.full(n_subjects, outside)
         may[[at[y] for y in r.ys] + [general]] = 1.0
         for x in r.xs:
-            ids = [vocabulary[g] for g in x if g in vocabulary]
+            ids = [vocabulary[g] for g in x.g if g in vocabulary]
             if ids:
                 flat += ids
                 owner += [len(allowed)] * len(ids)
-                allowed.append(may)
+                hinted = may.copy()
+                hinted[x.k] *= hint
+                allowed.append(hinted)
     if not allowed:
         return Classifier(subjects, np.log(np.full(n_subjects, 1 / n_subjects)), {})
     flat_a, owner_a, may = np.array(flat), np.array(owner), np.array(allowed)
@@ -185,8 +195,7 @@ def votes(docs: DataFrame, labels: DataFrame, model: Classifier, sure: float = 3
     base = docs.where("doc_id is not null and text is not null").repartition("doc_id")
     whole = base.select("doc_id", F.xxhash64("text").alias("h"), pick(source, by_source).alias("source"), pick(F.col("reit_code"), by_issuer).alias("issuer"), sentences(F.col("text")).alias("xs"))
     cut = whole.select("doc_id", "h", "source", "issuer", F.posexplode("xs").alias("pos", "x"))
-    known = [(LEXICON[s], k) for s, k in at.items() if s in LEXICON]
-    hits = _let(F.lower("x.s"), lambda low: F.filter(F.array(*(F.when(low.rlike(words), F.lit(k)) for words, k in known)), lambda k: k.isNotNull())) if known else F.array().cast("array<int>")
+    hits = lexicon_hits(F.col("x.s"), subjects)
     lexicon = _let(hits, lambda h: F.when(F.size(h) == 1, h[0]).otherwise(-1))
     # Computed before the explode: beside it they would be computed again for each feature.
     seen = cut.select("doc_id", "h", "pos", "source", "issuer", F.col("x.para").alias("para"), lexicon.alias("lexicon"), F.concat(F.array(F.lit("")), grams(F.col("x.s"))).alias("gs"))
@@ -212,15 +221,15 @@ def votes(docs: DataFrame, labels: DataFrame, model: Classifier, sure: float = 3
     return per_doc.select("doc_id", "h", F.inline(F.transform("vs", with_section)))
 
 
-def subjects_of(docs: DataFrame, labels: DataFrame, reference: DataFrame, share: float = SHARE) -> DataFrame:
+def subjects_of(docs: DataFrame, labels: DataFrame, reference: DataFrame, share: float = SHARE, model: Classifier | None = None) -> DataFrame:
     """(doc_id, subject) of every document: its subjects, or GENERAL if it has none.
 
     docs: doc_id, text, source, reit_code; labels: doc_id, subject; reference: subject. Null, empty and blank texts have no
-    row. Repeated rows count once; labels of unknown subjects or documents don't matter; without labels the lexicon decides.
+    row. Repeated rows count once; labels of unknown subjects or documents don't matter; without labels the lexicon decides. A model fitted elsewhere may be given.
     """
     names = sorted({r.subject for r in reference.select("subject").where("subject is not null").distinct().collect()} - {GENERAL})
     names = [*names, GENERAL]
-    model = fit(docs, labels, names)
+    model = model or fit(docs, labels, names)
     seen = materialize(votes(docs, labels, model))
     tallied = seen.groupBy(*FUNCTIONS).count().collect()  # vote patterns: bounded by the functions and subjects
     spark, n, general = docs.sparkSession, len(names), len(names) - 1
@@ -230,7 +239,8 @@ def subjects_of(docs: DataFrame, labels: DataFrame, reference: DataFrame, share:
         patterns[:, 1:4] = -1
         patterns[patterns[:, 0] < 0, 1] = general
     start = np.array([0.85, 0.85, 0.95, 0.5, 0.2, 0.2])
-    _, _, post = learn_accuracies(patterns, counts, n, start)
+    # One function alone can't be told right from wrong: without a fit the start stands.
+    _, _, post = learn_accuracies(patterns, counts, n, start, 25 if model.weights else 1)
     rows = [(*[r[f] for f in FUNCTIONS], list(map(float, p))) for r, p in zip(tallied, post, strict=True)]
     table = spark.createDataFrame(rows, ", ".join(f"{f} int" for f in FUNCTIONS) + ", post array<double>")
     met = seen.join(F.broadcast(table), FUNCTIONS).select("doc_id", "h", F.posexplode("post").alias("k", "p"))
