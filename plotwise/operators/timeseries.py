@@ -45,11 +45,30 @@ def least_samples(selected: int) -> int:
     return 1 if selected <= 8 else max(3, -(-selected // 10))
 
 
+def quartiles(rows: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """(keys, n, average, q1, median, q3) of the values that aren't null: exact, interpolated between the two nearest ranks.
+
+    Equal values are counted before the shuffle and the ranks read off running counts in the order of the values, so a group
+    of any size streams through sorted spills and is never held in memory.
+    """
+    some = rows.where(F.col(value).isNotNull())
+    totals = some.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("average"))
+    counts = some.groupBy(*keys, F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = counts.withColumn("_upto", F.sum("_c").over(w)).join(totals, keys)
+    out = []
+    for p, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3")):
+        at = (F.col("n") - 1) * p
+        value_at = lambda rank: F.max(F.when((F.col("_upto") > rank) & (F.col("_upto") - F.col("_c") <= rank), F.col("_x")))
+        low, high = value_at(F.floor(at)), value_at(F.ceil(at))
+        out.append((low + (high - low) * (F.first(at) - F.floor(F.first(at)))).alias(name))
+    return met.groupBy(*keys).agg(F.first("n").alias("n"), F.first("average").alias("average"), *out)
+
+
 def distribution(series: DataFrame, least: int | Column, key: str = "bucket") -> DataFrame:
     """(key, n, average, q1, median, q3): exact quartiles; all but n null where fewer than `least` values."""
-    rows = series.where("value is not null").groupBy(F.col(key).alias("key")).agg(F.count("value").alias("n"), F.avg("value").alias("average"), F.percentile("value", [0.25, 0.5, 0.75]).alias("q"))
-    enough = F.col("n") >= least
-    return rows.select("key", "n", F.when(enough, F.col("average")).alias("average"), *(F.when(enough, F.col("q")[k]).alias(c) for k, c in enumerate(("q1", "median", "q3"))))
+    rows = quartiles(series.select(F.col(key).alias("key"), "value"), ["key"])
+    return rows.select("key", "n", *(F.when(F.col("n") >= least, F.col(c)).alias(c) for c in ("average", "q1", "median", "q3")))
 
 
 def summary(rows: DataFrame) -> DataFrame:

@@ -159,9 +159,9 @@ def t_gap_edges(spark, sf):
 def t_band_segments(spark, sf):
     """Runs of half-years in which an issuer has quartiles."""
     k = timeseries.half_year_series(_keyed(spark, sf)).where(F.col("bucket").rlike("^[0-9]{4}-H[12]$"))
-    q = k.groupBy(F.substring("id", 1, 3).alias("id"), "bucket").agg(F.count("value").alias("n"), F.percentile("value", [0.25, 0.75]).alias("q"))
-    q = q.where("n >= 3").withColumn("ix", F.substring("bucket", 1, 4).cast("int") * 2 + F.substring("bucket", 7, 1).cast("int"))
-    return timeseries.segments(q.withColumn("low", F.least(F.col("q")[0], F.col("q")[1])).withColumn("high", F.greatest(F.col("q")[0], F.col("q")[1])), "low", "high")
+    q = timeseries.quartiles(k.select(F.substring("id", 1, 3).alias("id"), "bucket", "value"), ["id", "bucket"]).where("n >= 3")
+    q = q.withColumn("ix", F.substring("bucket", 1, 4).cast("int") * 2 + F.substring("bucket", 7, 1).cast("int"))
+    return timeseries.segments(q.withColumn("low", F.least("q1", "q3")).withColumn("high", F.greatest("q1", "q3")), "low", "high")
 
 
 def a_distribution(spark, sf):
@@ -525,7 +525,7 @@ SQL = {
     "o_sort_nulls_last": f"WITH {_PROP} SELECT id, price, row_number() OVER (ORDER BY price DESC NULLS LAST, name ASC NULLS LAST, id) AS rank FROM prop",
     "o_bounded_selection": f"""WITH {_PROP}, n AS (SELECT id, lat, lng, CAST(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT) AS o FROM prop),
       u AS (SELECT id, 0 AS s, o FROM (SELECT * FROM n ORDER BY id DESC LIMIT 10) UNION ALL SELECT id, 1, o FROM n WHERE lat BETWEEN 33.0 AND 38.0 AND lng BETWEEN 130.0 AND 140.0),
-      f AS (SELECT id, min(struct_pack(s := s, o := o)) AS at_ FROM u GROUP BY id ORDER BY at_, id LIMIT 50) SELECT id, row_number() OVER (ORDER BY at_, id) AS ord FROM f""",
+      f AS (SELECT id, min(struct_pack(s := s, o := o)) AS at_ FROM u GROUP BY id ORDER BY at_, id LIMIT 50) SELECT id, CAST(row_number() OVER (ORDER BY at_, id) AS INT) AS ord FROM f""",
     "k_csv_lines": f"WITH {_PROP} SELECT " + " || ',' || ".join(f"'\"' || replace(coalesce(CAST({c} AS VARCHAR), ''), '\"', '\"\"') || '\"'" for c in ("id", "name", "reit", "region", "tenants", "source")) + " AS line FROM prop",
     "x_bands": f"WITH {_PROP} SELECT CASE WHEN cap IS NULL OR NOT isfinite(cap) THEN 'unknown' WHEN cap >= 5.5 THEN 'from_5_5' WHEN cap >= 5 THEN '5_0_to_5_5' WHEN cap >= 4.5 THEN '4_5_to_5_0' WHEN cap >= 4 THEN '4_0_to_4_5' WHEN cap >= 3.5 THEN '3_5_to_4_0' ELSE 'under_3_5' END AS band, count(*) AS n FROM prop GROUP BY 1",
     "m_comparables": f"""WITH {_PROP}, f AS (SELECT id, type, CASE WHEN {_VALID.format(p='')} THEN lat END AS lat, lng, {', '.join(f'{_FIN(c)} AS {c}' for c in ('leasable_area', 'price', 'cap', 'terminal_cap_rate', 'occupancy'))} FROM prop),

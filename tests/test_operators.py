@@ -135,3 +135,30 @@ def test_sources_and_sinks(spark, tmp_path):
     with pytest.raises(ValueError):
         reg.get("two")
     assert reg.run(spark).columns == ["id", "n", "adapter"]
+
+
+def test_pairs_and_names(spark):
+    from plotwise.operators import matching, pairs
+
+    rows = [("hot", f"r{k:02}") for k in range(30)] + [("one", "x"), (None, "y"), (None, "z"), ("two", "b"), ("two", "a")]
+    df = spark.createDataFrame(rows, "k string, r string")
+    want = {(f"r{a:02}", f"r{b:02}") for a in range(30) for b in range(a + 1, 30)} | {("a", "b")}
+    for hot in (4, 4000):
+        got = [(r.a, r.b) for r in pairs.pairs_by_key(df, ["k"], "r", hot).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    left = spark.createDataFrame([("霞ビル",), ("Ab C",), ("",), (None,), ("x",)], "name string")
+    right = spark.createDataFrame([("新霞ビル 別館",), ("abc",), ("ビル",), ("",), (None,)], "name string")
+    assert {tuple(r) for r in matching.contained_names(left, right).collect()} == {("霞ビル", "新霞ビル別館"), ("abc", "abc"), ("霞ビル", "ビル")}
+
+
+def test_words(spark):
+    from plotwise.operators import cells
+
+    words = spark.createDataFrame([("p", 1, "稼働率", 10.0, 100.0, 50.0, 110.0), ("p", 2, "98.5", 60.0, 101.0, 90.0, 111.0), ("p", 3, "7", 60.0, 118.0, 70.0, 126.0), ("q", 4, "5", 60.0, 100.0, 70.0, 110.0), ("p", 5, "価格", 200.0, 100.0, 220.0, 110.0), ("p", 6, "12", 205.0, 115.0, 230.0, 125.0)], "page string, word_id int, text string, x0 double, top double, x1 double, bottom double")
+    number, label = F.col("text").rlike("^[0-9.]+$"), ~F.col("text").rlike("^[0-9.]+$")
+    assert {(r.label_id, r.number_id) for r in cells.same_row_numbers(words, ["page"], label, number).collect()} == {(1, 2)}
+    assert {(r.label_id, r.number_id) for r in cells.nearest_number(words, ["page"], label, number).collect()} == {(1, 2), (5, 6)}
+    sheet = spark.createDataFrame([("s", "A", 3, "name"), ("s", "B", 3, "cap"), ("s", "AA", 3, "cap"), ("s", "A", 4, "x"), ("s", "AA", 4, "4.1")], "sheet string, col string, row int, value string")
+    head = cells.find_row(sheet, ["sheet"], F.col("value") == "name", 10)
+    assert {(r.name, r.col) for r in cells.header_map(sheet, ["sheet"], head).collect()} == {("name", "A"), ("cap", "AA")}
+    assert {r.row: (r.name, r.cap) for r in cells.rows_by_columns(sheet, ["sheet"], {"A": "name", "AA": "cap"}).collect()}[4] == ("x", "4.1")
