@@ -169,39 +169,58 @@ def dictionary(df: DataFrame, text: str = "text", path: str = VOCABULARY) -> Dat
     return materialize(folded if long.isEmpty() else folded.unionByName(_long_words(long, path)))
 
 
-def _encoded_words(df: DataFrame, keys: Sequence[str], text: str, path: str) -> DataFrame:
-    """(keys, _h, _pos, _ids) for each word of each text; texts without words have one row with null _pos."""
+def _dictionaries(df: DataFrame, text: str, path: str) -> tuple[DataFrame, DataFrame | None]:
+    """(_word, _ids) of the frequent words, bounded and to be broadcast, and of the others, None if there are none."""
     known = dictionary(df, text, path)
     fits = F.octet_length("word") <= HOT_BYTES
     hot = known.where(fits).orderBy(F.desc("n"), "word").limit(HOT_WORDS) if known.count() > HOT_WORDS else known.where(fits)
     hot = hot.select(F.col("word").alias("_word"), F.col("ids").alias("_ids"))
-    out = [*keys, "_h", "_pos", "_ids"]
-    # Hashed and cut before the explode: beside it the text would be hashed again for each word.
-    cut = df.select(*keys, F.xxhash64(text).alias("_h"), words(F.col(text)).alias("_words"))
-    met = cut.select(*keys, "_h", F.posexplode_outer("_words").alias("_pos", "_word")).join(F.broadcast(hot), "_word", "left")
     cold = known.select(F.col("word").alias("_word"), F.col("ids").alias("_ids")).join(F.broadcast(hot.select("_word")), "_word", "left_anti")
-    if cold.isEmpty():
-        return met.select(*out)
-    rest = met.where("_ids is null and _word is not null").drop("_ids").join(cold, "_word")
-    return met.where("_ids is not null or _word is null").select(*out).unionByName(rest.select(*out))
+    return F.broadcast(hot), None if cold.isEmpty() else cold
+
+
+def _cut(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """(_k, _h, _words): each text's words, under its keys in one struct and the hash of its text.
+
+    Hashed and cut before any explode: beside it the text would be hashed again for each word.
+    """
+    return df.select(F.struct(*keys).alias("_k"), F.xxhash64(text).alias("_h"), F.col(text).alias("_text"))
 
 
 def encode(df: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text", path: str = VOCABULARY) -> DataFrame:
     """(keys, ids): the ids of each text, without special tokens, the text taken as it is.
 
     Null and empty texts give the empty list. Rows that repeat both keys and text give one row; keys with several texts
-    give one row for each. Other columns of df don't matter. Words are put together within the task that cut them, so the
-    shuffle carries ids only.
+    give one row for each. Other columns of df don't matter. The texts are shuffled once, by their keys; frequent words are
+    then looked up and put together within the task that has the text, and only the rare words' ids travel to it.
     """
-    rows = _encoded_words(df, keys, text, path).groupBy(*keys, "_h").agg(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_ids"))).alias("_w"))
+    hot, cold = _dictionaries(df, text, path)
+    at = ["_k", "_h"]
+    texts = _cut(df, keys, text).repartition(*at).select(*at, words(F.col("_text")).alias("_words"))
+    met = texts.select(*at, F.posexplode_outer("_words").alias("_pos", "_word")).join(hot, "_word", "left")
+    rows = met.groupBy(*at).agg(F.collect_list(F.when(F.col("_ids").isNotNull(), F.struct("_pos", "_ids"))).alias("_w"))
+    if cold is not None:
+        rest = met.where("_ids is null and _word is not null").drop("_ids").join(cold, "_word")
+        rare = rest.groupBy(*at).agg(F.collect_list(F.struct("_pos", "_ids")).alias("_r"))
+        rows = rows.join(rare, at, "left").select(*at, F.concat("_w", F.coalesce("_r", F.array().cast("array<struct<_pos:int,_ids:array<int>>>"))).alias("_w"))
     once = _let(F.sort_array("_w"), lambda w: F.when(F.size(w) > F.element_at(w, -1)["_pos"] + 1, F.array_distinct(w)).otherwise(w))
     once = F.when(F.size("_w") > 0, once).otherwise(F.col("_w"))
     ids = F.flatten(F.transform(once, lambda x: x["_ids"])).cast("array<int>")
-    return rows.select(*keys, ids.alias("ids"))
+    return rows.select(*(F.col("_k")[k].alias(k) for k in keys), ids.alias("ids"))
 
 
 def token_counts(df: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text", path: str = VOCABULARY) -> DataFrame:
-    """(keys, tokens): the number of ids of each text; 0 for null and empty texts. Repeated rows as in encode()."""
-    rows = _encoded_words(df, keys, text, path).groupBy(*keys, "_h").agg(F.coalesce(F.sum(F.size("_ids")), F.lit(0)).alias("_sum"), F.greatest(F.lit(1), F.count(F.when(F.col("_pos") == 0, 1))).alias("_rows"))
-    rows = rows.withColumn("tokens", (F.col("_sum") / F.col("_rows")).cast("bigint"))
-    return rows.select(*keys, "tokens")
+    """(keys, tokens): the number of ids of each text; 0 for null and empty texts. Repeated rows as in encode().
+
+    Counts are added up before the shuffle: a row for each text travels, and the rare words with their keys.
+    """
+    hot, cold = _dictionaries(df, text, path)
+    at = ["_k", "_h"]
+    count = lambda d: d.select("_word", F.size("_ids").alias("_n"))
+    cut = _cut(df, keys, text).select(*at, words(F.col("_text")).alias("_words"))
+    met = cut.select(*at, F.posexplode_outer("_words").alias("_pos", "_word")).join(F.broadcast(count(hot)), "_word", "left").select(*at, "_pos", "_word", "_n")
+    if cold is not None:
+        rest = met.where("_n is null and _word is not null").drop("_n").join(count(cold), "_word").select(*at, "_pos", "_word", "_n")
+        met = met.where("_n is not null or _word is null").unionByName(rest)
+    rows = met.groupBy(*at).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_sum"), F.greatest(F.lit(1), F.count(F.when(F.col("_pos") == 0, 1))).alias("_rows"))
+    return rows.select(*(F.col("_k")[k].alias(k) for k in keys), (F.col("_sum") / F.col("_rows")).cast("bigint").alias("tokens"))
