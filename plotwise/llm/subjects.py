@@ -9,7 +9,10 @@ document the subjects whose expected share of its sentences reaches the threshol
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -24,15 +27,15 @@ FIT_DOCUMENTS, FIT_SENTENCES = 2000, 150
 
 # A small lexicon of general knowledge for the subjects that bear these names. Others have none.
 LEXICON = {
-    "finance": "借入|融資|金利|利息|利払い|社債|格付け|分配金|有利子負債|投資法人債|返済期日|財務制限|loan|lender|interest rate|refinanc|bond|credit|dividend|distribution per unit|debt|covenant|hedge|調達コスト|増資|投資口価格|手元資金|金融機関|maturity|equity offering|swap|yield|financ|unitholder|basis point|tranche",
-    "law": "訴訟|裁判|判決|原告|被告|弁護士|仲裁|和解|損害賠償|条例|時効|公正証書|地役権|lawsuit|court|judge|plaintiff|tribunal|arbitrat|injunction|easement|litigation|statute|差止|契約違反|借地|公証|宣誓|法廷|appeal|breach|deed|attorney|sworn|legal|verdict",
+    "finance": "借入|融資|金利|利息|利払い|社債|格付け|分配金|有利子負債|返済期日|財務制限|loan|lender|interest rate|refinance|refinancing|bond|credit|dividend|distribution per unit|debt|covenant|hedge|調達コスト|増資|投資口価格|手元資金|金融機関|maturity|equity offering|swap|yield|financ|unitholder|basis point|tranche",
+    "law": "訴訟|裁判|判決|原告|被告|弁護士|仲裁|和解|損害賠償|条例|時効|公正証書|地役権|lawsuit|court|judge|plaintiff|tribunal|arbitration|arbitrator|injunction|easement|litigation|statute|差止|契約違反|借地|公証|宣誓|法廷|appeal|breach|deed|attorney|sworn|legal|verdict",
     "engineering": "耐震|杭|鉄骨|外壁|配管|昇降機|基礎の|打診|免震|梁|seismic|steel|beam|facade|piping|elevator|foundation|damper|girder|waterproof|補強|劣化|ひび|剛性|構造|bolt|crack|retrofit|concrete|structural|bedrock",
     "energy": "太陽光|蓄電池|省エネ|断熱|再エネ|炭素|電力|冷暖房|脱炭素|solar|battery|energy|carbon|insulation|heat pump|renewable|emission|electricity|環境認証|電源|燃料|ガスの|水の再利用|排出|charging|kilowatt|power demand|green|utility|fuel",
     "logistics": "物流|荷主|倉庫|トラック|配送|積替え|仕分け|コンテナ|荷捌き|ピッキング|warehouse|truck|freight|shipper|container|carrier|cross-dock|pallet|forklift|delivery route|車両動線|ランプウェイ|荷は|輸送|冷凍|depot|parcel|inbound|picking|loading|berth|courier|shipment",
     "retail": "売場|店舗|買物|商店|専門店|出店|来館者|セール|レジ|店頭|shop|store|retail|merchant|boutique|shopper|checkout|food hall|tenant mix|outlet|値下げ|販促|催事|テナント|食品|bargain|customer|window display|grocer|discount|basket",
-    "hospitality": "宿泊|客室|旅館|ホテル|観光|宴会|予約|フロント|朝食|温浴|hotel|guest|banquet|booking|tourist|room rate|housekeep|breakfast|check-in|resort|旅行|連泊|満室|枕|ラウンジ|traveller|stay|suite|lobby|overnight|spa",
+    "hospitality": "宿泊|客室|旅館|ホテル|観光|宴会|予約|フロント|朝食|温浴|hotel|guest|banquet|booking|tourist|room rate|housekeeping|breakfast|check-in|resort|旅行|連泊|満室|枕|ラウンジ|traveller|stay|suite|lobby|overnight|spa",
     "sport": "試合|選手|監督|得点|競技|決勝|延長戦|練習場|スタジアム|マラソン|match|player|coach|stadium|tournament|league|goal|final|marathon|athlete|swim|更衣室|観客|リレー|水泳|テニス|主将|relay|penalty|locker room|season ticket|captain|fans|lap|racket",
-    "software": "ソフト|クラウド|データ連携|不具合|バックアップ|アプリ|暗号|ログイン|サーバ|ネットワーク機器|software|cloud|bug|backup|server|encrypt|login|api|database|firmware|schema|更新版|障害|実行|画面|開発者|同期|developer|deploy|migration|sign in|script|patch|mobile app",
+    "software": "ソフト|クラウド|データ連携|不具合|バックアップ|アプリ|暗号|ログイン|サーバ|ネットワーク機器|software|cloud|bug|backup|server|encrypt|encryption|login|api|database|firmware|schema|更新版|障害|実行|画面|開発者|同期|developer|deploy|migration|sign in|script|patch|mobile app",
     "health": "診療|病院|看護|介護|患者|医師|感染|薬局|リハビリ|手術|clinic|hospital|nurse|patient|doctor|pharmacy|ward|infection|surgery|care plan|血圧|ケアプラン|認知症|健康|衛生|dementia|blood pressure|care home|physician|therapy|vaccin|medical",
 }
 
@@ -76,12 +79,23 @@ def grams(sentence: Column) -> Column:
     return _let(F.regexp_replace(F.lower(sentence), "[0-9]+", "0"), of)
 
 
-def lexicon_hits(sentence: Column, subjects: list[str]) -> Column:
-    """The numbers of the subjects whose lexicon the sentence meets."""
-    known = [(LEXICON[s], k) for k, s in enumerate(subjects) if s in LEXICON]
-    if not known:
-        return F.array().cast("array<int>")
-    return _let(F.lower(sentence), lambda low: F.filter(F.array(*(F.when(low.rlike(words), F.lit(k)) for words, k in known)), lambda k: k.isNotNull()))
+def lexicon_grams(subjects: list[str]) -> dict[str, int]:
+    """The lexicon as features of grams(): feature -> the subjects it speaks for, as bits.
+
+    Japanese terms stand for themselves, longer ones for their first three characters; Latin words for themselves and their
+    usual endings, pairs of words likewise. So the lexicon is looked up along with the classifier's features, in one join.
+    """
+    out: dict[str, int] = {}
+    for k, subject in enumerate(subjects):
+        for term in LEXICON.get(subject, "").split("|"):
+            if term and term.isascii():
+                words = re.findall("[a-z']+", term)
+                forms = [" ".join(words[-2:]) + end for end in ("", "s", "es", "ed", "ing")] if len(words) > 1 else [words[0] + end for end in ("", "s", "es", "ed", "er", "ing", "ion", "ation")]
+            else:
+                forms = [term[:3]] if term else []
+            for f in forms:
+                out[f] = out.get(f, 0) | 1 << k
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], documents: int = FIT_DOCUMENTS, per_document: int = FIT_SENTENCES, rounds: int = 12, outside: float = 0.01, hint: float = 8.0) -> Classifier:
@@ -94,13 +108,13 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], documents: int
     """
     known = labels.where(F.col("subject").isin(subjects)).groupBy("doc_id").agg(F.collect_set("subject").alias("ys"))
     some = known.join(docs.where("text is not null"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
-    got = some.select("ys", F.transform(F.slice(sentences(F.col("text")), 1, per_document), lambda x: F.struct(grams(x["s"]).alias("g"), lexicon_hits(x["s"], subjects).alias("k"))).alias("xs")).collect()
+    got = some.select("ys", F.transform(F.slice(sentences(F.col("text")), 1, per_document), lambda x: grams(x["s"])).alias("xs")).collect()
     at = {s: k for k, s in enumerate(subjects)}
-    n_subjects, general = len(subjects), at[GENERAL]
+    n_subjects, general, lexicon = len(subjects), at[GENERAL], lexicon_grams(subjects)
     count: dict[str, int] = {}
     for r in got:
         for x in r.xs:
-            for g in x.g:
+            for g in x:
                 count[g] = count.get(g, 0) + 1
     vocabulary = {g: k for k, g in enumerate(sorted(g for g, c in count.items() if c >= 2))}
     flat, owner, allowed = [], [], []
@@ -108,12 +122,13 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], documents: int
         may = np.full(n_subjects, outside)
         may[[at[y] for y in r.ys] + [general]] = 1.0
         for x in r.xs:
-            ids = [vocabulary[g] for g in x.g if g in vocabulary]
+            ids = [vocabulary[g] for g in x if g in vocabulary]
             if ids:
                 flat += ids
                 owner += [len(allowed)] * len(ids)
                 hinted = may.copy()
-                hinted[x.k] *= hint
+                bits = reduce(or_, (lexicon.get(g, 0) for g in x), 0)
+                hinted[[k for k in range(n_subjects) if bits >> k & 1]] *= hint
                 allowed.append(hinted)
     if not allowed:
         return Classifier(subjects, np.log(np.full(n_subjects, 1 / n_subjects)), {})
@@ -186,8 +201,9 @@ def votes(docs: DataFrame, labels: DataFrame, model: Classifier, sure: float = 3
     spark, subjects = docs.sparkSession, model.subjects
     n = len(subjects)
     cols = [f"w{k}" for k in range(n)]
-    rows = [(g, *map(float, w)) for g, w in model.weights.items()]
-    table = spark.createDataFrame([("", *[0.0] * n), *rows], "g string, " + ", ".join(f"{c} double" for c in cols))  # bounded by the fit
+    lexicon, nothing = lexicon_grams(subjects), np.zeros(n)
+    rows = [(g, lexicon.get(g, 0), int(g in model.weights), *map(float, model.weights.get(g, nothing))) for g in {"", *model.weights, *lexicon}]
+    table = spark.createDataFrame(rows, "g string, bits long, known int, " + ", ".join(f"{c} double" for c in cols))  # bounded by the fit
     at = {s: k for k, s in enumerate(subjects)}
     pick = lambda c, m: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for v, s in m.items() for x in (v, at[s]))), c), F.lit(-1)) if m else F.lit(-1)
     source = F.lower(F.trim("source"))
@@ -195,17 +211,15 @@ def votes(docs: DataFrame, labels: DataFrame, model: Classifier, sure: float = 3
     base = docs.where("doc_id is not null and text is not null").repartition("doc_id")
     whole = base.select("doc_id", F.xxhash64("text").alias("h"), pick(source, by_source).alias("source"), pick(F.col("reit_code"), by_issuer).alias("issuer"), sentences(F.col("text")).alias("xs"))
     cut = whole.select("doc_id", "h", "source", "issuer", F.posexplode("xs").alias("pos", "x"))
-    hits = lexicon_hits(F.col("x.s"), subjects)
-    lexicon = _let(hits, lambda h: F.when(F.size(h) == 1, h[0]).otherwise(-1))
     # Computed before the explode: beside it they would be computed again for each feature.
-    seen = cut.select("doc_id", "h", "pos", "source", "issuer", F.col("x.para").alias("para"), lexicon.alias("lexicon"), F.concat(F.array(F.lit("")), grams(F.col("x.s"))).alias("gs"))
-    one = seen.select("doc_id", "h", "pos", "source", "issuer", "para", "lexicon", F.explode("gs").alias("g"))
+    seen = cut.select("doc_id", "h", "pos", "source", "issuer", F.col("x.para").alias("para"), F.concat(F.array(F.lit("")), grams(F.col("x.s"))).alias("gs"))
+    one = seen.select("doc_id", "h", "pos", "source", "issuer", "para", F.explode("gs").alias("g"))
     # The empty feature marks the sentence: it counts its copies and keeps sentences of unknown words.
     met = one.join(F.broadcast(table), "g")
     copies = F.count(F.when(F.col("g") == "", 1))
-    summed = met.groupBy("doc_id", "h", "pos").agg(*(F.first(c).alias(c) for c in ("source", "issuer", "para", "lexicon")), (F.count(F.lit(1)) / copies - 1).alias("k"), *((F.sum(c) / copies).alias(c) for c in cols))
+    summed = met.groupBy("doc_id", "h", "pos").agg(*(F.first(c).alias(c) for c in ("source", "issuer", "para")), F.bit_or("bits").alias("bits"), (F.sum("known") / copies).alias("k"), *((F.sum(c) / copies).alias(c) for c in cols))
     score = F.array(*(F.lit(float(p)) + F.col(c) / F.sqrt(F.greatest("k", F.lit(1.0))) for c, p in zip(cols, model.prior, strict=True)))
-    scored = summed.withColumn("score", score)
+    scored = summed.withColumn("score", score).withColumn("lexicon", F.when(F.bit_count("bits") == 1, F.round(F.log2("bits")).cast("int")).otherwise(-1))
     best = F.array_max("score")
     second = F.get(F.sort_array("score", asc=False), F.lit(1)) if n > 1 else best
     scored = scored.withColumn("words", F.when(F.col("k") > 0, F.array_position("score", best).cast("int") - 1).otherwise(-1)).withColumn("words_sure", F.when(best - second >= sure, F.col("words")).otherwise(-1))
