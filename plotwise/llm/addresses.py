@@ -26,6 +26,8 @@ _POSTAL = r"(?:〒\s*|\A\s*|[\s,])([0-9]{3}-?[0-9]{4})(?=[^0-9-]|\z)|〒\s*([0-9
 
 #: Cosine that a wording must reach to be taken for a town on its words alone, and where the postal code agrees.
 BY_WORDS, BY_POSTAL = 0.55, 0.03
+#: A wording is clear if no other town comes so near to its best one; a bare town name without a postal code never is.
+MARGIN = 0.02
 #: Every n-gram counts as if it were in one wording of so many more, so that a slip's unheard-of n-grams don't outweigh the rest.
 SMOOTHING = 500
 PREFIX_REST = 0.5
@@ -109,7 +111,7 @@ def _tails(start: int) -> Column:
 
 
 def resolve(wordings: DataFrame, towns: DataFrame, by_words: float = BY_WORDS, by_postal: float = BY_POSTAL, bonus: float = POSTAL_BONUS) -> DataFrame:
-    """(words, postal, town, cosine): the town of each distinct wording; ties between towns and too low cosines leave no row."""
+    """(words, postal, town, cosine): the town of each distinct wording; near ties between towns and too low cosines leave no row."""
     spark = wordings.sparkSession
     hub = materialize(gazetteer(towns).withColumn("y", F.monotonically_increasing_id()))
     seen = materialize(wordings.select("words", "postal").distinct().withColumn("x", F.monotonically_increasing_id()))
@@ -143,7 +145,7 @@ def resolve(wordings: DataFrame, towns: DataFrame, by_words: float = BY_WORDS, b
     scored = scored.where((F.col("cosine") >= by_words) | (F.col("coded") & (F.col("cosine") >= by_postal)))
     one = F.struct(F.round(F.col("cosine") + F.when(F.col("coded"), bonus).otherwise(0.0), 9).alias("score"), "town", "cosine")
     top = scored.groupBy("x").agg(F.max(one).alias("top"), F.collect_set(one).alias("all"))
-    clear = ~F.exists("all", lambda e: (e["score"] == F.col("top.score")) & (e["town"] != F.col("top.town")))
+    clear = ~F.exists("all", lambda e: (e["score"] > F.col("top.score") - MARGIN) & (e["town"] != F.col("top.town")))
     return top.where(clear).join(seen, "x").select("words", "postal", "top.town", "top.cosine")
 
 
