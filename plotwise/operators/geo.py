@@ -175,6 +175,8 @@ def cover_areas(areas: DataFrame, key: str = "area_id", wkt: str = "wkt", depth:
                     yield pd.DataFrame(rows[at : at + 5000], columns=["area", "level", "ix", "iy", "interior", "rings"])
 
     src = areas.select(F.col(key).cast("string").alias("area"), F.col(wkt).alias("wkt")).where("area is not null and wkt is not null")
+    # A shape is a lot of work and few bytes: a small table would come in one task.
+    src = src.repartition(areas.sparkSession.sparkContext.defaultParallelism)
     return src.mapInPandas(cover, "area string, level int, ix int, iy int, interior boolean, rings array<array<array<double>>>")
 
 
