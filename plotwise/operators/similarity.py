@@ -2,31 +2,54 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plotwise.functions.scalars import finite, ratio_difference, scaled_difference
-from plotwise.operators.geo import haversine_km, valid_coordinate
+from plotwise.functions.scalars import finite
+from plotwise.operators.geo import EARTH_RADIUS_KM, valid_coordinate
 from plotwise.session import broadcast_if_small, materialize
 
-_FIELDS = ("lat", "lng", "leasable_area", "price", "cap", "terminal_cap_rate", "occupancy")
+#: Fixed values: (derived column, difference at which the penalty is full, weight).
+_PENALTIES = (("area", math.log(4.0), 20.0), ("amount", math.log(4.0), 10.0), ("cap", 1.5, 15.0), ("tcr", 1.5, 15.0), ("occ", 10.0, 10.0))
+_KM_FULL, _KM_WEIGHT = 50.0, 30.0
+
+
+def derived(df: DataFrame, prefix: str) -> DataFrame:
+    """What the score needs of a row, worked out once before rows meet: radians, cosine, logarithms; null where missing."""
+    ok = valid_coordinate(F.col("lat"), F.col("lng"))
+    lat = F.when(ok, F.radians("lat"))
+    log = lambda c: F.when(finite(F.col(c)) > 0, F.ln(F.when(F.col(c) > 0, F.col(c))))
+    cols = {"lat": lat, "cos": F.cos(lat), "lng": F.when(ok, F.radians("lng")), "area": log("leasable_area"), "amount": log("price"), "cap": finite(F.col("cap")), "tcr": finite(F.col("terminal_cap_rate")), "occ": finite(F.col("occupancy"))}
+    return df.select(F.col("id").alias(f"{prefix}id"), "type", *(c.alias(prefix + n) for n, c in cols.items()))
+
+
+def _penalty(off: Column, full: float, weight: float) -> Column:
+    """In proportion up to the weight; half of it where a value is missing."""
+    return F.when(off.isNull(), weight / 2).when(off < full, off * (weight / full)).otherwise(weight)
 
 
-def score(a: dict[str, Column], b: dict[str, Column]) -> Column:
+def score(a: str, b: str) -> Column:
     """100 less the penalties for distance, area, price, rates and occupancy, rounded half up, at least 0."""
-    km = F.when(valid_coordinate(a["lat"], a["lng"]) & valid_coordinate(b["lat"], b["lng"]), F.round(haversine_km(a["lat"], a["lng"], b["lat"], b["lng"]), 6))
-    v = {c: (finite(a[c]), finite(b[c])) for c in _FIELDS}
-    lost = F.when(km.isNull(), F.lit(15.0)).otherwise(F.least(km / 50, F.lit(1.0)) * 30) + ratio_difference(*v["leasable_area"], 20) + ratio_difference(*v["price"], 10)
-    lost = lost + scaled_difference(*v["cap"], 1.5, 15) + scaled_difference(*v["terminal_cap_rate"], 1.5, 15) + scaled_difference(*v["occupancy"], 10, 10)
+    x = lambda n: (F.col(a + n), F.col(b + n))
+    (p, q), (u, v), (c, d) = x("lat"), x("lng"), x("cos")
+    h = F.pow(F.sin((q - p) / 2), 2) + c * d * F.pow(F.sin((v - u) / 2), 2)
+    lost = _penalty(F.round(2 * EARTH_RADIUS_KM * F.asin(F.sqrt(F.when(h < 1, h).when(h.isNotNull(), 1.0))), 6), _KM_FULL, _KM_WEIGHT)
+    for n, full, weight in _PENALTIES:
+        lost = lost + _penalty(F.abs(F.col(a + n) - F.col(b + n)), full, weight)
     return F.greatest(F.lit(0.0), F.floor(F.round(100 - lost, 9) + 0.5)).cast("int")
 
 
 def comparables(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
     """(base_id, id, score, rank): for each query the k most similar rows of its type, itself left out, ties by id.
 
-    The queries are broadcast if their measured size allows; each task keeps its own best k of a query before the shuffle.
+    The queries are broadcast if their measured size allows. Scores are whole numbers up to 100, so a first pass counts them
+    for each query and finds the least score among its k best; a second pass ranks only the rows that reach it.
     """
-    q = materialize(queries.select(F.col("id").alias("base_id"), "type", *(F.col(c).alias(f"q_{c}") for c in _FIELDS)))
-    met = rows.select("id", "type", *_FIELDS).join(broadcast_if_small(q, 160), "type").where(F.col("id") != F.col("base_id"))
-    s = score({c: F.col(f"q_{c}") for c in _FIELDS}, {c: F.col(c) for c in _FIELDS})
+    q = broadcast_if_small(materialize(derived(queries, "q_")), 160)
+    met = derived(rows, "r_").join(q, "type").where(F.col("q_id") != F.col("r_id")).select(F.col("q_id").alias("base_id"), F.col("r_id").alias("id"), score("q_", "r_").alias("score"))
+    above = F.coalesce(F.sum("count").over(Window.partitionBy("base_id").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    least = met.groupBy("base_id", "score").count().withColumn("above", above).where(F.col("above") < k).groupBy("base_id").agg(F.min("score").alias("least"))
+    best = met.join(broadcast_if_small(materialize(least), 40), "base_id").where(F.col("score") >= F.col("least"))
     w = Window.partitionBy("base_id").orderBy(F.col("score").desc(), "id")
-    return met.select("base_id", "id", s.alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.select("base_id", "id", "score").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
