@@ -11,6 +11,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from plotwise.functions.scalars import METRICS
+from plotwise.operators.quality import RANGES
+
 KEYS = ["table_name", "column_name", "feed_id", "load_no"]
 
 
@@ -23,7 +26,9 @@ class ColumnCheck:
     source: str = ""
     low: float | None = None
     high: float | None = None
+    low_included: bool = True
     date: bool = False
+    time: bool = False
 
     @property
     def column(self) -> Column:
@@ -49,17 +54,23 @@ class TableChecks:
 #: What the project profiles.
 PERIOD = TableChecks("property_period", (ColumnCheck("occupancy", True, low=0.0, high=100.0), ColumnCheck("as_of_date", False, date=True)))
 REPORT = TableChecks("quality_report", (ColumnCheck("evidence_coverage_percent", True, source="totals.evidence_coverage_percent", low=0.0, high=100.0),))
-#: All columns for the descriptive profile.
-PERIOD_ALL = TableChecks("property_period", (*(ColumnCheck(c, True) for c in ("occupancy", "cap", "terminal_cap_rate", "discount_rate", "price", "book_value", "noi", "appraisal", "leasable_area", "leased_area", "tenants")), *(ColumnCheck(c, False) for c in ("property_id", "reit", "reit_code", "type", "period", "as_of_date"))))
-REPORT_ALL = TableChecks("quality_report", tuple(ColumnCheck(c, True, source=f"totals.{c}") for c in ("properties", "periods", "numeric_values", "evidence_complete", "evidence_coverage_percent", "with_coordinates", "coordinate_coverage_percent", "duplicate_ids", "errors", "warnings")) + (ColumnCheck("status", False), ColumnCheck("schema_version", False)))
+#: All columns for the descriptive profile; feed_id and load_no are the load itself.
+PERIOD_ALL = TableChecks("property_period", (
+    *(ColumnCheck(c, True, low=low, low_included=included, high=high) for c in METRICS for low, included, high in [RANGES.get(c, (None, True, None))]),
+    ColumnCheck("row_id", True), ColumnCheck("period_no", True), ColumnCheck("loaded_at", True, time=True), *(ColumnCheck(c, False) for c in ("property_id", "reit", "reit_code", "type", "period")), ColumnCheck("as_of_date", False, date=True),
+))
+REPORT_ALL = TableChecks("quality_report", (
+    *(ColumnCheck(c, True, source=f"totals.{c}", low=0.0, high=100.0 if c.endswith("_percent") else None) for c in ("properties", "periods", "numeric_values", "evidence_complete", "evidence_coverage_percent", "with_coordinates", "coordinate_coverage_percent", "duplicate_ids", "errors", "warnings")),
+    ColumnCheck("report_id", True), *(ColumnCheck(c, False) for c in ("status", "schema_version", "generated_at", "import_run_id")),
+))
 
 
 def state(df: DataFrame, spec: TableChecks) -> DataFrame:
     """The mergeable state: (table_name, column_name, feed_id, load_no, num, txt, n). Null values keep num and txt null.
 
-    Rows with a null feed_id or load_no belong to no load and take no part.
+    Rows with a null feed_id or load_no belong to no load and take no part. Timestamps are numbers: seconds since 1970.
     """
-    cells = F.array(*(F.struct(F.lit(c.name).alias("column_name"), (c.column.cast("double") if c.numeric else F.lit(None).cast("double")).alias("num"), (F.lit(None).cast("string") if c.numeric else c.column.cast("string")).alias("txt")) for c in spec.checks))
+    cells = F.array(*(F.struct(F.lit(c.name).alias("column_name"), ((c.column.cast("timestamp") if c.time else c.column).cast("double") if c.numeric else F.lit(None).cast("double")).alias("num"), (F.lit(None).cast("string") if c.numeric else c.column.cast("string")).alias("txt")) for c in spec.checks))
     long = df.where("feed_id is not null and load_no is not null").select(F.lit(spec.table).alias("table_name"), "feed_id", F.col("load_no").cast("int").alias("load_no"), F.inline(cells))
     return long.groupBy(*KEYS, "num", "txt").agg(F.count(F.lit(1)).alias("n"))
 
@@ -81,8 +92,9 @@ def form(c: Column) -> Column:
 
 
 def metrics(merged: DataFrame, specs: list[TableChecks]) -> DataFrame:
-    """One row for each column of a load: rows, nulls, distinct, low, high, mean, median, out_of_range, bad_pattern, forms.
+    """One row for each column of a load: rows, nulls, distinct, low, high, mean, median, out_of_range, bad_pattern, forms, form_set.
 
+    forms is the number of the texts' forms, form_set the forms themselves in order (none for numeric columns).
     NaN is a value: greater than all others, out of any range, one distinct value. The median is exact, the mean of the two
     middle values if their count is even; it walks the sorted distinct values of the load, never all rows.
     """
@@ -92,8 +104,8 @@ def metrics(merged: DataFrame, specs: list[TableChecks]) -> DataFrame:
         for c in spec.checks:
             at = (F.col("table_name") == spec.table) & (F.col("column_name") == c.name)
             if c.low is not None or c.high is not None:
-                out = F.lit(False)
-                out = out | (F.col("num") < c.low) if c.low is not None else out
+                out = F.isnan("num")
+                out = out | (F.col("num") < c.low if c.low_included else F.col("num") <= c.low) if c.low is not None else out
                 out = out | (F.col("num") > c.high) if c.high is not None else out
                 bounds = F.when(at, F.coalesce(out, F.lit(False))).otherwise(bounds)
             if c.date:
@@ -106,11 +118,12 @@ def metrics(merged: DataFrame, specs: list[TableChecks]) -> DataFrame:
     holds = lambda rank: F.col("num").isNotNull() & (F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank)
     low, high = F.floor((F.col("total") + 1) / 2), F.floor((F.col("total") + 2) / 2)
     some = F.when(given, F.col("n"))
+    text_form = F.when(F.col("txt").isNotNull(), form(F.col("txt")))
     return ranked.groupBy(*KEYS).agg(
         F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(~given, F.col("n"))), F.lit(0)).alias("nulls"), F.count(some).alias("distinct"),
         F.min("num").alias("low"), F.max("num").alias("high"), (F.sum(F.col("num") * F.col("n")) / F.sum(F.when(F.col("num").isNotNull(), F.col("n")))).alias("mean"),
         ((F.max(F.when(holds(low), F.col("num"))) + F.max(F.when(holds(high), F.col("num")))) / 2).alias("median"),
-        F.coalesce(F.sum(F.when(bounds, F.col("n"))), F.lit(0)).alias("out_of_range"), F.coalesce(F.sum(F.when(bad_date, F.col("n"))), F.lit(0)).alias("bad_pattern"), F.count_distinct(F.when(F.col("txt").isNotNull(), form(F.col("txt")))).alias("forms"),
+        F.coalesce(F.sum(F.when(bounds, F.col("n"))), F.lit(0)).alias("out_of_range"), F.coalesce(F.sum(F.when(bad_date, F.col("n"))), F.lit(0)).alias("bad_pattern"), F.count_distinct(text_form).alias("forms"), F.sort_array(F.collect_set(text_form)).alias("form_set"),
     )
 
 

@@ -70,9 +70,9 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_profile(spark: SparkSession, sf: str) -> DataFrame:
-    """The profile of every column of every load."""
+    """The profile of every column of every load: ranges, forms and what breaks a range or a pattern included."""
     rows = _profile(spark, sf, profile.PERIOD_ALL, profile.REPORT_ALL)
-    return rows.drop("out_of_range", "bad_pattern", "forms", "mean").withColumn("median", F.round("median", 6))
+    return rows.withColumns({c: F.round(c, 6) for c in ("median", "mean")})
 
 
 def p6_control(spark: SparkSession, sf: str) -> DataFrame:
