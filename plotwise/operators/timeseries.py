@@ -34,10 +34,10 @@ def timeline(rows: DataFrame, key: str = "key") -> DataFrame:
     return rows.groupBy(F.col(key).alias("key")).agg(label)
 
 
-def dense(series: DataFrame, keys: list[str], key: str = "bucket") -> DataFrame:
-    """Every id at every key of the timeline, null where it has no value. keys: the timeline, a short list."""
+def dense(series: DataFrame, places: DataFrame, key: str = "bucket") -> DataFrame:
+    """Every id at every key of places, a timeline of any length, null where it has no value."""
     by_id = series.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(key, "value"))).alias("m"))
-    return by_id.select("id", "m", F.explode(F.array(*map(F.lit, keys))).alias(key)).select("id", key, F.try_element_at("m", F.col(key)).alias("value"))
+    return by_id.crossJoin(places).withColumn("value", F.try_element_at("m", F.col(key))).drop("m")
 
 
 def least_samples(selected: int) -> int:

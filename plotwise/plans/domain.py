@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from plotwise.functions import scalars as S
 from plotwise.functions.scalars import METRICS
 from plotwise.operators import cells, changes, evidence, matching, quality, search, similarity, timeseries
-from plotwise.session import materialize
+from plotwise.session import broadcast_if_small, materialize
 from plotwise.sources.tables import table
 from plotwise.streaming import half_year
 
@@ -133,34 +133,39 @@ def t_timeline(spark, sf):
     return timeseries.timeline(_keyed(spark, sf), "bucket")
 
 
+def _places(keyed):
+    """Every key of the half-year timeline with its place ix in it, from 0."""
+    keys = timeseries.timeline(keyed, "bucket").select(F.col("key").alias("bucket"))
+    places = materialize(search.ranked(keys, F.col("bucket")).select("bucket", (F.col("rank") - 1).cast("int").alias("ix")))
+    return broadcast_if_small(places, F.lit(32) + F.octet_length("bucket"))
+
+
 def t_grid(spark, sf):
-    """Every property with a value at every half-year of the timeline that is one, nulls included."""
-    rows = materialize(timeseries.half_year_series(_keyed(spark, sf)).where(F.col("bucket").rlike("^[0-9]{4}-H[12]$")))
-    keys = sorted(r.bucket for r in rows.select("bucket").distinct().collect())  # half-years
-    return timeseries.dense(rows, keys) if keys else rows
+    """Every property with a value at every key of the half-year timeline, undated periods under their own keys, nulls included."""
+    k = _keyed(spark, sf)
+    return timeseries.dense(timeseries.half_year_series(k), _places(k)).select("id", "bucket", "value")
 
 
-def _grid(spark, sf):
-    g = t_grid(spark, sf)
-    year = F.substring("bucket", 1, 4).cast("int")
-    return g.withColumn("ix", year * 2 + F.substring("bucket", 7, 1).cast("int"))
+def _placed(spark, sf):
+    k = _keyed(spark, sf)
+    return timeseries.half_year_series(k).join(_places(k), "bucket")
 
 
 def t_segments(spark, sf):
-    """Runs of consecutive half-years with values."""
-    return timeseries.segments(_grid(spark, sf), "value")
+    """Runs of consecutive places of the timeline with values."""
+    return timeseries.segments(_placed(spark, sf), "value")
 
 
 def t_gap_edges(spark, sf):
-    """Half-years on both sides of gaps."""
-    return timeseries.gap_edges(_grid(spark, sf))
+    """Places of the timeline on both sides of gaps."""
+    return timeseries.gap_edges(_placed(spark, sf))
 
 
 def t_band_segments(spark, sf):
-    """Runs of half-years in which an issuer has quartiles."""
-    k = timeseries.half_year_series(_keyed(spark, sf)).where(F.col("bucket").rlike("^[0-9]{4}-H[12]$"))
-    q = timeseries.quartiles(k.select(F.substring("id", 1, 3).alias("id"), "bucket", "value"), ["id", "bucket"]).where("n >= 3")
-    q = q.withColumn("ix", F.substring("bucket", 1, 4).cast("int") * 2 + F.substring("bucket", 7, 1).cast("int"))
+    """Runs of consecutive places of the timeline at which an issuer has quartiles."""
+    k = _keyed(spark, sf)
+    rows = timeseries.half_year_series(k)
+    q = timeseries.quartiles(rows.select(F.substring("id", 1, 3).alias("id"), "bucket", "value"), ["id", "bucket"]).where("n >= 3").join(_places(k), "bucket")
     return timeseries.segments(q.withColumn("low", F.least("q1", "q3")).withColumn("high", F.greatest("q1", "q3")), "low", "high")
 
 
@@ -172,8 +177,8 @@ def a_distribution(spark, sf):
 
 
 def t_latest_snapshot(spark, sf):
-    """The last half-year with a median, and the coverage there in percent."""
-    rows = materialize(timeseries.half_year_series(_keyed(spark, sf)).where(F.col("bucket").rlike("^[0-9]{4}-H[12]$")))
+    """The last key of the timeline with a median, and the coverage there in percent."""
+    rows = materialize(timeseries.half_year_series(_keyed(spark, sf)))
     n = rows.select("id").distinct().count()
     d = timeseries.distribution(rows, timeseries.least_samples(n)).where("median is not null").orderBy(F.desc("key")).limit(1)
     return d.select("key", "n", F.round("median", 9).alias("median"), F.floor(F.col("n") / max(n, 1) * 100 + 0.5).cast("int").alias("coverage"))

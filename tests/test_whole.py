@@ -3,6 +3,9 @@
 import datetime
 import math
 import os
+import random
+import re
+import statistics
 
 import pytest
 
@@ -55,3 +58,54 @@ def test_profile_keeps_what_the_sql_gives(spark):
     query = lambda s, sf: entry.queries()["p6_profile"](s, sf).join(s.createDataFrame(pairs, "table_name string, column_name string"), ["table_name", "column_name"]).select(*names)
     ok, what = compare(spark, con, FOLDER, query, sql)
     assert ok, what
+
+
+PERIODS = "row_id bigint, property_id string, period_no int, period string, as_of_date string, cap double"
+
+
+def runs(places):
+    """(start, stop, n) of consecutive places."""
+    out = []
+    for x in sorted(places):
+        if out and x == out[-1][1] + 1:
+            out[-1] = (out[-1][0], x, out[-1][2] + 1)
+        else:
+            out.append((x, x, 1))
+    return out
+
+
+def test_undated_periods_stay_in_the_grid(spark, tmp_path):
+    rnd = random.Random(7)
+    dates = [f"{y}-{m:02}-28" for y in (2021, 2023) for m in (3, 9)] + [None, "", "令和4年12月末", "2024-13-01"]
+    rows = [(k, f"R{k % 2:02}-{k % 9}", rnd.choice([None, 5, 12]), None, rnd.choice(dates), rnd.choice([None, math.nan, 3.5, 4.0, 4.5])) for k in range(160)]
+    rows += [(160 + k, f"R00-{k}", 7, None, None, 4.0 + k) for k in range(9)]
+    spark.createDataFrame(rows, PERIODS).write.parquet(f"{tmp_path}/property_period.parquet")
+    key = lambda r: r[4] or (f"period-{r[2]:06}" if r[2] is not None else f"index-{r[0]:06}")
+
+    def bucket(k):
+        m = re.match(r"(\d{4})-(0[1-9]|1[0-2])", k)
+        return f"{m[1]}-H{1 if m[2] <= '06' else 2}" if m else k
+
+    timeline = sorted({bucket(key(r)) for r in rows})
+    best = {}
+    for r in rows:
+        if r[5] is not None and not math.isnan(r[5]):
+            at = (r[1], bucket(key(r)))
+            best[at] = max(best.get(at, ("", -1, 0)), (key(r), r[0], r[5]))
+    ids = sorted({i for i, _ in best})
+    value = {at: v[2] for at, v in best.items()}
+    ix = {b: k for k, b in enumerate(timeline)}
+    place = {i: sorted(ix[b] for j, b in value if j == i) for i in ids}
+    run = lambda name: sorted(map(tuple, entry.queries()[name](spark, str(tmp_path)).collect()), key=repr)
+    assert run("t_grid") == sorted(((i, b, value.get((i, b))) for i in ids for b in timeline), key=repr)
+    assert any(b.startswith("period-") for b in timeline) and any(b.startswith("index-") for b in timeline) and "令和4年12月末" in timeline
+    assert run("t_segments") == sorted(((i, *r) for i in ids for r in runs(place[i])), key=repr)
+    assert run("t_gap_edges") == sorted(((i, a, b) for i in ids for a, b in zip(place[i], place[i][1:]) if b > a + 1), key=repr)
+    counts = {}
+    for i, b in value:
+        counts[i[:3], ix[b]] = counts.get((i[:3], ix[b]), 0) + 1
+    assert run("t_band_segments") == sorted(((g, *r) for g in ("R00", "R01") for r in runs([x for (h, x), n in counts.items() if h == g and n >= 3])), key=repr)
+    shown = [b for b in timeline if sum((i, b) in value for i in ids) >= (1 if len(ids) <= 8 else max(3, -(-len(ids) // 10)))]
+    last = [v for (_, b), v in value.items() if b == shown[-1]]
+    assert shown[-1] not in ("2023-H1", "2023-H2")
+    assert run("t_latest_snapshot") == [(shown[-1], len(last), statistics.median(last), int(len(last) / len(ids) * 100 + 0.5))]
