@@ -445,8 +445,8 @@ def p_header_map(spark, sf):
 
 
 def p_wide_to_long(spark, sf):
-    """Rates of periods, wide to long, rows without any value left out."""
-    return cells.wide_to_long(periods(spark, sf), ["pos"], {"direct": {"rate": "cap", "amount": "appraisal"}, "discounted": {"rate": "discount_rate", "amount": "book_value"}}, "method").where("not isnan(coalesce(rate, 0))")
+    """Rates of periods, wide to long, rows without any value left out; NaN is a value."""
+    return cells.wide_to_long(periods(spark, sf), ["pos"], {"direct": {"rate": "cap", "amount": "appraisal"}, "discounted": {"rate": "discount_rate", "amount": "book_value"}}, "method")
 
 
 def j_same_row(spark, sf):

@@ -109,3 +109,10 @@ def test_undated_periods_stay_in_the_grid(spark, tmp_path):
     last = [v for (_, b), v in value.items() if b == shown[-1]]
     assert shown[-1] not in ("2023-H1", "2023-H2")
     assert run("t_latest_snapshot") == [(shown[-1], len(last), statistics.median(last), int(len(last) / len(ids) * 100 + 0.5))]
+
+
+def test_wide_to_long_keeps_amounts_beside_nan(spark, tmp_path):
+    rows = [(1, math.nan, 5.0, None, None), (2, math.nan, None, 4.0, 1.0), (3, None, None, None, None), (4, 3.0, None, math.nan, 2.0)]
+    spark.createDataFrame([(*r[:1], f"p{r[0]}", *r[1:]) for r in rows], "row_id bigint, property_id string, cap double, appraisal double, discount_rate double, book_value double").write.parquet(f"{tmp_path}/property_period.parquet")
+    got = sorted((r.pos, r.method, str(r.rate), r.amount) for r in entry.queries()["p_wide_to_long"](spark, str(tmp_path)).collect())
+    assert got == [(1, "direct", "nan", 5.0), (2, "direct", "nan", None), (2, "discounted", "4.0", 1.0), (4, "direct", "3.0", None), (4, "discounted", "nan", 2.0)]
