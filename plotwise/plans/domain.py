@@ -264,7 +264,7 @@ def q_by_group(spark, sf):
 def q_first_issues(spark, sf):
     """The first twenty values out of range of each metric."""
     bad = quality.out_of_range(quality.long_metrics(periods(spark, sf), "pos"))
-    return quality.first_issues(bad, ["pos"]).where("not isnan(value)").select("pos", "field", "value")
+    return quality.first_issues(bad, ["pos"]).select("pos", "field", "value")
 
 
 # --- changes --------------------------------------------------------------------------------------------------------------

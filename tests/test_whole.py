@@ -116,3 +116,12 @@ def test_wide_to_long_keeps_amounts_beside_nan(spark, tmp_path):
     spark.createDataFrame([(*r[:1], f"p{r[0]}", *r[1:]) for r in rows], "row_id bigint, property_id string, cap double, appraisal double, discount_rate double, book_value double").write.parquet(f"{tmp_path}/property_period.parquet")
     got = sorted((r.pos, r.method, str(r.rate), r.amount) for r in entry.queries()["p_wide_to_long"](spark, str(tmp_path)).collect())
     assert got == [(1, "direct", "nan", 5.0), (2, "direct", "nan", None), (2, "discounted", "4.0", 1.0), (4, "direct", "3.0", None), (4, "discounted", "nan", 2.0)]
+
+
+def test_first_issues_keep_nan(spark, tmp_path):
+    from plotwise.functions.scalars import METRICS
+
+    rows = [(k, f"p{k}", *((math.nan if k < 25 else 99.0) if m == "cap" else (-1.0 if m == "price" and k % 2 else None) for m in METRICS)) for k in range(50)]
+    spark.createDataFrame(rows, "row_id bigint, property_id string, " + ", ".join(f"{m} double" for m in METRICS)).write.parquet(f"{tmp_path}/property_period.parquet")
+    got = entry.queries()["q_first_issues"](spark, str(tmp_path)).collect()
+    assert sorted((r.field, r.pos) for r in got) == [("cap", k) for k in range(20)] + [("price", 2 * k + 1) for k in range(20)]
