@@ -52,8 +52,20 @@ def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
 
     Row digests are added up in four lanes, so the dataset is never sorted or collected; repeated rows count.
     """
-    text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("∅")) for c in columns))
-    h = F.sha2(F.encode(text, "UTF-8"), 256)
+    return _digest(df.select(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("∅")) for c in columns)).alias("text")))
+
+
+def dataset_fingerprint(tables: dict[str, DataFrame]) -> DataFrame:
+    """(rows, fingerprint): one digest of all rows and columns of several tables, in any order of rows.
+
+    Each row counts as JSON under its table's name, so nulls, empty texts and separators within texts stay apart.
+    """
+    texts = [df.select(F.concat(F.lit(name), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).alias("text")) for name, df in tables.items()]
+    return _digest(reduce(DataFrame.unionByName, texts))
+
+
+def _digest(df: DataFrame) -> DataFrame:
+    h = F.sha2(F.encode("text", "UTF-8"), 256)
     lanes = [F.sum(F.conv(F.substring(h, 1 + 12 * k, 12), 16, 10).cast("decimal(20,0)")) for k in range(4)]
     joined = F.concat_ws("-", *(F.coalesce(x, F.lit(0)).cast("string") for x in lanes))
     return df.agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.encode(joined, "UTF-8"), 256).alias("fingerprint"))

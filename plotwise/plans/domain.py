@@ -313,8 +313,16 @@ def c_master(spark, sf):
 
 
 def c_fingerprint(spark, sf):
-    """Row count and content digest of the property table; the same in any order of rows."""
-    return changes.fingerprint(table(spark, sf, "property_master"), ["id", "name", "reit_code", "type", "address"])
+    """Row count and content digest of properties, their periods and evidence, master fields and all metrics; the same in any order of rows.
+
+    What says when or by which run something was read (row numbers, loads, times, sources) takes no part.
+    """
+    evidence_at = ("type", "page", "sheet", "cell", "cell_range")
+    return changes.dataset_fingerprint({
+        "property": table(spark, sf, "property_master").select("id", *changes.MASTER, *M),
+        "period": table(spark, sf, "property_period").select("property_id", "reit", "reit_code", "type", "period_no", "period", "as_of_date", *M),
+        "evidence": table(spark, sf, "source_evidence").select("property_id", "field", "observed_at", "metric_code", "value", "unit", "source_document_id", *(F.col(f"locator.{c}").alias(c) for c in evidence_at)),
+    })
 
 
 # --- evidence and audit -----------------------------------------------------------------------------------------------------

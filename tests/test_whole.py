@@ -125,3 +125,37 @@ def test_first_issues_keep_nan(spark, tmp_path):
     spark.createDataFrame(rows, "row_id bigint, property_id string, " + ", ".join(f"{m} double" for m in METRICS)).write.parquet(f"{tmp_path}/property_period.parquet")
     got = entry.queries()["q_first_issues"](spark, str(tmp_path)).collect()
     assert sorted((r.field, r.pos) for r in got) == [("cap", k) for k in range(20)] + [("price", 2 * k + 1) for k in range(20)]
+
+
+def test_fingerprint_sees_every_change(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from plotwise.functions.scalars import METRICS
+    from plotwise.operators import changes
+
+    metrics = ", ".join(f"{m} double" for m in METRICS)
+    frames = {
+        "property_master": spark.createDataFrame([("a", *"nrctga", 1.0, 2.0, *map(float, range(11))), ("b", *"nrctga", None, 2.0, *map(float, range(11)))], "id string, name string, reit string, reit_code string, type string, region string, address string, lat double, lng double, " + metrics),
+        "property_period": spark.createDataFrame([(1, "a", "r", "c", "t", 3, "p", "2024-06-30"), (2, "b", "r", "c", "t", None, None, None)], "row_id long, property_id string, reit string, reit_code string, type string, period_no int, period string, as_of_date string").withColumns({m: F.lit(1.5) for m in METRICS}),
+        "source_evidence": spark.sql("select 1L as evidence_id, 'a' as property_id, 'cap' as field, '2024-06-30' as observed_at, 'm' as metric_code, 1.0D as value, 'u' as unit, 'd' as source_document_id, named_struct('type', 'x', 'page', 1, 'sheet', 's', 'cell', 'A1', 'cell_range', 'A1:B2') as locator"),
+    }
+    seen = set()
+
+    def digest(**changed):
+        folder = str(tmp_path / str(len(list(tmp_path.iterdir()))))
+        for t, df in {**frames, **changed}.items():
+            df.write.parquet(f"{folder}/{t}.parquet")
+        r = entry.queries()["c_fingerprint"](spark, folder).first()
+        assert r.rows == 5
+        return r.fingerprint
+
+    same = digest()
+    shuffled = frames["property_period"].orderBy(F.desc("row_id")).withColumn("row_id", F.col("row_id") + 7)
+    assert digest(property_period=shuffled) == same
+    seen.add(same)
+    for t, c, value in (("property_master", "region", "z"), ("property_master", "lat", 9.0), ("property_master", "noi", None), ("property_period", "cap", 1.6), ("property_period", "as_of_date", "x"), ("source_evidence", "source_document_id", "e")):
+        seen.add(digest(**{t: frames[t].withColumn(c, F.lit(value).cast(frames[t].schema[c].dataType))}))
+    seen.add(digest(source_evidence=frames["source_evidence"].withColumn("locator", F.col("locator").withField("cell", F.lit("A2")))))
+    assert len(seen) == 8
+    a, b = (spark.createDataFrame([r], "x string, y string") for r in (("p|q", None), ("p", "q|")))
+    assert changes.dataset_fingerprint({"t": a}).first() != changes.dataset_fingerprint({"t": b}).first()
