@@ -150,10 +150,10 @@ def resolve(wordings: DataFrame, towns: DataFrame, by_words: float = BY_WORDS, b
 
 
 def located(df: DataFrame, towns: DataFrame, key: str = "id", address: str = "address") -> DataFrame:
-    """(rid, town, n1, n2, n3): where each address is. Wordings that no town explains stand for themselves."""
+    """(rid, town, n1, n2, n3): where each address is. Wordings that no town explains stand for themselves, whatever their postal code."""
     rows = materialize(parsed(df, key, address))
     places = resolve(rows.select("words", "postal").distinct(), towns)
-    place = F.coalesce(F.col("town"), F.when(F.col("words") != "", F.concat(F.lit("?"), "words", F.lit("|"), "postal")))
+    place = F.coalesce(F.col("town"), F.when(F.col("words") != "", F.concat(F.lit("?"), "words")))
     return rows.join(places, ["words", "postal"], "left").select("rid", place.alias("town"), "n1", "n2", "n3").where("town is not null").distinct()
 
 
