@@ -75,6 +75,25 @@ def evidence_consistent(field: Column, code: Column, unit: Column) -> Column:
     return F.coalesce((code == dictionary_of(field, 0)) & (unit == dictionary_of(field, 1)), F.lit(False))
 
 
+def with_recorded(e: DataFrame, properties: DataFrame, periods: DataFrame) -> DataFrame:
+    """e with `recorded`: the values that records have for its property and field, null where they have none.
+
+    Records are the rows of the property (id) and those of its periods (id, as_of_date) dated as the evidence's observed_at.
+    """
+    fixed = long_metrics(properties, "id").where("id is not null and value is not null").groupBy(F.col("id").alias("property_id"), "field").agg(F.collect_set("value").alias("_fixed"))
+    dated = long_metrics(periods, "id", "as_of_date").where("id is not null and as_of_date is not null and value is not null")
+    dated = dated.groupBy(F.col("id").alias("property_id"), "field", F.col("as_of_date").alias("observed_at")).agg(F.collect_set("value").alias("_dated"))
+    none = F.array().cast("array<double>")
+    both = F.concat(F.coalesce("_fixed", none), F.coalesce("_dated", none))
+    return e.join(fixed, ["property_id", "field"], "left").join(dated, ["property_id", "field", "observed_at"], "left").withColumn("recorded", F.when(F.size(both) > 0, both)).drop("_fixed", "_dated")
+
+
+def value_consistent(value: Column, recorded: Column) -> Column:
+    """Whether the value is one of the recorded ones to 1e-9; true where nothing is recorded to compare it with."""
+    near = lambda r: F.coalesce((F.abs(r - value) <= 1e-9) | (F.isnan(r) & F.isnan(value)), F.lit(False))
+    return recorded.isNull() | F.exists(recorded, near)
+
+
 def by_metric(long: DataFrame) -> DataFrame:
     """(field, available, rows, coverage): every metric, also those without values."""
     return long.groupBy("field").agg(F.count("value").alias("available"), F.count(F.lit(1)).alias("rows")).withColumn("coverage", percent(F.col("available"), F.col("rows")))

@@ -245,9 +245,10 @@ def q_area(spark, sf):
 
 
 def q_evidence(spark, sf):
-    """Complete and consistent evidence by field; consistency only of complete evidence."""
-    e = table(spark, sf, "source_evidence")
-    e = e.select(F.coalesce("field", F.lit("")).alias("field"), quality.evidence_complete(e).alias("ok"), quality.evidence_consistent(F.col("field"), F.col("metric_code"), F.col("unit")).alias("same"))
+    """Complete and consistent evidence by field: code, unit and recorded value; consistency only of complete evidence."""
+    e = quality.with_recorded(table(spark, sf, "source_evidence"), table(spark, sf, "property_master"), periods(spark, sf))
+    same = quality.evidence_consistent(F.col("field"), F.col("metric_code"), F.col("unit")) & quality.value_consistent(F.col("value"), F.col("recorded"))
+    e = e.select(F.coalesce("field", F.lit("")).alias("field"), quality.evidence_complete(e).alias("ok"), same.alias("same"))
     return e.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("complete"), F.count_if(F.col("ok") & ~F.col("same")).alias("inconsistent"), S.percent(F.count_if("ok"), F.count(F.lit(1))).alias("coverage"))
 
 

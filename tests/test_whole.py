@@ -159,3 +159,21 @@ def test_fingerprint_sees_every_change(spark, tmp_path):
     assert len(seen) == 8
     a, b = (spark.createDataFrame([r], "x string, y string") for r in (("p|q", None), ("p", "q|")))
     assert changes.dataset_fingerprint({"t": a}).first() != changes.dataset_fingerprint({"t": b}).first()
+
+
+def test_evidence_values_are_compared(spark):
+    from pyspark.sql import functions as F
+
+    from plotwise.functions.scalars import METRICS
+    from plotwise.operators import quality
+
+    cap = lambda rows, schema: spark.createDataFrame(rows, schema).withColumns({m: F.lit(None).cast("double") for m in METRICS if m != "cap"})
+    master = cap([("a", 4.0), ("a", 4.5), ("b", None), ("n", math.nan)], "id string, cap double")
+    dated = cap([("a", "2024-06-30", 5.0), ("b", "2024-06-30", 6.0), ("b", "2024-12-31", 7.0), (None, "2024-06-30", 9.0)], "id string, as_of_date string, cap double")
+    want = {
+        ("a", "cap", "2024-06-30", 4.0): True, ("a", "cap", None, 4.5 + 1e-10): True, ("a", "cap", "2024-06-30", 5.0): True, ("a", "cap", "2024-12-31", 5.0): False, ("a", "cap", "2024-06-30", None): False,
+        ("b", "cap", "2024-06-30", 6.0): True, ("b", "cap", "2024-06-30", 7.0): False, ("b", "cap", None, 1.0): True, ("c", "cap", "2024-06-30", 1.0): True, (None, "cap", None, 9.0): True, ("a", "noi", None, 1.0): True, ("n", "cap", None, 1.0): False,
+    }
+    e = spark.createDataFrame(list(want), "property_id string, field string, observed_at string, value double")
+    got = {(r.property_id, r.field, r.observed_at, r.value): r.same for r in quality.with_recorded(e, master, dated).withColumn("same", quality.value_consistent(F.col("value"), F.col("recorded"))).collect()}
+    assert got == want
