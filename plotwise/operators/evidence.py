@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from plotwise.functions.scalars import METRICS, blank, column_number
+from plotwise.session import broadcast_if_small, materialize
 
 
 def build(df: DataFrame, refs: dict[str, str], *keys: str) -> DataFrame:
@@ -79,11 +80,12 @@ def reduced_status(df: DataFrame, status: str, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.when(any_changed, F.lit("changed")).when(all_same, F.lit("unchanged")).otherwise(F.lit("new")).alias("status"))
 
 
-def history_histogram(df: DataFrame, key: str, longest: int) -> DataFrame:
-    """(length, n): how many keys have 1..longest rows, zeros included."""
-    sizes = df.where(F.col(key).isNotNull()).groupBy(key).count().groupBy(F.col("count").cast("int").alias("length")).agg(F.count(F.lit(1)).alias("k"))
-    every = df.sparkSession.range(1, longest + 1).select(F.col("id").cast("int").alias("length"))
-    return every.join(F.broadcast(sizes.where(F.col("length") <= longest)), "length", "left").select("length", F.coalesce("k", F.lit(0)).alias("n"))
+def history_histogram(df: DataFrame, key: str) -> DataFrame:
+    """(length, n): how many keys have 1 to N rows, N the longest history there is; lengths that none has are 0."""
+    sizes = materialize(df.where(F.col(key).isNotNull()).groupBy(key).count().groupBy(F.col("count").alias("length")).agg(F.count(F.lit(1)).alias("k")))
+    longest = sizes.agg(F.max("length")).first()[0] or 0
+    every = df.sparkSession.range(1, longest + 1).select(F.col("id").alias("length"))
+    return every.join(broadcast_if_small(sizes, 24), "length", "left").select("length", F.coalesce("k", F.lit(0)).alias("n"))
 
 
 def drift(current: DataFrame, baseline: DataFrame, key: str, fingerprint: str) -> DataFrame:

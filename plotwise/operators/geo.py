@@ -209,6 +209,6 @@ def containing_areas(points: DataFrame, areas: DataFrame, key: str = "id", lat:
     visits = pts.select("pid", "plat", "plng", F.inline(at))
     cover = broadcast_if_small(cover, F.lit(64) + 48 * F.aggregate("rings", F.lit(0), lambda n, r: n + F.size(r)))
     met = visits.join(cover, ["level", "ix", "iy"])
-    exact = _odd(F.col("rings")[0]) & ~F.exists(F.slice("rings", 2, 1 << 20), _odd)
+    exact = _odd(F.col("rings")[0]) & ~F.exists(F.slice("rings", F.lit(2), F.size("rings")), _odd)
     inside = met.where(F.when(F.col("interior"), F.lit(True)).otherwise(exact))
     return inside.select(F.col("pid").alias("point_id"), F.col("area").alias("area_id")).distinct()

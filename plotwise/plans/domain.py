@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plotwise.functions import scalars as S
 from plotwise.functions.scalars import METRICS
 from plotwise.operators import cells, changes, evidence, matching, quality, search, similarity, timeseries
-from plotwise.session import broadcast_if_small, materialize
+from plotwise.session import broadcast_if_small, materialize, scratch_dir
 from plotwise.sources.tables import table
 from plotwise.streaming import half_year
 
@@ -208,8 +207,7 @@ def t_stream_half_year(spark, sf):
     """The half-year series by a stream over the period files."""
     path = f"{sf}/property_period.parquet"
     whole = os.path.isdir(path)
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plotwise-out-")
-    out = f"{base}/plotwise-half-year-{os.urandom(6).hex()}"
+    out = f"{scratch_dir(spark)}/plotwise-half-year-{os.urandom(6).hex()}"
     return half_year.run_available(spark, path if whole else sf, spark.read.parquet(path).schema, "cap", out, "*.parquet" if whole else "property_period.parquet")
 
 
@@ -384,8 +382,8 @@ def a_recon(spark, sf):
 
 
 def a_history_hist(spark, sf):
-    """How many properties have 1 to 30 period rows."""
-    return evidence.history_histogram(table(spark, sf, "property_period"), "property_id", 30)
+    """How many properties have 1, 2, ... period rows, up to the most that any has."""
+    return evidence.history_histogram(table(spark, sf, "property_period"), "property_id")
 
 
 def j_previous_run(spark, sf):
@@ -500,7 +498,8 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _HY = "regexp_matches(bucket, '^[0-9]{4}-H[12]$')"
-_GRIDSQL = f"{_SERIES}, hs AS (SELECT * FROM series WHERE {_HY}), g AS (SELECT i.id, b.bucket, hs.value, CAST(substr(b.bucket, 1, 4) AS INT) * 2 + CAST(substr(b.bucket, 7, 1) AS INT) AS ix FROM (SELECT DISTINCT id FROM hs) i CROSS JOIN (SELECT DISTINCT bucket FROM hs) b LEFT JOIN hs ON hs.id = i.id AND hs.bucket = b.bucket)"
+_TIMELINE = "tl AS (SELECT bucket, CAST(row_number() OVER (ORDER BY bucket) - 1 AS INT) AS ix FROM (SELECT DISTINCT bucket FROM kb))"
+_GRIDSQL = f"{_SERIES}, {_TIMELINE}, g AS (SELECT i.id, b.bucket, s.value, b.ix FROM (SELECT DISTINCT id FROM series) i CROSS JOIN tl b LEFT JOIN series s ON s.id = i.id AND s.bucket = b.bucket)"
 _SEG = "(SELECT id, ix, ix - row_number() OVER (PARTITION BY id ORDER BY ix) AS island FROM {src})"
 _DIST = "SELECT bucket AS key, count(*) AS n, avg(value) AS a, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS q2, quantile_cont(value, 0.75) AS q3 FROM {src} GROUP BY bucket"
 _LEAST = "(SELECT CASE WHEN count(DISTINCT id) <= 8 THEN 1 ELSE greatest(3, CAST(ceil(count(DISTINCT id) / 10.0) AS INT)) END FROM {src})"
@@ -552,9 +551,9 @@ SQL = {
     "t_grid": f"WITH {_GRIDSQL} SELECT id, bucket, value FROM g",
     "t_segments": f"WITH {_GRIDSQL} SELECT id, min(ix) AS start, max(ix) AS stop, count(*) AS n FROM {_SEG.format(src='g WHERE value IS NOT NULL')} GROUP BY id, island",
     "t_gap_edges": f"WITH {_GRIDSQL} SELECT id, before AS start, ix AS stop FROM (SELECT id, ix, lag(ix) OVER (PARTITION BY id ORDER BY ix) AS before FROM g WHERE value IS NOT NULL) WHERE ix > before + 1",
-    "t_band_segments": f"WITH {_SERIES}, q AS (SELECT substr(id, 1, 3) AS id, CAST(substr(bucket, 1, 4) AS INT) * 2 + CAST(substr(bucket, 7, 1) AS INT) AS ix FROM series WHERE {_HY} GROUP BY substr(id, 1, 3), bucket HAVING count(*) >= 3) SELECT id, min(ix) AS start, max(ix) AS stop, count(*) AS n FROM {_SEG.format(src='q')} GROUP BY id, island",
+    "t_band_segments": f"WITH {_SERIES}, {_TIMELINE}, q AS (SELECT substr(id, 1, 3) AS id, ix FROM series JOIN tl USING (bucket) GROUP BY substr(id, 1, 3), ix HAVING count(*) >= 3) SELECT id, min(ix) AS start, max(ix) AS stop, count(*) AS n FROM {_SEG.format(src='q')} GROUP BY id, island",
     "a_distribution": f"WITH {_SERIES}, d AS ({_DIST.format(src='series')}) SELECT key, n, " + ", ".join(f"CASE WHEN n >= {_LEAST.format(src='series')} THEN round({c}, 9) END AS {o}" for c, o in (("a", "average"), ("q1", "q1"), ("q2", "median"), ("q3", "q3"))) + " FROM d",
-    "t_latest_snapshot": f"WITH {_SERIES}, hs AS (SELECT * FROM series WHERE {_HY}), d AS ({_DIST.format(src='hs')}) SELECT key, n, round(q2, 9) AS median, CAST(floor(n / (SELECT count(DISTINCT id) FROM hs) * 100 + 0.5) AS INT) AS coverage FROM d WHERE n >= {_LEAST.format(src='hs')} ORDER BY key DESC LIMIT 1",
+    "t_latest_snapshot": f"WITH {_SERIES}, d AS ({_DIST.format(src='series')}) SELECT key, n, round(q2, 9) AS median, CAST(floor(n / (SELECT count(DISTINCT id) FROM series) * 100 + 0.5) AS INT) AS coverage FROM d WHERE n >= {_LEAST.format(src='series')} ORDER BY key DESC LIMIT 1",
     "t_summary": f"WITH {_KEYED}, s AS (SELECT id, arg_min(value, struct_pack(k := key, p := pos)) AS first, arg_max(value, struct_pack(k := key, p := pos)) AS latest, count(value) AS n FROM k WHERE value IS NOT NULL GROUP BY id) SELECT id, first, latest, latest - first AS change, n FROM s",
     "t_prior_delta": f"WITH {_KEYED}, r AS (SELECT id, value, row_number() OVER (PARTITION BY id ORDER BY key DESC, pos DESC) AS rn FROM k WHERE value IS NOT NULL), s AS (SELECT id, max(CASE WHEN rn = 1 THEN value END) AS latest, max(CASE WHEN rn = 2 THEN value END) AS prior FROM r WHERE rn <= 2 GROUP BY id) SELECT *, latest - prior AS delta FROM s",
     "p_spread": f"WITH e AS (SELECT property_id AS id, row_id, {_KEY} AS key, {_FIN('cap')} AS cap, {_FIN('terminal_cap_rate')} AS terminal_cap_rate FROM property_period WHERE property_id IS NOT NULL) SELECT id, key, cap, terminal_cap_rate, terminal_cap_rate - cap AS spread FROM e WHERE cap IS NOT NULL OR terminal_cap_rate IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY key DESC, row_id DESC) = 1",
@@ -568,7 +567,7 @@ SQL = {
     "q_evidence": f"SELECT field, count(*) AS n, count(*) FILTER (ok) AS complete, count(*) FILTER (ok AND NOT same) AS inconsistent, {_PCT('count(*) FILTER (ok)', 'count(*)')} AS coverage FROM (SELECT coalesce(field, '') AS field, {_COMPLETE} AS ok, {_SAME} AS same FROM source_evidence) GROUP BY field",
     "q_by_metric": f"WITH {_PROP}, l AS ({_LONGSQL('prop', 'id')}) SELECT field, count(value) AS available, count(*) AS rows, {_PCT('count(value)', 'count(*)')} AS coverage FROM l GROUP BY field",
     "q_by_group": f"WITH {_PROP} SELECT coalesce(nullif(reit_code, ''), '未分類') AS grp, count(*) AS properties, CAST(sum({' + '.join(f'CASE WHEN {m} IS NOT NULL AND NOT isnan({m}) THEN 1 ELSE 0 END' for m in M)}) AS BIGINT) AS numeric_values, count(*) FILTER (ok) AS with_coordinates, {_PCT('count(*) FILTER (ok)', 'count(*)')} AS coordinate_coverage FROM (SELECT *, coalesce(NOT isnan(lat) AND NOT isnan(lng) AND lat BETWEEN -90 AND 90 AND lng BETWEEN -180 AND 180, false) AS ok FROM prop) GROUP BY 1",
-    "q_first_issues": f"WITH l AS ({_LONGSQL('property_period', 'row_id AS pos')}) SELECT * FROM (SELECT * FROM l WHERE value IS NOT NULL AND {_outside()} QUALIFY row_number() OVER (PARTITION BY field ORDER BY pos) <= 20) WHERE NOT isnan(value)",
+    "q_first_issues": f"WITH l AS ({_LONGSQL('property_period', 'row_id AS pos')}) SELECT * FROM l WHERE value IS NOT NULL AND {_outside()} QUALIFY row_number() OVER (PARTITION BY field ORDER BY pos) <= 20",
     "c_entities": "WITH a AS (SELECT DISTINCT lower(trim(id)) AS id FROM property_snapshot WHERE snapshot_no = 1 AND id IS NOT NULL), b AS (SELECT DISTINCT lower(trim(id)) AS id FROM property_snapshot WHERE snapshot_no = 5 AND id IS NOT NULL) SELECT id, 'removed' AS change FROM (FROM a EXCEPT FROM b) UNION ALL SELECT id, 'added' FROM (FROM b EXCEPT FROM a)",
     "c_periods": f"WITH {_SIDES} SELECT property_id, CASE WHEN a.row_id IS NULL THEN 'added' WHEN b.row_id IS NULL THEN 'removed' ELSE 'shared' END AS change, count(*) AS n FROM a FULL JOIN b USING (property_id, period_no) GROUP BY 1, 2",
     "c_metrics": f"WITH {_DIFFSQL} SELECT property_id, period_no, field, change, round(before, 6) AS before, round(after, 6) AS after, round(after - before, 6) AS delta FROM dd",
@@ -582,7 +581,7 @@ SQL = {
     "a_layout": _LAYOUT,
     "p_layout_status": "WITH s AS (SELECT feed_id, CASE WHEN p IS NULL THEN 'new' WHEN p = schema_version THEN 'unchanged' ELSE 'changed' END AS s FROM (SELECT feed_id, schema_version, lag(schema_version) OVER (PARTITION BY feed_id ORDER BY load_no) AS p FROM quality_report)) SELECT feed_id, CASE WHEN bool_or(s = 'changed') THEN 'changed' WHEN bool_and(s = 'unchanged') THEN 'unchanged' ELSE 'new' END AS status FROM s GROUP BY feed_id",
     "a_recon": "WITH p AS (SELECT feed_id, load_no, count(DISTINCT property_id) AS counted FROM property_period GROUP BY 1, 2) SELECT feed_id, load_no, q.totals.properties AS reported, counted, counted - q.totals.properties AS difference, CASE WHEN abs(counted - q.totals.properties) <= 2 THEN 'ok' ELSE 'review' END AS state FROM quality_report q LEFT JOIN p USING (feed_id, load_no)",
-    "a_history_hist": "WITH s AS (SELECT count(*) AS c FROM property_period WHERE property_id IS NOT NULL GROUP BY property_id) SELECT CAST(l AS INT) AS length, count(s.c) AS n FROM range(1, 31) AS r(l) LEFT JOIN s ON s.c = l GROUP BY l",
+    "a_history_hist": "WITH s AS (SELECT count(*) AS c FROM property_period WHERE property_id IS NOT NULL GROUP BY property_id) SELECT l AS length, count(s.c) AS n FROM range(1, (SELECT max(c) FROM s) + 1) AS r(l) LEFT JOIN s ON s.c = l GROUP BY l",
     "j_previous_run": "SELECT import_run_id AS run_id, max(CASE WHEN status = 'passed' THEN import_run_id END) OVER (PARTITION BY concat_ws('|', feed_id, schema_version) ORDER BY import_run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS same_inputs_as FROM quality_report",
     "u_union_sources": "SELECT 'master' AS kind, id, cap, NULL AS appraisal_unit FROM property_master UNION ALL SELECT 'snapshot', id, cap, appraisal_unit FROM property_snapshot",
     "x_clean_name": "WITH c AS (SELECT id, regexp_replace(regexp_replace(replace(name, '　', ' '), '^\\s+|\\s+$', '', 'g'), '\\s*\\*[0-9]+$', '') AS name FROM property_master WHERE name IS NOT NULL) SELECT DISTINCT id, name, 'P-' || upper(substr(sha1(name), 1, 10)) AS stable_id FROM c",
@@ -592,7 +591,7 @@ SQL = {
     "x_period_key": f"WITH p AS (SELECT row_id AS pos, {_KEY} AS key, as_of_date, period, period_no FROM property_period), b AS (SELECT *, {_bucket('key')} AS bucket FROM p) SELECT pos, key, bucket, CASE WHEN {_HY} THEN substr(bucket, 1, 4) || CASE WHEN bucket LIKE '%H1' THEN '-06' ELSE '-12' END ELSE bucket END AS bucket_label, coalesce(substr(nullif(as_of_date, ''), 1, 7), nullif(period, ''), '第' || period_no || '期', key) AS label, format('{{:04d}}', CAST(2001 + floor((period_no + 1) / 2) AS INT)) || CASE WHEN period_no % 2 = 1 THEN '-03-31' ELSE '-09-30' END AS closing FROM b",
     "p_find_row": f"WITH {_CELLS} SELECT doc, sheet, min(row) AS row FROM c WHERE value = 'cap' AND row <= 200 GROUP BY doc, sheet",
     "p_header_map": f"WITH {_CELLS}, h AS (SELECT doc, sheet, min(row) AS row FROM c GROUP BY doc, sheet) SELECT doc, sheet, trim(value) AS name, arg_max(col, struct_pack(l := length(col), c := col)) AS col FROM c JOIN h USING (doc, sheet, row) WHERE trim(value) <> '' GROUP BY doc, sheet, trim(value)",
-    "p_wide_to_long": "SELECT * FROM (SELECT row_id AS pos, 'direct' AS method, cap AS rate, appraisal AS amount FROM property_period UNION ALL SELECT row_id, 'discounted', discount_rate, book_value FROM property_period) WHERE (rate IS NOT NULL OR amount IS NOT NULL) AND NOT isnan(coalesce(rate, 0))",
+    "p_wide_to_long": "SELECT * FROM (SELECT row_id AS pos, 'direct' AS method, cap AS rate, appraisal AS amount FROM property_period UNION ALL SELECT row_id, 'discounted', discount_rate, book_value FROM property_period) WHERE rate IS NOT NULL OR amount IS NOT NULL",
     "j_same_row": f"WITH {_BOX.format(more=' AND locator.page IS NOT NULL')} SELECT a.doc, a.id AS label_id, b.id AS number_id FROM w a JOIN w b ON a.doc = b.doc AND a.label AND NOT b.label AND abs(a.y - b.y) <= 5.5 AND b.x0 >= a.x1",
     "j_nearest_number": f"WITH {_BOX.format(more='')}, k AS (SELECT a.doc, a.id AS label_id, b.id AS number_id, CASE WHEN abs(b.y - a.y) <= 6 AND b.x0 - a.x1 >= 0 THEN b.x0 - a.x1 + abs(b.y - a.y) WHEN b.y - a.y > 0 AND b.y - a.y <= 24 AND abs(b.x0 - a.x0) <= 80 THEN abs(b.x0 - a.x0) + (b.y - a.y) + 80 END AS cost FROM w a JOIN w b ON a.doc = b.doc AND a.label AND NOT b.label) SELECT doc, label_id, number_id FROM k WHERE cost IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc, label_id ORDER BY cost, number_id) = 1",
     "u_missing_required": f"WITH {_CELLS} SELECT d.doc, m.value FROM (SELECT DISTINCT doc FROM c) d, (VALUES {', '.join(f'({m!r})' for m in M)}) AS m(value) WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc = d.doc AND c.value = m.value)",

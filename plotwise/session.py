@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: Tables up to this many estimated bytes may be broadcast; the estimate is always computed, never assumed.
 BROADCAST_LIMIT_BYTES = 24 * 1024 * 1024
 
+_OWN: list[str] = []  # the folder made on a local master, removed at exit
+
 
 def session(app: str = "plotwise", master: str = "local[8]", partitions: int = 8) -> SparkSession:
     """A local session with the settings the library expects; a cluster brings its own."""
@@ -23,24 +26,35 @@ def session(app: str = "plotwise", master: str = "local[8]", partitions: int = 8
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in spark.checkpoint.dir; a folder of our own only where that is unset."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
-        return
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder named in spark.checkpoint.dir. Where that is unset, a folder of our own on a local master; on a cluster an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="plotwise-checkpoint-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(path)
+    if path:
+        return path
+    if not re.match(r"local(\[[^,]*(,[^,]*)?\])?$", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="plotwise-checkpoint-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+    return _OWN[0]
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Checkpoints go to scratch_dir() unless the session has a folder already."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(scratch_dir(spark))
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder once and read it from there: survives the loss of executors."""
+    """Write df to the checkpoint folder once and read it from there: survives the loss of executors.
+
+    With spark.cleaner.referenceTracking.cleanCheckpoints, as in session(), the files go when nothing refers to them any more.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -55,4 +69,4 @@ def broadcast_if_small(df: DataFrame, row_bytes: Column | int, limit: int = BROA
     return F.broadcast(df) if size <= limit else df
 
 
-__all__ = ["BROADCAST_LIMIT_BYTES", "broadcast_if_small", "ensure_checkpoint_dir", "materialize", "session"]
+__all__ = ["BROADCAST_LIMIT_BYTES", "broadcast_if_small", "ensure_checkpoint_dir", "materialize", "scratch_dir", "session"]

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plotwise.functions.scalars import finite, half_year
+from plotwise.session import scratch_dir
 
 
 def latest_stream(stream: DataFrame, metric: str) -> DataFrame:
@@ -30,8 +30,7 @@ def run_available(spark: SparkSession, folder: str, schema, metric: str, out: st
         batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
         seen.append(epoch)
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    state = os.path.join(base, "plotwise-stream-" + os.urandom(6).hex())
+    state = f"{scratch_dir(spark)}/plotwise-stream-{os.urandom(6).hex()}"
     q = latest_stream(stream, metric).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{out}/epoch={max(seen)}")
