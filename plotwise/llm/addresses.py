@@ -1,15 +1,17 @@
 """Which address records denote the same location, although they are written differently.
 
-An address is split into its words and its house numbers. The words become weighted character n-grams (inverse document
-frequency over all distinct wordings and the gazetteer). Through an inverted index of the gazetteer's n-grams, probed only with
-the prefix of an address's rarest n-grams, each wording finds its candidate towns; cosine similarity, and the postal code
-where there is one, verify them. Addresses of the same town match if their house numbers are compatible: all three equal.
-Wordings repeat a lot, so each is resolved once, and no two addresses are compared that differ in town or numbers.
+An address is split into its words and its house numbers. The distinct wordings of all addresses and of the gazetteer become
+weighted character n-grams (inverse document frequency over all of them) in inverted indexes, which are probed only with the
+prefix of a wording's rarest n-grams; cosine similarity verifies the candidates. A wording is first led to the town of the
+gazetteer it names, so that writings in two scripts meet; wordings that no single town explains are compared with one another
+through an index of their own, whose keys hold the house numbers as well. Addresses match if their towns are the same, or
+their wordings near enough, and their house numbers are compatible: all three equal. Wordings repeat a lot, so each is looked
+up once, and no two addresses are compared that differ in their numbers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plotwise.operators.pairs import pairs_by_key
 from plotwise.session import broadcast_if_small, materialize
@@ -24,13 +26,16 @@ _NUM = "[0-9〇一二三四五六七八九十百]+"
 _TRIPLE = rf"({_NUM})\s*(?:丁目|[\s-]*(?:chome|cho-me)|-|の|ノ)[\s-]*({_NUM})\s*(?:番地の|番地|番|-|の|ノ)[\s-]*({_NUM})"
 _POSTAL = r"(?:〒\s*|\A\s*|[\s,])([0-9]{3}-?[0-9]{4})(?=[^0-9-]|\z)|〒\s*([0-9]{3}-?[0-9]{4})"
 
-#: Cosine that a wording must reach to be taken for a town on its words alone, and where the postal code agrees.
-BY_WORDS, BY_POSTAL = 0.55, 0.03
+#: Cosine from which a wording names a town beyond doubt, that it must reach on its words alone, and where the postal code agrees.
+SURE, BY_WORDS, BY_POSTAL = 0.9, 0.55, 0.03
+#: Cosine of two wordings outside the gazetteer that name the same place.
+BY_ADDRESS = 0.6
 #: A wording is clear if no other town comes so near to its best one; a bare town name without a postal code never is.
 MARGIN = 0.02
 #: Every n-gram counts as if it were in one wording of so many more, so that a slip's unheard-of n-grams don't outweigh the rest.
 SMOOTHING = 500
-PREFIX_REST = 0.5
+#: The prefix is taken until the rest of the vector is this part of the cosine looked for; up to 1 none is missed.
+PREFIX_SURE, PREFIX_REST = 0.9, 0.85
 #: Wordings that a task compares with the gazetteer.
 TASK_WORDINGS = 400
 #: What an agreeing postal code counts against cosine when towns compete.
@@ -99,62 +104,129 @@ def grams(words: Column) -> Column:
 
 
 def _vectors(rows: DataFrame, weights: DataFrame, key: str) -> DataFrame:
-    """(key, v): unit vectors, an array of (g, w) with the rarest n-gram first; g is its place in that order."""
+    """(key, v): unit vectors, an array of (g, w, rest), the rarest n-gram first: its place in that order, its weight, and the
+    length of the vector from it on. Linear in the length of a wording, and long ones are sorted by spilling, not in memory."""
     long = rows.select(key, F.explode(grams(F.col("words"))).alias("gram")).join(weights, "gram")
-    v = long.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("g", "w"))).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return v.select(key, F.transform("v", lambda x: F.struct(x["g"].alias("g"), (x["w"] / F.col("norm")).alias("w"))).alias("v"))
+    long = long.withColumn("from", F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key).orderBy(F.desc("g"))))
+    v = long.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("g", "w", "from"))).alias("v"), F.sqrt(F.max("from")).alias("norm"))
+    return v.select(key, F.transform("v", lambda x: F.struct(x["g"].alias("g"), (x["w"] / F.col("norm")).alias("w"), (F.sqrt(x["from"]) / F.col("norm")).alias("rest"))).alias("v"))
 
 
-def _tails(start: int) -> Column:
-    """For each n-gram of v the length of the rest of the vector, from it (1) or after it (2)."""
-    return F.transform("v", lambda _, i: F.sqrt(F.aggregate(F.slice("v", i + start, 1 << 20), F.lit(0.0), lambda s, y: s + y["w"] * y["w"])))
+def _as_map(v: Column) -> Column:
+    return F.map_from_entries(F.transform(v, lambda e: F.struct(e["g"], e["w"])))
 
 
-def resolve(wordings: DataFrame, towns: DataFrame, by_words: float = BY_WORDS, by_postal: float = BY_POSTAL, bonus: float = POSTAL_BONUS) -> DataFrame:
-    """(words, postal, town, cosine): the town of each distinct wording; near ties between towns and too low cosines leave no row."""
-    spark = wordings.sparkSession
-    hub = materialize(gazetteer(towns).withColumn("y", F.monotonically_increasing_id()))
-    seen = materialize(wordings.select("words", "postal").distinct().withColumn("x", F.monotonically_increasing_id()))
-    texts = seen.select("words").unionByName(hub.select("words")).distinct()
+def _dot(v: Column, m: Column) -> Column:
+    return F.aggregate(v, F.lit(0.0), lambda s, e: s + e["w"] * F.coalesce(F.try_element_at(m, e["g"]), F.lit(0.0)))
+
+
+def gram_weights(texts: DataFrame) -> DataFrame:
+    """(gram, w, g) of distinct wordings (words): the inverse document frequency, and the place in the order of rarity."""
     df = materialize(texts.select(F.explode(F.concat(F.array(F.lit("")), grams(F.col("words")))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df")))
     count = float(df.where("gram = ''").agg(F.coalesce(F.max("df"), F.lit(1))).first()[0])
-    # The order of the prefix filter: rare n-grams first; equal ones by a hash. g orders and names an n-gram.
+    # Rare n-grams first; equal ones by a hash.
     g = F.shiftleft("df", 40) + F.pmod(F.xxhash64("gram"), F.lit(1 << 40))
-    weights = broadcast_if_small(materialize(df.where("gram <> ''").select("gram", F.log(1 + count / (F.col("df") + count / SMOOTHING)).alias("w"), g.alias("g"))), 80)
+    return broadcast_if_small(materialize(df.where("gram <> ''").select("gram", F.log(1 + count / (F.col("df") + count / SMOOTHING)).alias("w"), g.alias("g"))), 80)
+
+
+def _candidates(mine: DataFrame, lists: DataFrame, least: float, part: float) -> DataFrame:
+    """(x, y): every pair whose cosine can reach `least`.
+
+    Whoever reaches it shares an n-gram of the prefix, since the rest of the vector is shorter. The prefix is taken until the
+    rest is `part` of it: its n-grams are still among the rarer ones, and what candidates share in them, with the lengths of
+    both rests, rules nearly all out before any vector is compared. All probes of a wording are in one task, so what it shares
+    with a candidate adds up without a shuffle.
+    """
+    parts = max(int(mine.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-mine.count() // TASK_WORDINGS))
+    mine = mine.repartition(parts, "x")
+    short = least * part
+    # Length of the vector after the prefix: that of the first n-gram left out.
+    rest = F.coalesce(F.array_max(F.transform(F.filter("v", lambda e: e["rest"] < short), lambda e: e["rest"])), F.lit(0.0))
+    probes = mine.select("x", rest.alias("left"), F.explode(F.filter("v", lambda e: e["rest"] >= short)).alias("e")).select("x", "left", "e.g", "e.w")
+    met = probes.join(lists, "g").select("x", "left", "w", F.inline("ys")).groupBy("x", "y").agg(F.sum(F.col("w") * F.col("hub_w")).alias("part"), F.max("left").alias("left"), F.min("after").alias("after"))
+    return met.where(F.col("part") + F.col("left") * F.col("after") >= least - 1e-9).select("x", "y")
+
+
+def resolve(wordings: DataFrame, towns: DataFrame, weights: DataFrame, hub: DataFrame, by_words: float = BY_WORDS, by_postal: float = BY_POSTAL, bonus: float = POSTAL_BONUS) -> DataFrame:
+    """(words, postal, town, cosine): the town of each distinct wording; near ties between towns and too low cosines leave no row.
+
+    hub is gazetteer(towns) with a number y. Wordings that come nearer to one town than SURE are decided by that, whatever their
+    postal code; for the others the search goes on down to by_words, and towns of the postal code are candidates as well.
+    """
+    asked = materialize(wordings.select("words", "postal").distinct())
+    seen = materialize(asked.select("words").distinct().withColumn("x", F.monotonically_increasing_id()))
     of_hub = materialize(_vectors(hub, weights, "y").join(hub.select("y", "town", "postal"), "y"))
-    # Whoever reaches the cosine shares an n-gram of the prefix, since the rest of the vector is shorter. The prefix is taken
-    # longer than that, until the rest is PREFIX_REST of the cosine: its n-grams are still among the rarer ones, and what
-    # candidates share in them then rules nearly all out before any vector is compared.
-    mine = _vectors(seen, weights, "x").withColumn("tail", _tails(1)).withColumn("rest", F.coalesce(F.array_max(F.filter("tail", lambda t: t < by_words * PREFIX_REST)), F.lit(0.0)))
-    mine = materialize(mine.join(seen, "x"))
-    lists = of_hub.select("y", F.explode(F.arrays_zip(F.col("v").alias("v"), _tails(2).alias("t"))).alias("z")).groupBy("z.v.g").agg(F.collect_list(F.struct("y", F.col("z.v.w").alias("hub_w"), F.col("z.t").alias("after"))).alias("ys"))
+    after = lambda e: F.sqrt(F.greatest(F.lit(0.0), e["rest"] * e["rest"] - e["w"] * e["w"]))
+    posted = of_hub.select("y", F.explode("v").alias("e")).select("y", "e.g", F.col("e.w").alias("hub_w"), after(F.col("e")).alias("after"))
+    lists = posted.groupBy("g").agg(F.collect_list(F.struct("y", "hub_w", "after")).alias("ys"))
     lists = broadcast_if_small(materialize(lists), F.lit(32) + 24 * F.size("ys"))
-    # All probes of a wording stay in one task, so what they share with a candidate adds up without a shuffle.
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-mine.count() // TASK_WORDINGS))
-    placed = mine.repartition(parts, "x")
-    probes = placed.select("x", "rest", F.explode(F.arrays_zip(F.col("v").alias("v"), F.col("tail").alias("t"))).alias("z")).where(F.col("z.t") > F.col("rest")).select("x", "rest", "z.v.g", "z.v.w")
-    met = probes.join(lists, "g").select("x", "rest", "w", F.inline("ys")).groupBy("x", "y").agg(F.sum(F.col("w") * F.col("hub_w")).alias("part"), F.max("rest").alias("rest"), F.min("after").alias("after"))
-    near = met.where(F.col("part") + F.col("rest") * F.col("after") >= by_words - 1e-9).select("x", "y")
-    maps = of_hub.select("y", "town", F.col("postal").alias("code"), F.map_from_entries(F.transform("v", lambda e: F.struct(e["g"], e["w"]))).alias("m"))
-    maps = broadcast_if_small(materialize(maps), F.lit(100) + 24 * F.size("m"))
-    by_grams = near.join(maps, "y").join(placed.select("x", "v", "postal"), "x")
-    by_code = mine.where("postal <> ''").select("x", "v", "postal").join(maps, F.col("postal") == F.col("code"))
-    dot = F.aggregate("v", F.lit(0.0), lambda s, e: s + e["w"] * F.coalesce(F.try_element_at(F.col("m"), e["g"]), F.lit(0.0)))
+    maps = broadcast_if_small(materialize(of_hub.select("y", "town", F.col("postal").alias("code"), _as_map(F.col("v")).alias("m"))), F.lit(100) + 24 * F.size("m"))
+    mine = _vectors(seen, weights, "x").join(seen, "x")
+    mine = materialize(mine)
+    cosine = _dot(F.col("v"), F.col("m"))
+
+    near = _candidates(mine, lists, SURE, PREFIX_SURE).join(maps, "y").join(mine.select("x", "v"), "x").select("x", "town", cosine.alias("cosine")).where(F.col("cosine") >= SURE)
+    by_town = near.groupBy("x", "town").agg(F.max("cosine").alias("cosine")).groupBy("x").agg(F.max_by("town", "cosine").alias("town"), F.sort_array(F.collect_list("cosine"), asc=False).alias("cs"))
+    # Whatever comes within MARGIN of these has been found as well.
+    sure = by_town.where((F.col("cs")[0] >= SURE + MARGIN) & (F.coalesce(F.get("cs", F.lit(1)), F.lit(0.0)) <= F.col("cs")[0] - MARGIN))
+    sure = materialize(sure.select("x", "town", F.col("cs")[0].alias("cosine")).join(seen, "x"))
+    first = asked.join(sure, "words").select("words", "postal", "town", "cosine")
+
+    hard = materialize(mine.join(sure.select("x"), "x", "left_anti"))
+    near = materialize(_candidates(hard, lists, by_words, PREFIX_REST).join(maps, "y").join(hard.select("x", "v"), "x").select("x", "town", "code", cosine.alias("cosine")).where(F.col("cosine") >= by_words))
+    pairs = materialize(asked.join(hard.select("x", "v", "words"), "words").withColumn("z", F.monotonically_increasing_id()))
     coded = (F.col("postal") == F.col("code")) & (F.col("postal") != "")
-    scored = by_grams.select("x", "town", dot.alias("cosine"), coded.alias("coded")).unionByName(by_code.select("x", "town", dot.alias("cosine"), coded.alias("coded")))
-    scored = scored.where((F.col("cosine") >= by_words) | (F.col("coded") & (F.col("cosine") >= by_postal)))
-    one = F.struct(F.round(F.col("cosine") + F.when(F.col("coded"), bonus).otherwise(0.0), 9).alias("score"), "town", "cosine")
-    top = scored.groupBy("x").agg(F.max(one).alias("top"), F.collect_set(one).alias("all"))
-    clear = ~F.exists("all", lambda e: (e["score"] > F.col("top.score") - MARGIN) & (e["town"] != F.col("top.town")))
-    return top.where(clear).join(seen, "x").select("words", "postal", "top.town", "top.cosine")
+    by_grams = pairs.select("z", "x", "postal").join(near, "x").select("z", "town", "cosine", coded.alias("coded"))
+    by_code = pairs.where("postal <> ''").join(maps, F.col("postal") == F.col("code")).select("z", "town", cosine.alias("cosine"), F.lit(True).alias("coded"))
+    scored = by_grams.unionByName(by_code.where(F.col("cosine") >= by_postal))
+    score = F.round(F.max(F.col("cosine") + F.when(F.col("coded"), bonus).otherwise(0.0)), 9)
+    best = scored.groupBy("z", "town").agg(score.alias("score"), F.max("cosine").alias("cosine"))
+    top = best.groupBy("z").agg(F.max(F.struct("score", "town", "cosine")).alias("top"), F.sort_array(F.collect_list("score"), asc=False).alias("ss"))
+    clear = top.where(F.coalesce(F.get("ss", F.lit(1)), F.lit(0.0)) <= F.col("top.score") - MARGIN)
+    return first.unionByName(clear.join(pairs, "z").select("words", "postal", "top.town", "top.cosine"))
+
+
+def _alike(nodes: DataFrame, weights: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b: nodes (x, words, n1, n2, n3) of equal numbers whose wordings reach the cosine `least`.
+
+    The inverted index holds an n-gram of the prefix together with the numbers; a key of any number of nodes is split.
+    """
+    v = materialize(_vectors(nodes, weights, "x"))
+    posted = v.select("x", F.explode(F.filter("v", lambda e: e["rest"] >= least - 1e-9)).alias("e")).select("x", "e.g").join(nodes.select("x", "n1", "n2", "n3"), "x")
+    pairs = pairs_by_key(materialize(posted), ["n1", "n2", "n3", "g"], "x").distinct()
+    right = v.select(F.col("x").alias("b"), _as_map(F.col("v")).alias("m"))
+    return pairs.join(v.select(F.col("x").alias("a"), "v"), "a").join(right, "b").where(_dot(F.col("v"), F.col("m")) >= least).select("a", "b")
 
 
-def located(df: DataFrame, towns: DataFrame, key: str = "id", address: str = "address") -> DataFrame:
-    """(rid, town, n1, n2, n3): where each address is. Wordings that no town explains stand for themselves, whatever their postal code."""
-    rows = materialize(parsed(df, key, address))
-    places = resolve(rows.select("words", "postal").distinct(), towns)
-    place = F.coalesce(F.col("town"), F.when(F.col("words") != "", F.concat(F.lit("?"), "words")))
-    return rows.join(places, ["words", "postal"], "left").select("rid", place.alias("town"), "n1", "n2", "n3").where("town is not null").distinct()
+NUMBERS = ["n1", "n2", "n3"]
+
+
+def located(df: DataFrame, towns: DataFrame, key: str = "id", address: str = "address") -> tuple[DataFrame, DataFrame]:
+    """(rid, place, n1, n2, n3) of every address with three numbers, and (a, b), a < b, the places that are the same under two names.
+
+    place is the town, or for a wording that no single town explains "?" and its words, whatever its postal code. Two such
+    wordings with equal numbers are the same place if their cosine reaches BY_ADDRESS: a and b are (place, n1, n2, n3).
+    """
+    rows = materialize(parsed(df, key, address).where("words <> ''"))
+    hub = materialize(gazetteer(towns).withColumn("y", F.monotonically_increasing_id()))
+    texts = rows.select("words").unionByName(hub.select("words")).distinct()
+    weights = gram_weights(texts)
+    places = resolve(rows, towns, weights, hub)
+    place = F.coalesce(F.col("town"), F.concat(F.lit("?"), "words"))
+    rows = materialize(rows.join(places, ["words", "postal"], "left").select("rid", place.alias("place"), *NUMBERS).distinct())
+    unknown = rows.where(F.startswith("place", F.lit("?"))).select("place", *NUMBERS).distinct()
+    unknown = materialize(unknown.withColumn("words", F.expr("substr(place, 2)")).withColumn("x", F.monotonically_increasing_id()))
+    at = lambda c: unknown.select(F.col("x").alias(c), F.struct("place", *NUMBERS).alias(f"{c}_place"))
+    same = _alike(unknown, weights, BY_ADDRESS).join(at("a"), "a").join(at("b"), "b")
+    return rows, materialize(same.select(F.least("a_place", "b_place").alias("a"), F.greatest("a_place", "b_place").alias("b")))
+
+
+def _across(rows: DataFrame, same: DataFrame) -> DataFrame:
+    """(rid of a, rid of b) for places that are the same under two names, each member of one with each of the other."""
+    at = F.struct("place", *NUMBERS)
+    left = rows.select(at.alias("a"), F.col("rid").alias("ra"))
+    right = rows.select(at.alias("b"), F.col("rid").alias("rb"))
+    return same.join(left, "a").join(right, "b").select("ra", "rb")
 
 
 def same_place(df: DataFrame, towns: DataFrame, key: str = "id", address: str = "address") -> DataFrame:
@@ -162,5 +234,20 @@ def same_place(df: DataFrame, towns: DataFrame, key: str = "id", address: str =
 
     Null keys and addresses, and addresses without three numbers, take no part; repeated rows count once.
     """
-    pairs = pairs_by_key(materialize(located(df, towns, key, address)), ["town", "n1", "n2", "n3"], "rid")
-    return pairs.select(F.col("a").alias("id_a"), F.col("b").alias("id_b")).distinct()
+    rows, same = located(df, towns, key, address)
+    inside = pairs_by_key(rows, ["place", *NUMBERS], "rid").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+    across = _across(rows, same).where("ra <> rb").select(F.least("ra", "rb").alias("id_a"), F.greatest("ra", "rb").alias("id_b"))
+    return inside.unionByName(across).distinct()
+
+
+def places(df: DataFrame, towns: DataFrame, key: str = "id", address: str = "address") -> DataFrame:
+    """(id, place, n1, n2, n3, members, links): each key's place as its class id, how many keys the place has, and with how many
+    others the key is at the same place. It grows with the rows, not with the pairs; a key whose rows name several places has a row for each."""
+    rows, same = located(df, towns, key, address)
+    at = F.struct("place", *NUMBERS)
+    sizes = materialize(rows.groupBy(at.alias("at")).agg(F.count(F.lit(1)).alias("members")))
+    other = same.select(F.col("a").alias("at"), F.col("b").alias("o")).unionByName(same.select(F.col("b").alias("at"), F.col("a").alias("o")))
+    more = other.join(sizes.select(F.col("at").alias("o"), "members"), "o").groupBy("at").agg(F.sum("members").alias("more"))
+    known = sizes.join(more, "at", "left")
+    met = rows.withColumn("at", at).join(known, "at")
+    return met.select(F.col("rid").alias("id"), "place", *NUMBERS, "members", (F.col("members") - 1 + F.coalesce("more", F.lit(0))).alias("links"))

@@ -35,6 +35,11 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return addresses.same_place(table(spark, sf, "property_master").select("id", "address"), table(spark, sf, "town_ref"))
 
 
+def p5_places(spark: SparkSession, sf: str) -> DataFrame:
+    """Each property's place, how many properties stand there, and with how many others it is at the same place."""
+    return addresses.places(table(spark, sf, "property_master").select("id", "address"), table(spark, sf, "town_ref"))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     """The ids of every text by byte_bpe_50k."""
     return tokens.encode(table(spark, sf, "documents").select("doc_id", "text"))
@@ -76,7 +81,7 @@ def p9_composition(spark: SparkSession, sf: str) -> DataFrame:
     return p9_found(spark, sf).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_combined, p5_found, p7_ids, p7_decoded, p8_found, p8_mix, p8_report, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_combined, p5_found, p5_places, p7_ids, p7_decoded, p8_found, p8_mix, p8_report, p9_found, p9_composition)}
 
 _LONG = " UNION ALL ".join(f"SELECT reit_code, load_no, '{c}' AS metric, {c} AS x FROM property_period WHERE {c} IS NOT NULL AND NOT isnan({c})" for c in RATES)
 _PROBS = ", ".join(f"({p}::DOUBLE)" for p in PROBS)
