@@ -81,13 +81,13 @@ def parsed(df: DataFrame, key: str, address: str) -> DataFrame:
 
 
 def gazetteer(towns: DataFrame) -> DataFrame:
-    """(town, words, postal): each town in the writings an address may use, with and without the prefecture.
+    """(town, words, postal): each town in the scripts an address may use, in full; an address without the prefecture is near enough.
 
     town_ref: postal_code, prefecture, city, town and their Latin forms. Folded as addresses are.
     """
     f = lambda c: folded(F.coalesce(F.col(c), F.lit("")))
     ja, la = [f("prefecture"), f("city"), f("town")], [f("prefecture_latin"), f("city_latin"), f("town_latin")]
-    forms = [_words(F.concat(*ja[k:])) for k in range(2)] + [_words(F.concat_ws(" ", *la[k:])) for k in range(2)]
+    forms = [_words(F.concat(*ja)), _words(F.concat_ws(" ", *la))]
     town = F.concat_ws("|", f("prefecture"), f("city"), f("town"))
     rows = towns.select(town.alias("town"), F.explode(F.array(*forms)).alias("words"), F.regexp_replace(F.coalesce("postal_code", F.lit("")), "-", "").alias("postal"))
     return rows.where("words <> ''").distinct()
