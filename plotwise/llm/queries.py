@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plotwise.llm import addresses, mixing, percentiles, subjects, tokens
-from plotwise.session import materialize
+from plotwise.session import broadcast_if_small, materialize
 from plotwise.sources.tables import table
 
 
@@ -70,10 +70,21 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.report(mixing.mix(sizes, targets), mixing.quotas(sizes, targets))
 
 
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with the address they speak of: the type and the region of their property."""
+    pm = table(spark, sf, "property_master").where("id is not null").groupBy(F.col("id").alias("property_id")).agg(F.max_by(F.concat_ws("|", "type", "region"), "loaded_at").alias("address"))
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source", "property_id")
+    return docs.join(broadcast_if_small(materialize(pm), F.lit(48) + F.octet_length("property_id") + F.octet_length("address")), "property_id", "left").select("doc_id", "text", "source", "address")
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     """The subjects of every document."""
-    docs = table(spark, sf, "documents").select("doc_id", "text", "source", "reit_code")
-    return subjects.subjects_of(docs, table(spark, sf, "subject_label"), table(spark, sf, "subject_ref"))
+    return subjects.subjects_of(_documents(spark, sf), table(spark, sf, "subject_label"), table(spark, sf, "subject_ref"))
+
+
+def p9_accuracies(spark: SparkSession, sf: str) -> DataFrame:
+    """How accurate each labelling function is, as the latent model learned it, and how often it votes."""
+    return subjects.accuracies(_documents(spark, sf), table(spark, sf, "subject_label"), table(spark, sf, "subject_ref"))
 
 
 def p9_composition(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,7 +92,7 @@ def p9_composition(spark: SparkSession, sf: str) -> DataFrame:
     return p9_found(spark, sf).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_combined, p5_found, p5_places, p7_ids, p7_decoded, p8_found, p8_mix, p8_report, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_combined, p5_found, p5_places, p7_ids, p7_decoded, p8_found, p8_mix, p8_report, p9_found, p9_composition, p9_accuracies)}
 
 _LONG = " UNION ALL ".join(f"SELECT reit_code, load_no, '{c}' AS metric, {c} AS x FROM property_period WHERE {c} IS NOT NULL AND NOT isnan({c})" for c in RATES)
 _PROBS = ", ".join(f"({p}::DOUBLE)" for p in PROBS)

@@ -1,122 +1,108 @@
 """Subject areas of documents, from labelling functions whose accuracies are learned.
 
-Each sentence is looked at by several labelling functions: a lexicon, a classifier of its words fitted on labelled documents,
-the section around it, the document's source and its issuer (its address within the corpus). None is trusted as it is: a
-latent model sees which votes occur together over all sentences of the corpus and learns by expectation-maximization how
-accurate each function is and how frequent each subject. A sentence then has posterior probabilities of the subjects, and a
-document the subjects whose expected share of its sentences reaches the threshold.
+Each sentence is looked at by labelling functions: two halves of a lexicon that is learned from labelled documents, the section
+around the sentence, the document's source, and its address (the type and the region of the property it speaks of). None is
+trusted as it is: a latent model sees which votes occur together over all sentences of the corpus and learns by
+expectation-maximization how accurate each function is and how frequent each subject; the lexicon's halves hold different
+terms, so their agreement tells of their accuracy. A sentence then has posterior probabilities of the subjects, and a document
+the subjects whose expected share of its sentences reaches the threshold. Texts are never shuffled: sentences, terms and votes
+are worked out in the row that has the text, and only codes of votes go on from it.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
+from itertools import islice
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
 
-from plotwise.session import materialize
+from plotwise.session import broadcast_if_small, materialize, spread
 
 GENERAL = "general"
 #: A document has a subject whose expected share of its sentences reaches this: about a quarter, less the posterior's doubt.
 SHARE = 0.195
-#: The classifier is fitted on at most so many labelled documents, and so many sentences of each. Nothing else is sampled.
+#: The lexicon is learned from at most so many labelled documents, and so many sentences of each. Nothing else is sampled.
 FIT_DOCUMENTS, FIT_SENTENCES = 2000, 150
-
-# A small lexicon of general knowledge for the subjects that bear these names. Others have none.
-LEXICON = {
-    "finance": "借入|融資|金利|利息|利払い|社債|格付け|分配金|有利子負債|返済期日|財務制限|loan|lender|interest rate|refinance|refinancing|bond|credit|dividend|distribution per unit|debt|covenant|hedge|調達コスト|増資|投資口価格|手元資金|金融機関|maturity|equity offering|swap|yield|financ|unitholder|basis point|tranche",
-    "law": "訴訟|裁判|判決|原告|被告|弁護士|仲裁|和解|損害賠償|条例|時効|公正証書|地役権|lawsuit|court|judge|plaintiff|tribunal|arbitration|arbitrator|injunction|easement|litigation|statute|差止|契約違反|借地|公証|宣誓|法廷|appeal|breach|deed|attorney|sworn|legal|verdict",
-    "engineering": "耐震|杭|鉄骨|外壁|配管|昇降機|基礎の|打診|免震|梁|seismic|steel|beam|facade|piping|elevator|foundation|damper|girder|waterproof|補強|劣化|ひび|剛性|構造|bolt|crack|retrofit|concrete|structural|bedrock",
-    "energy": "太陽光|蓄電池|省エネ|断熱|再エネ|炭素|電力|冷暖房|脱炭素|solar|battery|energy|carbon|insulation|heat pump|renewable|emission|electricity|環境認証|電源|燃料|ガスの|水の再利用|排出|charging|kilowatt|power demand|green|utility|fuel",
-    "logistics": "物流|荷主|倉庫|トラック|配送|積替え|仕分け|コンテナ|荷捌き|ピッキング|warehouse|truck|freight|shipper|container|carrier|cross-dock|pallet|forklift|delivery route|車両動線|ランプウェイ|荷は|輸送|冷凍|depot|parcel|inbound|picking|loading|berth|courier|shipment",
-    "retail": "売場|店舗|買物|商店|専門店|出店|来館者|セール|レジ|店頭|shop|store|retail|merchant|boutique|shopper|checkout|food hall|tenant mix|outlet|値下げ|販促|催事|テナント|食品|bargain|customer|window display|grocer|discount|basket",
-    "hospitality": "宿泊|客室|旅館|ホテル|観光|宴会|予約|フロント|朝食|温浴|hotel|guest|banquet|booking|tourist|room rate|housekeeping|breakfast|check-in|resort|旅行|連泊|満室|枕|ラウンジ|traveller|stay|suite|lobby|overnight|spa",
-    "sport": "試合|選手|監督|得点|競技|決勝|延長戦|練習場|スタジアム|マラソン|match|player|coach|stadium|tournament|league|goal|final|marathon|athlete|swim|更衣室|観客|リレー|水泳|テニス|主将|relay|penalty|locker room|season ticket|captain|fans|lap|racket",
-    "software": "ソフト|クラウド|データ連携|不具合|バックアップ|アプリ|暗号|ログイン|サーバ|ネットワーク機器|software|cloud|bug|backup|server|encrypt|encryption|login|api|database|firmware|schema|更新版|障害|実行|画面|開発者|同期|developer|deploy|migration|sign in|script|patch|mobile app",
-    "health": "診療|病院|看護|介護|患者|医師|感染|薬局|リハビリ|手術|clinic|hospital|nurse|patient|doctor|pharmacy|ward|infection|surgery|care plan|血圧|ケアプラン|認知症|健康|衛生|dementia|blood pressure|care home|physician|therapy|vaccin|medical",
-}
+#: A term is in the lexicon if it was seen in so many sentences and this share of their weight is of one subject.
+TERM_SENTENCES, TERM_PURITY = 3, 0.6
 
 
 @dataclass(frozen=True)
-class Classifier:
-    """Log-odds of n-grams against all sentences, by subject, and the subjects' log shares."""
+class Lexicon:
+    """Terms with the number of the one subject each speaks for, and the subjects."""
 
     subjects: list[str]
-    prior: np.ndarray
-    weights: dict[str, np.ndarray]
-
-
-def _plain(text: Column) -> Column:
-    wide = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F))
-    return F.translate(text, wide + "　", "".join(map(chr, range(0x21, 0x7F))) + " ")
-
-
-def _let(value: Column, then) -> Column:
-    """then(value) with value computed once: within a lambda an expression would be computed for each element."""
-    return F.transform(F.array(value), then)[0]
-
-
-def sentences(text: Column) -> Column:
-    """The sentences of a text in order: an array of (para, sentence); pieces without a letter or digit are none."""
-    ends = r"[。!?\n\r]+|(?<=[A-Za-z)\]%0-9][.])\s+|(?<=[A-Za-z)\]][.])(?=[A-Z\p{IsHan}\p{IsHiragana}\p{IsKatakana}])"
-    paras = F.split(_plain(text), r"\r?\n\s*\r?\n")
-    cut = F.flatten(F.transform(paras, lambda p, i: F.transform(F.split(p, ends), lambda s: F.struct(i.alias("para"), F.trim(s).alias("s")))))
-    return F.filter(cut, lambda x: x["s"].rlike(r"[\p{L}\p{N}]"))
-
-
-def grams(sentence: Column) -> Column:
-    """The distinct features of a sentence: Latin words and their pairs, two and three characters of Japanese runs."""
-    cut = lambda r, n: F.when(F.length(r) >= n, F.transform(F.sequence(F.lit(1), F.length(r) - n + 1), lambda i: F.substring(r, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-    def of(low: Column) -> Column:
-        latin = _let(F.regexp_extract_all(low, F.lit("[a-z']+"), F.lit(0)), lambda ws: F.concat(F.filter(ws, lambda w: F.length(w) > 2), F.transform(F.slice(ws, 2, 1 << 20), lambda w, i: F.concat_ws(" ", F.get(ws, i), w))))
-        runs = F.regexp_extract_all(low, F.lit("[぀-ヿ一-鿿]+"), F.lit(0))
-        return F.array_distinct(F.concat(latin, F.flatten(F.transform(runs, lambda r: F.concat(cut(r, 2), cut(r, 3))))))
-
-    return _let(F.regexp_replace(F.lower(sentence), "[0-9]+", "0"), of)
-
+    terms: dict[str, int]
+    learned: bool
+
+
+# Sentences and terms are cut by Python's regular expressions in Arrow batches: as higher-order functions they take ten times the CPU.
+_NARROW = {c + 0xFEE0: c for c in range(0x21, 0x7F)} | {0x3000: 0x20}
+_PARAGRAPH = re.compile(r"\r?\n\s*\r?\n")
+_END = re.compile(r"[。!?\n\r]+|(?<=[A-Za-z)\]%0-9][.])\s+|(?<=[A-Za-z)\]][.])(?=[A-Z\u3040-\u30ff\u3400-\u9fff])")
+_LETTER = re.compile(r"[^\W_]")
+_DIGITS, _LATIN, _RUN = re.compile("[0-9]+"), re.compile("[a-z']+"), re.compile("[\u3040-\u30ff\u4e00-\u9fff]+")
+
+
+def sentences(text: str) -> Iterator[tuple[int, str]]:
+    """(paragraph, sentence) of a text in order; pieces without a letter or digit are none."""
+    for para, piece in enumerate(_PARAGRAPH.split(text.translate(_NARROW))):
+        for s in _END.split(piece):
+            if _LETTER.search(s):
+                yield para, s.strip()
+
+
+def grams(sentence: str) -> set[str]:
+    """The distinct terms of a sentence: Latin words and their pairs, two and three characters of Japanese runs."""
+    low = _DIGITS.sub("0", sentence.lower())
+    words = _LATIN.findall(low)
+    out = {w for w in words if len(w) > 2}
+    out.update(map(" ".join, zip(words, words[1:], strict=False)))
+    for run in _RUN.findall(low):
+        out.update(map("".join, zip(run, run[1:], strict=False)))
+        out.update(map("".join, zip(run, run[1:], run[2:], strict=False)))
+    return out
 
-def lexicon_grams(subjects: list[str]) -> dict[str, int]:
-    """The lexicon as features of grams(): feature -> the subjects it speaks for, as bits.
 
-    Japanese terms stand for themselves, longer ones for their first three characters; Latin words for themselves and their
-    usual endings, pairs of words likewise. So the lexicon is looked up along with the classifier's features, in one join.
-    """
-    out: dict[str, int] = {}
-    for k, subject in enumerate(subjects):
-        for term in LEXICON.get(subject, "").split("|"):
-            if term and term.isascii():
-                words = re.findall("[a-z']+", term)
-                forms = [" ".join(words[-2:]) + end for end in ("", "s", "es", "ed", "ing")] if len(words) > 1 else [words[0] + end for end in ("", "s", "es", "ed", "er", "ing", "ion", "ation")]
-            else:
-                forms = [term[:3]] if term else []
-            for f in forms:
-                out[f] = out.get(f, 0) | 1 << k
-    return out
+def seeds(reference: DataFrame, subjects: list[str]) -> dict[str, int]:
+    """Terms of the reference's own names and labels, each for its subject; terms of several subjects are none. A row for each subject."""
+    columns = [c for c in ("subject", "label_en", "label_ja") if c in reference.columns]
+    out: dict[str, set[int]] = {}
+    for r in reference.where(F.col("subject").isin(subjects)).select(*columns).collect():
+        for g in set().union(*(grams(x) for x in r if x)):
+            out.setdefault(g, set()).add(subjects.index(r.subject))
+    return {g: min(ks) for g, ks in out.items() if len(ks) == 1 and subjects[min(ks)] != GENERAL}
 
 
-def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], documents: int = FIT_DOCUMENTS, per_document: int = FIT_SENTENCES, rounds: int = 12, outside: float = 0.01, hint: float = 8.0) -> Classifier:
-    """A classifier of sentences from labels of documents.
+def learn_lexicon(docs: DataFrame, labels: DataFrame, reference: DataFrame, subjects: list[str], documents: int = FIT_DOCUMENTS, per_document: int = FIT_SENTENCES, rounds: int = 12, outside: float = 0.01, hint: float = 8.0) -> Lexicon:
+    """The terms that speak for one subject, from labels of documents; those of the reference alone where nothing is labelled.
 
     A labelled document says which subjects its sentences may have, not which has which; and some labels are wrong. Each
-    sentence is a mixture over its document's subjects and the general one, with a little weight (`outside`) on all others
-    and more (`hint`) on those whose lexicon it meets, and the mixture and the words' weights are estimated in turn. Bounded by `documents` and `per_document`, in the order of
-    a hash of the id.
+    sentence is a mixture over its document's subjects and the general one, with a little weight (`outside`) on all others and
+    more (`hint`) on those whose seed it holds; the mixture and the terms' shares of the subjects are estimated in turn. Bounded
+    by `documents` and `per_document`, in the order of a hash of the id.
     """
     known = labels.where(F.col("subject").isin(subjects)).groupBy("doc_id").agg(F.collect_set("subject").alias("ys"))
     some = known.join(docs.where("text is not null"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
-    got = some.select("ys", F.transform(F.slice(sentences(F.col("text")), 1, per_document), lambda x: grams(x["s"])).alias("xs")).collect()
-    at = {s: k for k, s in enumerate(subjects)}
-    n_subjects, general, lexicon = len(subjects), at[GENERAL], lexicon_grams(subjects)
+
+    @F.pandas_udf("array<array<string>>")
+    def terms(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [sorted(grams(s)) for _, s in islice(sentences(t), per_document)])
+
+    got = some.select("ys", terms("text").alias("xs")).collect()
+    at, seed = {s: k for k, s in enumerate(subjects)}, seeds(reference, subjects)
+    n_subjects, general = len(subjects), at[GENERAL]
     count: dict[str, int] = {}
     for r in got:
         for x in r.xs:
             for g in x:
                 count[g] = count.get(g, 0) + 1
-    vocabulary = {g: k for k, g in enumerate(sorted(g for g, c in count.items() if c >= 2))}
+    vocabulary = {g: k for k, g in enumerate(sorted(g for g, c in count.items() if c >= TERM_SENTENCES))}
     flat, owner, allowed = [], [], []
     for r in got:
         may = np.full(n_subjects, outside)
@@ -127,11 +113,10 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], documents: int
                 flat += ids
                 owner += [len(allowed)] * len(ids)
                 hinted = may.copy()
-                bits = reduce(or_, (lexicon.get(g, 0) for g in x), 0)
-                hinted[[k for k in range(n_subjects) if bits >> k & 1]] *= hint
+                hinted[list({seed[g] for g in x if g in seed})] *= hint
                 allowed.append(hinted)
     if not allowed:
-        return Classifier(subjects, np.log(np.full(n_subjects, 1 / n_subjects)), {})
+        return Lexicon(subjects, seed, False)
     flat_a, owner_a, may = np.array(flat), np.array(owner), np.array(allowed)
     size = np.sqrt(np.bincount(owner_a, minlength=len(may)))
     share = may / may.sum(1, keepdims=True)
@@ -139,32 +124,64 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], documents: int
         counts = np.stack([np.bincount(flat_a, weights=share[owner_a, k], minlength=len(vocabulary)) for k in range(n_subjects)], 1)
         total = share.sum(0) + 1
         weights = np.log((counts + 0.1) / (total + 0.2)) - np.log((counts.sum(1, keepdims=True) + 0.1) / (total.sum() + 0.2))
-        prior = np.log(total / total.sum())
         score = np.stack([np.bincount(owner_a, weights=weights[flat_a, k], minlength=len(may)) for k in range(n_subjects)], 1) / size[:, None]
-        z = prior + score + np.log(may)
+        z = np.log(total / total.sum()) + score + np.log(may)
         share = np.exp(z - z.max(1, keepdims=True))
         share /= share.sum(1, keepdims=True)
-    return Classifier(subjects, prior, {g: weights[k] for g, k in vocabulary.items()})
+    # Shares among subjects as if all were equally frequent, so that a frequent subject doesn't own every term.
+    even = (counts + 0.1) / (total + 0.2)
+    purity = even / even.sum(1, keepdims=True)
+    best = purity.argmax(1)
+    learned = {g: int(best[k]) for g, k in vocabulary.items() if purity[k, best[k]] >= TERM_PURITY}
+    return Lexicon(subjects, {**seed, **learned}, True)
+
+
+def _most(counts: list[int]) -> int:
+    """The subject that most terms speak for; -1 where none does or two are equal."""
+    best = max(counts)
+    return counts.index(best) if best and counts.count(best) == 1 else -1
+
 
+def codes_of(text: str, terms: dict[str, int], n: int, used: tuple[bool, bool, bool]) -> list[int]:
+    """A code for each sentence that holds the votes of the two halves of the lexicon and of the section; terms: term -> 2 * subject + half.
 
-def _lift_votes(docs: DataFrame, labels: DataFrame, column: Column, least: int = 20, lift: float = 1.5) -> dict[str, str]:
-    """Values of a column whose labelled documents have one subject `lift` times as often as all do: value -> subject."""
-    known = labels.select("doc_id", "subject").distinct().join(docs.select("doc_id", column.alias("v")).where("v is not null"), "doc_id")
-    rows = known.groupBy("v", "subject").count().collect()  # values of a code list by subjects
-    by_v, by_s = {}, {}
-    for r in rows:
-        by_v[r.v] = by_v.get(r.v, 0) + r["count"]
-        by_s[r.subject] = by_s.get(r.subject, 0) + r["count"]
-    total = sum(by_s.values())
-    best: dict[str, tuple[float, str]] = {}
-    for r in rows:
-        x = (r["count"] / by_v[r.v]) / (by_s[r.subject] / total)
-        if by_v[r.v] >= least and x >= lift and r["count"] >= least / 4 and (x, r.subject) > best.get(r.v, (0.0, "")):
-            best[r.v] = (x, r.subject)
-    return {v: s for v, (_, s) in best.items()}
+    The section's vote is what the whole lexicon says of the neighbours in the same paragraph, where they agree.
+    """
+    seen = []
+    for para, s in sentences(text):
+        counts = [0] * (2 * n)
+        for g in grams(s):
+            h = terms.get(g)
+            if h is not None:
+                counts[h] += 1
+        first, second = counts[::2], counts[1::2]
+        seen.append((para, _most(first), _most(second), _most([x + y for x, y in zip(first, second, strict=True)])))
+    out = []
+    for i, (para, a, b, _) in enumerate(seen):
+        near = {x[3] for x in (*seen[max(i - 1, 0) : i], *seen[i + 1 : i + 2]) if x[0] == para and x[3] >= 0}
+        section = near.pop() if len(near) == 1 else -1
+        a, b, section = (v if on else -1 for v, on in zip((a, b, section), used, strict=True))
+        out.append(((a + 1) * (n + 1) + b + 1) * (n + 1) + section + 1)
+    return out
+
+
+def _lifts(docs: DataFrame, labels: DataFrame, value: str, subjects: list[str], least: int = 20, lift: float = 1.5) -> DataFrame:
+    """(value, vote): values of a column whose labelled documents have one subject `lift` times as often as all do.
+
+    All in Spark; a value has a row only if it has `least` labels.
+    """
+    at = F.create_map(*(F.lit(x) for k, s in enumerate(subjects) for x in (s, k)))
+    known = labels.where(F.col("subject").isin(subjects)).select("doc_id", "subject").distinct()
+    met = known.join(docs.select("doc_id", F.col(value).alias("value")).where("value is not null"), "doc_id").groupBy("value", "subject").agg(F.count(F.lit(1)).alias("n"))
+    met = materialize(met)
+    by_subject = met.groupBy("subject").agg(F.sum("n").alias("s"))
+    whole = met.agg(F.sum("n").alias("all"))
+    rows = met.join(met.groupBy("value").agg(F.sum("n").alias("v")).where(F.col("v") >= least), "value").join(by_subject, "subject").join(whole)  # one row
+    rows = rows.withColumn("lift", F.col("n") / F.col("v") / (F.col("s") / F.col("all"))).where((F.col("lift") >= lift) & (F.col("n") >= least / 4))
+    return rows.groupBy("value").agg(F.max_by(at[F.col("subject")], F.struct("lift", "subject")).alias("vote"))
 
 
-FUNCTIONS = ["lexicon", "words", "words_sure", "section", "source", "issuer"]
+FUNCTIONS = ["terms", "more_terms", "section", "source", "address"]
 
 
 def learn_accuracies(patterns: np.ndarray, counts: np.ndarray, n_subjects: int, start: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,74 +210,81 @@ def learn_accuracies(patterns: np.ndarray, counts: np.ndarray, n_subjects: int,
     return accuracy, prior, post
 
 
-def votes(docs: DataFrame, labels: DataFrame, model: Classifier, sure: float = 3.0) -> DataFrame:
-    """(doc_id, h, pos, one column for each labelling function): the vote is a subject's number, -1 to abstain.
+def votes(docs: DataFrame, labels: DataFrame, lexicon: Lexicon, without: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, h, source, address, codes): a code for each sentence, in their order, that holds the votes of the lexicon and the section.
 
-    The texts are shuffled once, by doc_id; scoring, sections and counts then stay within the task that has the document.
+    A vote is a subject's number, -1 to abstain. docs: doc_id, text, source, and optionally address, the kind of place it speaks
+    of. Functions named in `without` abstain. A text without sentences has no codes.
     """
-    spark, subjects = docs.sparkSession, model.subjects
-    n = len(subjects)
-    cols = [f"w{k}" for k in range(n)]
-    lexicon, nothing = lexicon_grams(subjects), np.zeros(n)
-    rows = [(g, lexicon.get(g, 0), int(g in model.weights), *map(float, model.weights.get(g, nothing))) for g in {"", *model.weights, *lexicon}]
-    table = spark.createDataFrame(rows, "g string, bits long, known int, " + ", ".join(f"{c} double" for c in cols))  # bounded by the fit
-    at = {s: k for k, s in enumerate(subjects)}
-    pick = lambda c, m: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for v, s in m.items() for x in (v, at[s]))), c), F.lit(-1)) if m else F.lit(-1)
-    source = F.lower(F.trim("source"))
-    by_source, by_issuer = _lift_votes(docs, labels, source), _lift_votes(docs, labels, F.col("reit_code"))
-    base = docs.where("doc_id is not null and text is not null").repartition("doc_id")
-    whole = base.select("doc_id", F.xxhash64("text").alias("h"), pick(source, by_source).alias("source"), pick(F.col("reit_code"), by_issuer).alias("issuer"), sentences(F.col("text")).alias("xs"))
-    cut = whole.select("doc_id", "h", "source", "issuer", F.posexplode("xs").alias("pos", "x"))
-    # Computed before the explode: beside it they would be computed again for each feature.
-    seen = cut.select("doc_id", "h", "pos", "source", "issuer", F.col("x.para").alias("para"), F.concat(F.array(F.lit("")), grams(F.col("x.s"))).alias("gs"))
-    one = seen.select("doc_id", "h", "pos", "source", "issuer", "para", F.explode("gs").alias("g"))
-    # The empty feature marks the sentence: it counts its copies and keeps sentences of unknown words.
-    met = one.join(F.broadcast(table), "g")
-    copies = F.count(F.when(F.col("g") == "", 1))
-    summed = met.groupBy("doc_id", "h", "pos").agg(*(F.first(c).alias(c) for c in ("source", "issuer", "para")), F.bit_or("bits").alias("bits"), (F.sum("known") / copies).alias("k"), *((F.sum(c) / copies).alias(c) for c in cols))
-    score = F.array(*(F.lit(float(p)) + F.col(c) / F.sqrt(F.greatest("k", F.lit(1.0))) for c, p in zip(cols, model.prior, strict=True)))
-    scored = summed.withColumn("score", score).withColumn("lexicon", F.when(F.bit_count("bits") == 1, F.round(F.log2("bits")).cast("int")).otherwise(-1))
-    best = F.array_max("score")
-    second = F.get(F.sort_array("score", asc=False), F.lit(1)) if n > 1 else best
-    scored = scored.withColumn("words", F.when(F.col("k") > 0, F.array_position("score", best).cast("int") - 1).otherwise(-1)).withColumn("words_sure", F.when(best - second >= sure, F.col("words")).otherwise(-1))
-    keep = scored.select("doc_id", "h", F.struct("pos", "para", "lexicon", "words", "words_sure", "source", "issuer").alias("v"))
-    per_doc = keep.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("v")).alias("vs"))
-    # The section's vote: the neighbours in the same paragraph, where they agree.
-    def with_section(v: Column, i: Column) -> Column:
-        near = lambda k: F.when((F.get("vs", k)["para"] == v["para"]) & (F.get("vs", k)["words"] >= 0), F.get("vs", k)["words"])
-        before, after = near(i - 1), near(i + 1)
-        section = F.when(before.isNotNull() & after.isNotNull() & (before != after), F.lit(-1)).otherwise(F.coalesce(before, after, F.lit(-1)))
-        return F.struct(v["pos"].alias("pos"), *(v[c].cast("int").alias(c) for c in ("lexicon", "words", "words_sure")), section.cast("int").alias("section"), *(v[c].cast("int").alias(c) for c in ("source", "issuer")))
-
-    return per_doc.select("doc_id", "h", F.inline(F.transform("vs", with_section)))
-
-
-def subjects_of(docs: DataFrame, labels: DataFrame, reference: DataFrame, share: float = SHARE, model: Classifier | None = None) -> DataFrame:
+    n = len(lexicon.subjects)
+    base = spread(docs.where("doc_id is not null and text is not null")).select("doc_id", "text", F.lower(F.trim("source")).alias("source"), (F.col("address") if "address" in docs.columns else F.lit(None).cast("string")).alias("address"))
+    for c in ("source", "address"):
+        table = broadcast_if_small(materialize(_lifts(base, labels, c, lexicon.subjects)), F.lit(32) + F.octet_length("value"))
+        voted = base.join(table.withColumnRenamed("value", c), c, "left") if c not in without else base.withColumn("vote", F.lit(-1))
+        base = voted.withColumn(c, F.coalesce("vote", F.lit(-1)).cast("int")).drop("vote")
+    # The half that a term is in is the highest bit of its CRC.
+    terms = {g: 2 * k + (zlib.crc32(g.encode()) >> 31) for g, k in lexicon.terms.items()}
+    used = tuple(f not in without for f in FUNCTIONS[:3])
+
+    @F.pandas_udf("array<int>")
+    def codes(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: codes_of(t, terms, n, used))
+
+    return base.where(F.col("text").rlike(r"(?U)[^\s]")).select("doc_id", F.xxhash64("text").alias("h"), "source", "address", codes("text").alias("codes"))
+
+
+@dataclass(frozen=True)
+class Model:
+    """Posterior probabilities of each pattern of votes, and what was learned of the functions."""
+
+    rows: list[tuple]
+    accuracies: list[tuple[str, float, float]]
+
+
+def learn_model(seen: DataFrame, lexicon: Lexicon) -> Model:
+    """The latent model over all sentences of votes()."""
+    n = len(lexicon.subjects)
+    # Patterns of votes: bounded by the functions and subjects, whatever the corpus.
+    tallied = seen.select("source", "address", F.explode("codes").alias("code")).groupBy("source", "address", "code").count().collect()
+    parts = lambda c: (c // (n + 1) ** 2 - 1, c // (n + 1) % (n + 1) - 1, c % (n + 1) - 1)
+    patterns = np.array([[*parts(r.code), r.source, r.address] for r in tallied], dtype=int).reshape(-1, len(FUNCTIONS))
+    counts = np.array([r["count"] for r in tallied], dtype=float)
+    start = np.array([0.9, 0.9, 0.5, 0.2, 0.2])
+    own = patterns.copy()
+    if not lexicon.learned:  # only the reference's own words: silence of both halves means GENERAL, and the start stands
+        own[:, 2:] = -1
+        own[(own[:, :2] < 0).all(1), 0] = n - 1
+    accuracy, _, post = learn_accuracies(own, counts, n, start, 25 if lexicon.learned else 1)
+    rows = [(int(r.source), int(r.address), int(r.code), list(map(float, p))) for r, p in zip(tallied, post, strict=True)]
+    voted = [(float(counts[patterns[:, j] >= 0].sum()) / max(float(counts.sum()), 1.0)) for j in range(len(FUNCTIONS))]
+    return Model(rows, [(f, float(a), v) for f, a, v in zip(FUNCTIONS, accuracy, voted, strict=True)])
+
+
+def _names(reference: DataFrame) -> list[str]:
+    return [*sorted({r.subject for r in reference.select("subject").where("subject is not null").distinct().collect()} - {GENERAL}), GENERAL]  # the list of subjects
+
+
+def subjects_of(docs: DataFrame, labels: DataFrame, reference: DataFrame, share: float = SHARE, lexicon: Lexicon | None = None, without: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, subject) of every document: its subjects, or GENERAL if it has none.
 
-    docs: doc_id, text, source, reit_code; labels: doc_id, subject; reference: subject. Null, empty and blank texts have no
-    row. Repeated rows count once; labels of unknown subjects or documents don't matter; without labels the lexicon decides. A model fitted elsewhere may be given.
+    docs: doc_id, text, source and optionally address; labels: doc_id, subject; reference: subject, and optionally label_en and
+    label_ja. Null, empty and blank texts have no row. Repeated rows count once; labels of unknown subjects or documents don't
+    matter; without labels the reference's own words decide. A lexicon learned elsewhere may be given.
     """
-    names = sorted({r.subject for r in reference.select("subject").where("subject is not null").distinct().collect()} - {GENERAL})
-    names = [*names, GENERAL]
-    model = model or fit(docs, labels, names)
-    seen = materialize(votes(docs, labels, model))
-    tallied = seen.groupBy(*FUNCTIONS).count().collect()  # vote patterns: bounded by the functions and subjects
-    spark, n, general = docs.sparkSession, len(names), len(names) - 1
-    patterns = np.array([[r[f] for f in FUNCTIONS] for r in tallied], dtype=int).reshape(-1, len(FUNCTIONS))
-    counts = np.array([r["count"] for r in tallied], dtype=float)
-    if not model.weights:  # nothing was fitted: the classifier's votes are none, and silence of the lexicon means GENERAL
-        patterns[:, 1:4] = -1
-        patterns[patterns[:, 0] < 0, 1] = general
-    start = np.array([0.85, 0.85, 0.95, 0.5, 0.2, 0.2])
-    # One function alone can't be told right from wrong: without a fit the start stands.
-    _, _, post = learn_accuracies(patterns, counts, n, start, 25 if model.weights else 1)
-    rows = [(*[r[f] for f in FUNCTIONS], list(map(float, p))) for r, p in zip(tallied, post, strict=True)]
-    table = spark.createDataFrame(rows, ", ".join(f"{f} int" for f in FUNCTIONS) + ", post array<double>")
-    met = seen.join(F.broadcast(table), FUNCTIONS).select("doc_id", "h", F.posexplode("post").alias("k", "p"))
-    shares = met.where(F.col("k") < general).groupBy("doc_id", "h", "k").agg(F.avg("p").alias("share")).where(F.col("share") >= share)
-    named = F.get(F.array(*map(F.lit, names)), F.col("k"))
-    found = shares.select("doc_id", named.alias("subject"))
-    given = docs.where("doc_id is not null").where(F.col("text").rlike(r"(?U)[^\s]")).select("doc_id").distinct()
-    rest = given.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit(GENERAL).alias("subject"))
-    return found.unionByName(rest).distinct()
+    names = _names(reference)
+    lexicon = lexicon or learn_lexicon(docs, labels, reference, names)
+    seen = materialize(votes(docs, labels, lexicon, without))
+    general = len(names) - 1
+    table = docs.sparkSession.createDataFrame(learn_model(seen, lexicon).rows, "source int, address int, code int, post array<double>")  # bounded as the patterns are
+    one = seen.select("doc_id", "h", "source", "address", F.explode_outer("codes").alias("code"))
+    met = one.join(F.broadcast(table), ["source", "address", "code"], "left")
+    means = met.groupBy("doc_id", "h").agg(*(F.avg(F.get("post", F.lit(k))).alias(f"p{k}") for k in range(general)))
+    found = F.filter(F.array(*(F.when(F.col(f"p{k}") >= share, F.lit(names[k])) for k in range(general)), F.lit(None).cast("string")), lambda x: x.isNotNull())
+    return means.select("doc_id", F.explode(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(GENERAL)))).alias("subject")).distinct()
+
+
+def accuracies(docs: DataFrame, labels: DataFrame, reference: DataFrame) -> DataFrame:
+    """(function, accuracy, coverage): what the latent model learned of each labelling function, and its share of sentences with a vote."""
+    lexicon = learn_lexicon(docs, labels, reference, _names(reference))
+    model = learn_model(materialize(votes(docs, labels, lexicon)), lexicon)
+    return docs.sparkSession.createDataFrame(model.accuracies, "function string, accuracy double, coverage double")
