@@ -59,6 +59,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, for work that is heavy for its bytes: files that come in fewer partitions than there are cores are dealt out; others stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: Column | int, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """Mark df for broadcast only after its size has been measured.
 
@@ -69,4 +75,4 @@ def broadcast_if_small(df: DataFrame, row_bytes: Column | int, limit: int = BROA
     return F.broadcast(df) if size <= limit else df
 
 
-__all__ = ["BROADCAST_LIMIT_BYTES", "broadcast_if_small", "ensure_checkpoint_dir", "materialize", "scratch_dir", "session"]
+__all__ = ["BROADCAST_LIMIT_BYTES", "broadcast_if_small", "ensure_checkpoint_dir", "materialize", "scratch_dir", "session", "spread"]
