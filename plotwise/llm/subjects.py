@@ -28,8 +28,10 @@ GENERAL = "general"
 SHARE = 0.195
 #: The lexicon is learned from at most so many labelled documents, and so many sentences of each. Nothing else is sampled.
 FIT_DOCUMENTS, FIT_SENTENCES = 2000, 150
+#: Where fewer documents are labelled than this, others make up the number.
+LEAST_DOCUMENTS = 600
 #: A term is in the lexicon if it was seen in so many sentences and this share of their weight is of one subject.
-TERM_SENTENCES, TERM_PURITY = 3, 0.6
+TERM_SENTENCES, TERM_PURITY = 2, 0.75
 
 
 @dataclass(frozen=True)
@@ -42,7 +44,7 @@ class Lexicon:
 
 
 # Sentences and terms are cut by Python's regular expressions in Arrow batches: as higher-order functions they take ten times the CPU.
-_NARROW = {c + 0xFEE0: c for c in range(0x21, 0x7F)} | {0x3000: 0x20}
+_WIDE = re.compile("[\uff01-\uff5e\u3000]")
 _PARAGRAPH = re.compile(r"\r?\n\s*\r?\n")
 _END = re.compile(r"[。!?\n\r]+|(?<=[A-Za-z)\]%0-9][.])\s+|(?<=[A-Za-z)\]][.])(?=[A-Z\u3040-\u30ff\u3400-\u9fff])")
 _LETTER = re.compile(r"[^\W_]")
@@ -51,21 +53,24 @@ _DIGITS, _LATIN, _RUN = re.compile("[0-9]+"), re.compile("[a-z']+"), re.compile(
 
 def sentences(text: str) -> Iterator[tuple[int, str]]:
     """(paragraph, sentence) of a text in order; pieces without a letter or digit are none."""
-    for para, piece in enumerate(_PARAGRAPH.split(text.translate(_NARROW))):
+    narrow = _WIDE.sub(lambda m: " " if m[0] == "\u3000" else chr(ord(m[0]) - 0xFEE0), text)
+    for para, piece in enumerate(_PARAGRAPH.split(narrow)):
         for s in _END.split(piece):
             if _LETTER.search(s):
                 yield para, s.strip()
 
 
-def grams(sentence: str) -> set[str]:
-    """The distinct terms of a sentence: Latin words and their pairs, two and three characters of Japanese runs."""
+def grams(sentence: str) -> list[str]:
+    """The terms of a sentence, repeated ones as often as they occur: Latin words and their pairs, two and three characters of Japanese runs."""
     low = _DIGITS.sub("0", sentence.lower())
     words = _LATIN.findall(low)
-    out = {w for w in words if len(w) > 2}
-    out.update(map(" ".join, zip(words, words[1:], strict=False)))
+    out = [w for w in words if len(w) > 2]
+    if len(words) > 1:
+        out += map(" ".join, zip(words, words[1:], strict=False))
     for run in _RUN.findall(low):
-        out.update(map("".join, zip(run, run[1:], strict=False)))
-        out.update(map("".join, zip(run, run[1:], run[2:], strict=False)))
+        n = len(run)
+        out += [run[i : i + 2] for i in range(n - 1)]
+        out += [run[i : i + 3] for i in range(n - 2)]
     return out
 
 
@@ -79,22 +84,29 @@ def seeds(reference: DataFrame, subjects: list[str]) -> dict[str, int]:
     return {g: min(ks) for g, ks in out.items() if len(ks) == 1 and subjects[min(ks)] != GENERAL}
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, reference: DataFrame, subjects: list[str], documents: int = FIT_DOCUMENTS, per_document: int = FIT_SENTENCES, rounds: int = 12, outside: float = 0.01, hint: float = 8.0) -> Lexicon:
+def learn_lexicon(docs: DataFrame, labels: DataFrame, reference: DataFrame, subjects: list[str], documents: int = FIT_DOCUMENTS, per_document: int = FIT_SENTENCES, rounds: int = 12, alone: int = 4, outside: float = 0.01, hint: float = 8.0) -> Lexicon:
     """The terms that speak for one subject, from labels of documents; those of the reference alone where nothing is labelled.
 
     A labelled document says which subjects its sentences may have, not which has which; and some labels are wrong. Each
     sentence is a mixture over its document's subjects and the general one, with a little weight (`outside`) on all others and
-    more (`hint`) on those whose seed it holds; the mixture and the terms' shares of the subjects are estimated in turn. Bounded
-    by `documents` and `per_document`, in the order of a hash of the id.
+    more (`hint`) on those whose seed it holds; the mixture and the terms' shares of the subjects are estimated in turn. Where
+    fewer than LEAST_DOCUMENTS are labelled, others join after `alone` rounds, whose sentences may have any subject. Bounded by
+    `documents` and `per_document`, in the order of a hash of the id.
     """
     known = labels.where(F.col("subject").isin(subjects)).groupBy("doc_id").agg(F.collect_set("subject").alias("ys"))
-    some = known.join(docs.where("text is not null"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
 
     @F.pandas_udf("array<array<string>>")
     def terms(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [sorted(grams(s)) for _, s in islice(sentences(t), per_document)])
-
-    got = some.select("ys", terms("text").alias("xs")).collect()
+        return texts.map(lambda t: [sorted(set(grams(s))) for _, s in islice(sentences(t), per_document)])
+
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    fitted = materialize(texts.join(known, "doc_id").orderBy(*order).limit(documents).select("text", "ys"))
+    lacking = LEAST_DOCUMENTS - fitted.count()
+    if lacking > 0 and not fitted.isEmpty():
+        others = texts.join(known, "doc_id", "left_anti").orderBy(*order).limit(lacking)
+        fitted = fitted.unionByName(others.select("text", F.lit(None).cast("array<string>").alias("ys")))
+    got = spread(fitted).select("ys", terms("text").alias("xs")).collect()
     at, seed = {s: k for k, s in enumerate(subjects)}, seeds(reference, subjects)
     n_subjects, general = len(subjects), at[GENERAL]
     count: dict[str, int] = {}
@@ -103,10 +115,10 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, reference: DataFrame, subj
             for g in x:
                 count[g] = count.get(g, 0) + 1
     vocabulary = {g: k for k, g in enumerate(sorted(g for g, c in count.items() if c >= TERM_SENTENCES))}
-    flat, owner, allowed = [], [], []
+    flat, owner, allowed, labelled = [], [], [], []
     for r in got:
-        may = np.full(n_subjects, outside)
-        may[[at[y] for y in r.ys] + [general]] = 1.0
+        may = np.full(n_subjects, outside if r.ys else 1.0)
+        may[[at[y] for y in r.ys or ()] + [general]] = 1.0
         for x in r.xs:
             ids = [vocabulary[g] for g in x if g in vocabulary]
             if ids:
@@ -115,17 +127,21 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, reference: DataFrame, subj
                 hinted = may.copy()
                 hinted[list({seed[g] for g in x if g in seed})] *= hint
                 allowed.append(hinted)
-    if not allowed:
+                labelled.append(bool(r.ys))
+    if not any(labelled):
         return Lexicon(subjects, seed, False)
-    flat_a, owner_a, may = np.array(flat), np.array(owner), np.array(allowed)
+    flat_a, owner_a, may, own = np.array(flat), np.array(owner), np.array(allowed), np.array(labelled, dtype=float)[:, None]
     size = np.sqrt(np.bincount(owner_a, minlength=len(may)))
     share = may / may.sum(1, keepdims=True)
-    for _ in range(rounds):
-        counts = np.stack([np.bincount(flat_a, weights=share[owner_a, k], minlength=len(vocabulary)) for k in range(n_subjects)], 1)
-        total = share.sum(0) + 1
-        weights = np.log((counts + 0.1) / (total + 0.2)) - np.log((counts.sum(1, keepdims=True) + 0.1) / (total.sum() + 0.2))
+    for k in range(rounds):
+        used = share * own if k < alone else share
+        counts = np.stack([np.bincount(flat_a, weights=used[owner_a, k], minlength=len(vocabulary)) for k in range(n_subjects)], 1)
+        total = used.sum(0) + 1
+        prior = total / total.sum()
+        # A term that wasn't seen yet says nothing.
+        weights = np.log((counts + prior) / total) - np.log((counts.sum(1, keepdims=True) + 1) / total.sum())
         score = np.stack([np.bincount(owner_a, weights=weights[flat_a, k], minlength=len(may)) for k in range(n_subjects)], 1) / size[:, None]
-        z = np.log(total / total.sum()) + score + np.log(may)
+        z = np.log(prior) + score + np.log(may)
         share = np.exp(z - z.max(1, keepdims=True))
         share /= share.sum(1, keepdims=True)
     # Shares among subjects as if all were equally frequent, so that a frequent subject doesn't own every term.
@@ -150,10 +166,8 @@ def codes_of(text: str, terms: dict[str, int], n: int, used: tuple[bool, bool, b
     seen = []
     for para, s in sentences(text):
         counts = [0] * (2 * n)
-        for g in grams(s):
-            h = terms.get(g)
-            if h is not None:
-                counts[h] += 1
+        for g in set(filter(terms.__contains__, grams(s))):
+            counts[terms[g]] += 1
         first, second = counts[::2], counts[1::2]
         seen.append((para, _most(first), _most(second), _most([x + y for x, y in zip(first, second, strict=True)])))
     out = []
