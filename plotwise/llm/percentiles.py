@@ -17,7 +17,7 @@ from plotwise.session import broadcast_if_small, materialize
 _TWO52 = float(1 << 52)
 DIGITS = 4
 DIGIT_BITS = 16
-RESERVED = {"metric", "key", "digit", "c", "n", "p", "at", "rank", "left", "prefix", "upto", "x", "x0", "x1", "value", "bucket"}
+RESERVED = {"metric", "key", "digit", "c", "n", "p", "at", "rank", "left", "prefix", "upto", "x", "x0", "x1", "value", "bucket", "whole"}
 
 
 def order_key(x: Column) -> Column:
@@ -63,17 +63,31 @@ def _same(a: str, b: str, names: Sequence[str]) -> Column:
     return out
 
 
-def percentiles(df: DataFrame, groups: Sequence[str], columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """(groups, metric, p, n, value): exact percentiles, interpolated between the two nearest ranks.
+def percentiles(df: DataFrame, groups: Sequence[str], columns: Sequence[str], probs: Sequence[float], also: Sequence[str] | None = None) -> DataFrame:
+    """(groups, metric, whole, p, n, value): exact percentiles, interpolated between the two nearest ranks.
 
     n is the number of values that count; null and NaN don't, infinities do. Groups without any value have no row. Repeated
-    rows count each time. The data are read twice: for the first digit, and for the values under the digits that hold a target
-    rank, which are kept with their counts; the other three digits follow from those.
+    rows count each time. also: some of the groups, for which there are rows as well, with `whole` true and the other groups
+    null; their histograms are the sums of the finer groups' ones, so the data aren't read again for them.
+    The data are read three times: for the first and the second digit, each a bounded histogram combined before the shuffle,
+    and for the values that share both digits with a target rank. These are a millionth part of a continuous column, and few
+    distinct values of any other; they are kept with their counts, and the last two digits follow from them.
     """
     groups = list(groups)
-    names = [*groups, "metric"]
+    fine, names = [*groups, "metric"], [*groups, "metric", "whole"]
+    shared = [*(groups if also is None else also), "metric"]
     values = _values(df, groups, columns)
-    hist = materialize(values.groupBy(*names, _digit(F.col("key"), 0).alias("digit")).agg(F.count(F.lit(1)).alias("c")))
+
+    def with_whole(hist: DataFrame) -> DataFrame:
+        one = hist.withColumn("whole", F.lit(False))
+        if also is None:
+            return one
+        summed = hist.groupBy(*shared, "prefix", "digit").agg(F.sum("c").alias("c"))
+        rest = [F.lit(None).cast(df.schema[g].dataType).alias(g) for g in groups if g not in also]
+        return one.unionByName(summed.select("*", *rest, F.lit(True).alias("whole")))
+
+    first = values.groupBy(*fine, _digit(F.col("key"), 0).alias("digit")).agg(F.count(F.lit(1)).alias("c")).withColumn("prefix", F.lit(0).cast("bigint"))
+    hist = materialize(with_whole(first))
     sizes = hist.groupBy(*names).agg(F.sum("c").alias("n"))
     place = F.transform(F.array(*(F.lit(float(p)) for p in probs)), lambda p: F.struct(p.alias("p"), ((F.col("n") - 1) * p).alias("at")))
     asked = materialize(sizes.select(*names, "n", F.inline(place)))  # a row for each group and percentile
@@ -82,14 +96,13 @@ def percentiles(df: DataFrame, groups: Sequence[str], columns: Sequence[str], pr
     state = ranks.withColumn("left", F.col("rank")).withColumn("prefix", F.lit(0).cast("bigint"))
     kept = None
     for k in range(DIGITS):
-        if k == 0:
-            hist = hist.withColumn("prefix", F.lit(0).cast("bigint"))
-        else:
-            followed = broadcast_if_small(state.select(*names, "prefix").distinct(), 100)
-            under = lambda rows: rows.withColumn("prefix", F.shiftright("key", 64 - DIGIT_BITS * k)).alias("v").join(followed.alias("f"), _same("v", "f", [*names, "prefix"])).select("v.*")  # noqa: B023, E731
-            if kept is None:  # equal values are one row from here on, and the rest of the data isn't read again
-                kept = materialize(under(values).groupBy(*names, "key").agg(F.count(F.lit(1)).alias("c")))
-            hist = under(kept).groupBy(*names, "prefix", _digit(F.col("key"), k).alias("digit")).agg(F.sum("c").alias("c"))
+        if k > 0:
+            followed = broadcast_if_small(state.select(*shared, "prefix").distinct(), 100)
+            under = lambda rows: rows.withColumn("prefix", F.shiftright("key", 64 - DIGIT_BITS * k)).alias("v").join(followed.alias("f"), _same("v", "f", [*shared, "prefix"])).select("v.*")  # noqa: B023, E731
+            if k == 2:  # equal values are one row from here on, and the data aren't read again
+                kept = materialize(under(values).groupBy(*fine, "key").agg(F.count(F.lit(1)).alias("c")))
+            rows = under(values).withColumn("c", F.lit(1)) if kept is None else under(kept)
+            hist = with_whole(rows.groupBy(*fine, "prefix", _digit(F.col("key"), k).alias("digit")).agg(F.sum("c").alias("c")))
         w = Window.partitionBy(*names, "prefix").orderBy("digit")
         upto = hist.withColumn("upto", F.sum("c").over(w))
         met = state.alias("s").join(upto.alias("h"), _same("s", "h", [*names, "prefix"]) & (F.col("s.left") < F.col("h.upto")) & (F.col("s.left") >= F.col("h.upto") - F.col("h.c")))

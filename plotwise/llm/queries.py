@@ -16,10 +16,10 @@ RATES = ("cap", "terminal_cap_rate")
 def p2_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     """Exact percentiles of the rates for each issuer and load, and (load_no 0) for each issuer over all loads."""
     pp = table(spark, sf, "property_period").select("reit_code", "reit", "load_no", *RATES)
-    both = pp.withColumn("load_no", F.explode(F.array("load_no", F.lit(0))))
     spelled = pp.where("reit is not null").groupBy("reit_code", F.regexp_replace("reit", r"(?U)\s", "").alias("reit")).count()
     names = spelled.groupBy("reit_code").agg(F.max_by("reit", F.struct("count", "reit")).alias("reit"))
-    rows = percentiles.percentiles(both, ["reit_code", "load_no"], RATES, PROBS).alias("r").join(names.alias("m"), F.col("r.reit_code").eqNullSafe(F.col("m.reit_code")), "left")
+    rows = percentiles.percentiles(pp, ["reit_code", "load_no"], RATES, PROBS, also=["reit_code"])
+    rows = rows.withColumn("load_no", F.when(F.col("whole"), F.lit(0)).otherwise(F.col("load_no"))).alias("r").join(names.alias("m"), F.col("r.reit_code").eqNullSafe(F.col("m.reit_code")), "left")
     return rows.select("r.reit_code", "m.reit", "load_no", "metric", "p", "n", F.round("value", 9).alias("value"))
 
 
@@ -56,7 +56,7 @@ def _sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of mix_target whose source can't reach its share."""
-    return mixing.quotas(_sizes(spark, sf), table(spark, sf, "mix_target")).where(~F.col("reachable")).select("mix_id", "source")
+    return mixing.short(_sizes(spark, sf), table(spark, sf, "mix_target"))
 
 
 def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
