@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from plotwise.operators.pairs import hot_salts, part_of
 from plotwise.session import broadcast_if_small, materialize
 
 EARTH_RADIUS_KM = 6371.0
@@ -33,23 +34,27 @@ def valid_coordinate(lat: Column, lng: Column) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def _points(df: DataFrame, key: str, lat: str, lng: str) -> DataFrame:
+def points(df: DataFrame, key: str = "id", lat: str = "lat", lng: str = "lng") -> DataFrame:
+    """(pid, plat, plng): the distinct keys with valid coordinates, written once for all joins that read them."""
     pts = df.select(F.col(key).alias("pid"), F.col(lat).cast("double").alias("plat"), F.col(lng).cast("double").alias("plng"))
-    return pts.where(F.col("pid").isNotNull() & valid_coordinate(F.col("plat"), F.col("plng"))).distinct()
+    return materialize(pts.where(F.col("pid").isNotNull() & valid_coordinate(F.col("plat"), F.col("plng"))).distinct())
 
 
-def near_pairs(df: DataFrame, radius_km: float, key: str = "id", lat: str = "lat", lng: str = "lng", cell_factor: float = 2.0, hot_cell: int = 4000) -> DataFrame:
+def near_pairs(df: DataFrame, radius_km: float, key: str = "id", lat: str = "lat", lng: str = "lng", cell_factor: float = 2.0, hot_cell: int = 4000, fine: int = 8, pts: DataFrame | None = None) -> DataFrame:
     """(left_id, right_id, km): each two different keys at most radius_km apart, the smaller key first, once.
 
     The sphere is cut into bands of latitude of cell_factor radii and each band into columns of about that width, so cells
     keep their size at any latitude and wrap at the 180th meridian. The left side visits the one to four cells its circle
-    touches, the right side stays in its own. Cells of more than hot_cell points (at most rows / hot_cell of them, so the
-    list of hot cells is small; its size is still checked) are salted: the left side is split, the right side repeated.
+    touches, the right side stays in its own. The cover adapts to the density: cells of more than hot_cell points are cut into
+    fine x fine smaller ones, and of these a circle visits those it touches; those wholly inside it accept all their points at
+    once, and only those on its border, and the cells that weren't cut, take the test of the distance. Cells that are still hot
+    (many points at one place) are split on both sides, so no group has more than about hot_cell rows of the right side.
     Rows with a null key or an invalid coordinate take no part; repeated rows count once; an empty table gives no rows.
+    pts: points() of df, if there are any already.
     """
     if not radius_km > 0 or math.degrees(radius_km / EARTH_RADIUS_KM) * cell_factor > 60:
         raise ValueError("radius_km must be positive and much smaller than the earth")
-    pts = _points(df, key, lat, lng)
+    pts = points(df, key, lat, lng) if pts is None else pts
     reach = math.degrees(radius_km / EARTH_RADIUS_KM) * (1 + 1e-9)
     height = reach * cell_factor
 
@@ -63,6 +68,13 @@ def near_pairs(df: DataFrame, radius_km: float, key: str = "id", lat: str = "lat
     plat, plng = F.col("plat"), F.col("plng")
     band = F.floor((plat + 90) / height).cast("int")
     own = pts.withColumn("band", band).withColumn("col", F.pmod(column_of(plng, F.col("band")), columns(F.col("band"))))
+    cell = ["band", "col"]
+    dense = broadcast_if_small(materialize(own.groupBy(*cell).count().where(F.col("count") > hot_cell).select(*cell, F.lit(True).alias("dense"))), 24)
+    width, step = 360.0 / columns(F.col("band")), height / fine
+    at = lambda x, start, size: F.least(F.lit(fine - 1), F.greatest(F.lit(0), F.floor((x - start) / size).cast("int")))
+    south, west = F.col("band") * height - 90, F.col("col") * width - 180
+    sub = at(plat, south, step) * fine + at(plng, west, width / fine)
+    own = own.join(dense, cell, "left").withColumn("sub", F.when(F.col("dense"), sub).otherwise(-1))
 
     # Widest difference in longitude of a point within reach; all of them where the circle holds a pole.
     spread = F.when(F.abs(plat) + reach >= 90, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), math.sin(math.radians(reach)) / F.cos(F.radians(plat))))) * (1 + 1e-9))
@@ -72,21 +84,43 @@ def near_pairs(df: DataFrame, radius_km: float, key: str = "id", lat: str = "lat
         around = F.when(F.col("spread") >= 180, F.sequence(F.lit(0), columns(b) - 1)).otherwise(F.sequence(column_of(plng - F.col("spread"), b), column_of(plng + F.col("spread"), b)))
         return F.array_distinct(F.transform(around, lambda c: F.struct(b.alias("band"), F.pmod(c, columns(b)).alias("col"))))
 
-    visits = pts.withColumn("spread", spread).select("pid", "plat", "plng", F.inline(F.flatten(F.transform(bands, cells))))
-    hot = own.groupBy("band", "col").count().where(F.col("count") > hot_cell)
-    hot = hot.select("band", "col", F.ceil(F.col("count") / hot_cell).cast("int").alias("salts"))
-    hot = broadcast_if_small(materialize(hot), 24)
-    salts = F.coalesce(F.col("salts"), F.lit(1))
-    left = visits.join(hot, ["band", "col"], "left").select("band", "col", F.pmod(F.xxhash64("pid", "plat", "plng"), salts).cast("int").alias("salt"), F.col("pid").alias("a"), F.col("plat").alias("alat"), F.col("plng").alias("alng"))
-    right = own.join(hot, ["band", "col"], "left").select("band", "col", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("pid").alias("b"), F.col("plat").alias("blat"), F.col("plng").alias("blng"))
+    visits = pts.withColumn("spread", spread).select("pid", "plat", "plng", "spread", F.inline(F.flatten(F.transform(bands, cells)))).join(dense, cell, "left")
+
+    def smaller(k: Column) -> Column:
+        """A smaller cell with whether the circle touches it and holds it: the path to its farthest corner is no longer than this bound."""
+        dy = F.abs(plat - (south + (F.floor(k / fine) + 0.5) * step))
+        dx = F.abs(F.pmod(west + (F.pmod(k, F.lit(fine)) + 0.5) * (width / fine) - plng + 180, F.lit(360.0)) - 180)
+        far_y, far_x = dy + step / 2, dx + width / fine / 2
+        bound = F.radians(F.sqrt(F.pow(far_y, 2) + F.pow(far_x * F.cos(F.radians(F.greatest(F.lit(0.0), F.abs(plat) - far_y))), 2))) * EARTH_RADIUS_KM
+        touched = (dy - step / 2 <= reach) & (dx - width / fine / 2 <= F.col("spread"))
+        return F.struct(k.cast("int").alias("sub"), touched.alias("touched"), (bound <= radius_km * (1 - 1e-9)).alias("inside"))
+
+    whole = F.array(F.struct(F.lit(-1).alias("sub"), F.lit(True).alias("touched"), F.lit(False).alias("inside")))
+    parts = F.filter(F.transform(F.sequence(F.lit(0), F.lit(fine * fine - 1)), smaller), lambda x: x["touched"])
+    visits = visits.select("pid", "plat", "plng", *cell, F.inline(F.when(F.col("dense"), parts).otherwise(whole)))
+    at_cell = [*cell, "sub"]
+    hot = hot_salts(own, at_cell, hot_cell)
+    salts = F.coalesce(F.col("_salts"), F.lit(1))
+    side = lambda rows: rows.join(hot, at_cell, "left").withColumn("n", salts).withColumn("p", part_of(F.col("n"), "pid", "plat", "plng"))
+    every = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    left = side(visits).select(*at_cell, "inside", F.col("p").alias("i"), every.alias("j"), F.col("pid").alias("a"), F.col("plat").alias("alat"), F.col("plng").alias("alng"))
+    right = side(own).select(*at_cell, every.alias("i"), F.col("p").alias("j"), F.col("pid").alias("b"), F.col("plat").alias("blat"), F.col("plng").alias("blng"))
     km = haversine_km(F.col("alat"), F.col("alng"), F.col("blat"), F.col("blng"))
     # The latitude test costs one comparison and throws out most pairs before any trigonometry.
-    met = left.join(right, (left.band == right.band) & (left.col == right.col) & (left.salt == right.salt) & (F.col("a") < F.col("b")) & (F.abs(F.col("alat") - F.col("blat")) <= reach))
-    near = met.select(F.col("a").alias("left_id"), F.col("b").alias("right_id"), km.alias("km")).where(F.col("km") <= radius_km)
-    # An id whose rows give several places may meet the same partner twice.
+    met = left.join(right, [*at_cell, "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("inside") | (F.abs(F.col("alat") - F.col("blat")) <= reach)))
+    near = met.where(F.when(F.col("inside"), F.lit(True)).otherwise(km <= radius_km)).select(F.col("a").alias("left_id"), F.col("b").alias("right_id"), km.alias("km"))
+    # Only an id whose rows give several places can meet the same partner twice.
+    if pts.groupBy("pid").count().where("count > 1").isEmpty():
+        return near
     return near.groupBy("left_id", "right_id").agg(F.min("km").alias("km"))
 
 
+def near_counts(df: DataFrame, radius_km: float, **how) -> DataFrame:
+    """(id, neighbours) of each key with any: how many keys are within the radius. It grows with the rows; pairs are counted where they meet."""
+    near = near_pairs(df, radius_km, **how)
+    return near.select(F.explode(F.array("left_id", "right_id")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("neighbours"))
+
+
 # --- areas ---------------------------------------------------------------------------------------------------------------
 
 _NUMBER = re.compile(r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?")
@@ -114,17 +148,23 @@ def parse_wkt(wkt: str | None) -> list[list[np.ndarray]]:
     return polygons
 
 
-def _inside(edges: np.ndarray, ring: np.ndarray, x: float, y: float) -> bool:
-    cross = (edges[:, 1] > y) != (edges[:, 3] > y)
-    e = edges[cross]
-    hit = x < (e[:, 2] - e[:, 0]) * (y - e[:, 1]) / (e[:, 3] - e[:, 1]) + e[:, 0]
-    odd = np.bincount(ring[cross][hit], minlength=int(ring.max()) + 1) % 2
-    return bool(odd[0] == 1 and not odd[1:].any())
+def _inside(edges: np.ndarray, ring: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which points are in the exterior ring (0) and in no hole."""
+    out = np.zeros(len(x), dtype=bool)
+    rings = int(ring.max()) + 1
+    for at in range(0, len(x), max(1, 2_000_000 // len(edges))):
+        px, py = x[at : at + max(1, 2_000_000 // len(edges)), None], y[at : at + max(1, 2_000_000 // len(edges)), None]
+        cross = (edges[:, 1] > py) != (edges[:, 3] > py)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            hit = cross & (px < (edges[:, 2] - edges[:, 0]) * (py - edges[:, 1]) / (edges[:, 3] - edges[:, 1]) + edges[:, 0])
+        odd = np.stack([hit[:, ring == k].sum(1) % 2 == 1 for k in range(rings)], 1)
+        out[at : at + len(px)] = odd[:, 0] & ~odd[:, 1:].any(1)
+    return out
 
 
-def _touching(edges: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> np.ndarray:
-    """Which edges meet the box, its border included."""
-    ax, ay, bx, by = edges.T
+def _touching(e: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> np.ndarray:
+    """Which edges meet their boxes, borders included; one box for each edge."""
+    ax, ay, bx, by = e.T
     near = (np.minimum(ax, bx) <= x1) & (np.maximum(ax, bx) >= x0) & (np.minimum(ay, by) <= y1) & (np.maximum(ay, by) >= y0)
     side = [(bx - ax) * (cy - ay) - (by - ay) * (cx - ax) for cx, cy in ((x0, y0), (x0, y1), (x1, y0), (x1, y1))]
     return near & (np.minimum.reduce(side) <= 0) & (np.maximum.reduce(side) >= 0)
@@ -144,24 +184,32 @@ def cover_polygon(rings: list[np.ndarray], depth: int) -> Iterator[tuple[int, in
     ring = np.concatenate([np.full(len(r) - 1, k) for k, r in enumerate(rings)])
     (lx, ly), (hx, hy) = edges.reshape(-1, 2).min(0), edges.reshape(-1, 2).max(0)
     start = max(0, min(MAX_LEVEL - 1, int(math.floor(math.log2(360.0 / max(hx - lx, hy - ly, 1e-9))))))
-    last = min(MAX_LEVEL, start + depth)
+    last, slack = min(MAX_LEVEL, start + depth), 1e-9
     size = 360.0 / 2**start
-    todo = [(start, ix, iy, np.arange(len(edges))) for ix in range(math.floor((lx + 180) / size), math.floor((hx + 180) / size) + 1) for iy in range(math.floor((ly + 90) / size), math.floor((hy + 90) / size) + 1)]
-    while todo:
-        level, ix, iy, some = todo.pop()
+    cols, rows = np.arange(math.floor((lx + 180) / size), math.floor((hx + 180) / size) + 1), np.arange(math.floor((ly + 90) / size), math.floor((hy + 90) / size) + 1)
+    ix, iy = (a.ravel() for a in np.meshgrid(cols, rows))
+    # All cells of a level at once, each with the edges that met its parent: pairs of a cell's place and an edge's.
+    of_cell, of_edge = np.repeat(np.arange(len(ix)), len(edges)), np.tile(np.arange(len(edges)), len(ix))
+    for level in range(start, last + 1):
         size = 360.0 / 2**level
         x0, y0 = ix * size - 180, iy * size - 90
-        x1, y1, slack = x0 + size, y0 + size, 1e-9
-        some = some[_touching(edges[some], x0 - slack, y0 - slack, x1 + slack, y1 + slack)]
-        if not len(some):
-            if _inside(edges, ring, x0 + size / 2, y0 + size / 2):
-                yield level, ix, iy, True, []
-        elif level < last:
-            todo += [(level + 1, 2 * ix + i, 2 * iy + j, some) for i in (0, 1) for j in (0, 1)]
-        else:
-            low, high = np.minimum(edges[:, 1], edges[:, 3]), np.maximum(edges[:, 1], edges[:, 3])
-            ray = (low <= y1 + slack) & (high >= y0 - slack) & (np.maximum(edges[:, 0], edges[:, 2]) >= x0 - slack)
-            yield level, ix, iy, False, [edges[ray & (ring == k)].tolist() for k in range(len(rings))]
+        meets = _touching(edges[of_edge], x0[of_cell] - slack, y0[of_cell] - slack, (x0 + size)[of_cell] + slack, (y0 + size)[of_cell] + slack)
+        of_cell, of_edge = of_cell[meets], of_edge[meets]
+        border = np.bincount(of_cell, minlength=len(ix)) > 0
+        free = np.nonzero(~border)[0]
+        for k in free[_inside(edges, ring, x0[free] + size / 2, y0[free] + size / 2)]:
+            yield level, int(ix[k]), int(iy[k]), True, []
+        if level == last:
+            low, high, right = np.minimum(edges[:, 1], edges[:, 3]), np.maximum(edges[:, 1], edges[:, 3]), np.maximum(edges[:, 0], edges[:, 2])
+            for k in np.nonzero(border)[0]:
+                ray = np.nonzero((low <= y0[k] + size + slack) & (high >= y0[k] - slack) & (right >= x0[k] - slack))[0]
+                yield level, int(ix[k]), int(iy[k]), False, [edges[ray[ring[ray] == r]].tolist() for r in range(len(rings))]
+            return
+        kept = np.nonzero(border)[0]
+        place = np.full(len(ix), -1)
+        place[kept] = np.arange(len(kept))
+        ix, iy = (np.repeat(2 * a[kept], 4) + np.tile(d, len(kept)) for a, d in ((ix, [0, 0, 1, 1]), (iy, [0, 1, 0, 1])))
+        of_cell, of_edge = np.repeat(place[of_cell] * 4, 4) + np.tile([0, 1, 2, 3], len(of_cell)), np.repeat(of_edge, 4)
 
 
 def cover_areas(areas: DataFrame, key: str = "area_id", wkt: str = "wkt", depth: int = 6) -> DataFrame:
@@ -190,16 +238,17 @@ def _odd(edges: Column) -> Column:
     return F.size(F.filter(edges, met)) % 2 == 1
 
 
-def containing_areas(points: DataFrame, areas: DataFrame, key: str = "id", lat: str = "lat", lng: str = "lng", area: str = "area_id", wkt: str = "wkt", depth: int = 6) -> DataFrame:
+def containing_areas(df: DataFrame, areas: DataFrame, key: str = "id", lat: str = "lat", lng: str = "lng", area: str = "area_id", wkt: str = "wkt", depth: int = 6, pts: DataFrame | None = None) -> DataFrame:
     """(point_id, area_id): each point with each area that contains it, holes left out, once.
 
     Adaptive coverage: the polygons become quadtree cells, the points meet them by an equi-join on the cell. Interior cells
     accept at once; only points in boundary cells take the exact ray test, against the few edges the cell carries. The
     coverage is broadcast if its measured size allows, else the join shuffles and AQE splits hot cells. Null keys, invalid
     coordinates, null or unreadable shapes take no part; empty tables give no rows. A point on an edge may fall either way.
+    pts: points() of df, if there are any already.
     """
-    spark = points.sparkSession
-    pts = _points(points, key, lat, lng)
+    spark = df.sparkSession
+    pts = points(df, key, lat, lng) if pts is None else pts
     cover = materialize(cover_areas(areas, area, wkt, depth))
     levels = sorted(r["level"] for r in cover.select("level").distinct().collect())  # at most MAX_LEVEL + 1
     if not levels:

@@ -13,15 +13,15 @@ RADIUS_KM = 0.15
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     """Properties at most 150 m apart, and the areas each property lies in."""
     pm = table(spark, sf, "property_master").select("id", "lat", "lng")
-    near = geo.near_pairs(pm, RADIUS_KM).select(F.lit("near").alias("kind"), "left_id", "right_id")
-    inside = geo.containing_areas(pm, table(spark, sf, "area_ref").select("area_id", "wkt"))
+    pts = geo.points(pm)
+    near = geo.near_pairs(pm, RADIUS_KM, pts=pts).select(F.lit("near").alias("kind"), "left_id", "right_id")
+    inside = geo.containing_areas(pm, table(spark, sf, "area_ref").select("area_id", "wkt"), pts=pts)
     return near.unionByName(inside.select(F.lit("inside").alias("kind"), F.col("point_id").alias("left_id"), F.col("area_id").alias("right_id")))
 
 
 def p1_near_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Number of neighbours within 150 m of each property that has any."""
-    near = geo.near_pairs(table(spark, sf, "property_master"), RADIUS_KM)
-    return near.select(F.explode(F.array("left_id", "right_id")).alias("id")).groupBy("id").agg(F.count("*").alias("neighbours"))
+    return geo.near_counts(table(spark, sf, "property_master"), RADIUS_KM)
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
