@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -14,8 +15,8 @@ METRICS = {
     "leased_area": ("leased_area_sqm", "sqm"), "tenants": ("tenant_count", "count"), "occupancy": ("occupancy_rate_percent", "percent"), "cap": ("cap_rate_percent", "percent"), "discount_rate": ("discount_rate_percent", "percent"),
     "terminal_cap_rate": ("terminal_cap_rate_percent", "percent"), "noi": ("noi_million_yen", "million_jpy"),
 }
-#: Lower bounds of the yield bands, each band reaching to the next one's bound.
-BANDS = ((None, "under_3_5"), (3.5, "3_5_to_4_0"), (4.0, "4_0_to_4_5"), (4.5, "4_5_to_5_0"), (5.0, "5_0_to_5_5"), (5.5, "from_5_5"))
+#: Keys and lower bounds of the yield bands, each band reaching to the next one's bound; "unknown" for no value.
+BANDS = ((None, "under-3-5"), (3.5, "3-5-to-4"), (4.0, "4-to-4-5"), (4.5, "4-5-to-5"), (5.0, "5-to-5-5"), (5.5, "over-5-5"))
 #: Radius bounds in km.
 RADIUS_LOW, RADIUS_HIGH, RADIUS_DEFAULT = 0.5, 50.0, 3.0
 
@@ -52,6 +53,11 @@ def canonical_name(c: Column) -> Column:
     return F.regexp_replace(F.lower(nfkc(c)), r"(?U)[\s・･]", "")
 
 
+def event_name(c: Column) -> Column:
+    """A property's name as events write it: NFKC, without white space and the mark of a further share."""
+    return F.regexp_replace(F.regexp_replace(nfkc(F.coalesce(c, F.lit(""))), r"(?U)\s", ""), r"[（(]追加取得[）)]", "")
+
+
 def numeric_text(c: Column) -> Column:
     """The first number in a text: commas and spaces dropped, dashes and undisclosed values null, a leading △, ▲ or - negative."""
     t = F.regexp_replace(c, r"(?U)[,，\s]", "")
@@ -62,6 +68,7 @@ def numeric_text(c: Column) -> Column:
 
 def token_number(c: Column) -> Column:
     """A token's number if the whole token is one: sign or △▲, digits with commas, fraction, unit; else null."""
+    # Fixed value: the form of such a token.
     ok = c.rlike(r"\A[▲△+-]?[0-9][0-9,]*(?:\.[0-9]+)?(?:%|％|pt|億円|百万円)?\z")
     value = F.when(ok, F.regexp_replace(F.regexp_extract(c, r"([0-9][0-9,]*(?:\.[0-9]+)?)", 1), ",", "")).try_cast("double")
     return F.when(c.rlike(r"\A[▲△-]"), -value).otherwise(value)
@@ -69,6 +76,7 @@ def token_number(c: Column) -> Column:
 
 def labelled_number(text: Column, label: str) -> Column:
     """The first number after the label on the first line that has one; null where none has."""
+    # Fixed value: the form of a number in a line.
     number = r"[-+]?[0-9][0-9,]*(?:\.[0-9]+)?"
     lines = F.filter(F.split(text, r"\r?\n"), lambda x: x.contains(label))
     after = F.transform(lines, lambda x: F.regexp_extract(F.substr(x, F.instr(x, label) + len(label)), f"({number})", 1))
@@ -92,18 +100,6 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, F.lit(100.0)).otherwise(F.bround(part / F.when(whole != 0, whole) * 100, 1))
 
 
-def scaled_difference(a: Column, b: Column, scale: float, weight: float) -> Column:
-    """Penalty of a difference, full from `scale` on; half where a value is missing."""
-    off = F.abs(a - b) / scale  # least() would pass over a null
-    return F.when(off.isNull(), F.lit(weight / 2)).otherwise(F.least(off, F.lit(1.0)) * weight)
-
-
-def ratio_difference(a: Column, b: Column, weight: float) -> Column:
-    """Penalty of a ratio, full from 4 to 1 on; half where a value is missing or not positive."""
-    ok = (a > 0) & (b > 0)
-    return F.coalesce(F.when(ok, F.least(F.abs(F.ln(F.when(ok, a / F.when(b > 0, b)))) / F.ln(F.lit(4.0)), F.lit(1.0)) * weight), F.lit(weight / 2))
-
-
 def band(c: Column) -> Column:
     """The half-open yield band of a value; unknown for null and values that aren't finite."""
     v = finite(c)
@@ -195,6 +191,31 @@ def position_text(locator: Column) -> Column:
     return F.concat_ws(" / ", some("PDF p.", locator["page"]), some("Sheet: ", locator["sheet"]), some("Cell: ", F.coalesce(F.when(~blank(locator["cell"]), locator["cell"]), locator["cell_range"])))
 
 
+def html_text(c: Column) -> Column:
+    """A value as text of a page; nulls empty."""
+    out = F.coalesce(c.cast("string"), F.lit(""))
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def shown(c: Column, places: int, suffix: str = "") -> Column:
+    """A number with separators of thousands, so many places and a suffix; a dash for null and what isn't finite."""
+    v = finite(c.cast("double"))
+    return F.coalesce(F.concat(F.format_number(v, places), F.lit(suffix)), F.lit("—"))
+
+
+def item_or(m: Column, key: str, default) -> Column:
+    """A map's value under the key, or the default for a missing key, a null value and a null map."""
+    return F.coalesce(F.try_element_at(m, F.lit(key)), F.lit(default))
+
+
+def first_value(m: Column, member: Callable[[Column], Column]) -> Column:
+    """The first member() of a map's values, in the order of its keys, that is given and isn't 0."""
+    values = F.transform(F.array_sort(F.map_keys(m)), lambda k: member(F.try_element_at(m, k)))
+    return F.get(F.filter(values, lambda x: F.coalesce(x != 0, F.lit(False))), F.lit(0))
+
+
 def csv_value(c: Column) -> Column:
     return F.concat(F.lit('"'), F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), '"', '""'), F.lit('"'))
 

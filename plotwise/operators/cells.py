@@ -1,11 +1,11 @@
-"""Operators over cells of sheets and words of pages: finding rows and headers, turning wide tables long, labels to numbers.
+"""Operators over cells of sheets: finding rows and headers, turning wide tables long, layouts and their digests.
 
-Cells have a sheet key, col (letters), row and a value; words have a page key, text, x0, top, x1, bottom.
+Cells have a sheet key, col (letters), row and a value.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plotwise.functions.scalars import column_number
 
@@ -38,45 +38,6 @@ def wide_to_long(rows: DataFrame, keys: list[str], groups: dict[str, dict[str, s
     return rows.select(*keys, F.inline(cells)).where(any_value)
 
 
-def pages_with(words: DataFrame, keys: list[str], page: str, anchors: list[str], text: str = "text") -> DataFrame:
-    """(keys, page): the first page whose text holds all anchors."""
-    hit = F.lit(True)
-    for a in anchors:
-        hit = hit & F.contains(F.col(text), F.lit(a))
-    return words.where(hit).groupBy(*keys).agg(F.min(page).alias(page))
-
-
-def _split(words: DataFrame, keys: list[str], is_label: Column, is_number: Column) -> tuple[DataFrame, DataFrame]:
-    y = (F.col("top") + F.col("bottom")) / 2
-    labels = words.where(is_label).select(*keys, F.col("word_id").alias("label_id"), F.col("x0").alias("lx0"), F.col("x1").alias("lx1"), y.alias("ly"))
-    numbers = words.where(is_number).select(*keys, F.col("word_id").alias("number_id"), F.col("x0").alias("nx0"), F.col("x1").alias("nx1"), y.alias("ny"))
-    return labels, numbers
-
-
-def same_row_numbers(words: DataFrame, keys: list[str], is_label: Column, is_number: Column, dy: float = 5.5) -> DataFrame:
-    """(keys, label_id, number_id): numbers right of a label and at most dy above or below it.
-
-    The pages' words are cut into strips of height dy, and a label meets the numbers of three strips: an equi-join.
-    """
-    labels, numbers = _split(words, keys, is_label, is_number)
-    strip = lambda c: F.floor(F.col(c) / dy).cast("bigint")
-    near = labels.withColumn("strip", F.explode(F.sequence(strip("ly") - 1, strip("ly") + 1)))
-    met = near.join(numbers.withColumn("strip", strip("ny")), [*keys, "strip"])
-    return met.where((F.abs(F.col("ly") - F.col("ny")) <= dy) & (F.col("nx0") >= F.col("lx1"))).select(*keys, "label_id", "number_id")
-
-
-def nearest_number(words: DataFrame, keys: list[str], is_label: Column, is_number: Column, dy: float = 6.0, below: float = 24.0, dx: float = 80.0) -> DataFrame:
-    """(keys, label_id, number_id): the number nearest to each label, on its row or, at a cost of 80, a little below it."""
-    labels, numbers = _split(words, keys, is_label, is_number)
-    strip = lambda c: F.floor(F.col(c) / below).cast("bigint")
-    near = labels.withColumn("strip", F.explode(F.sequence(strip("ly") - 1, strip("ly") + 1)))
-    met = near.join(numbers.withColumn("strip", strip("ny")), [*keys, "strip"])
-    down, right = F.col("ny") - F.col("ly"), F.col("nx0") - F.col("lx1")
-    cost = F.when((F.abs(down) <= dy) & (right >= 0), right + F.abs(down)).when((down > 0) & (down <= below) & (F.abs(F.col("nx0") - F.col("lx0")) <= dx), F.abs(F.col("nx0") - F.col("lx0")) + down + 80)
-    w = Window.partitionBy(*keys, "label_id").orderBy("cost", "number_id")
-    return met.withColumn("cost", cost).where("cost is not null").withColumn("k", F.row_number().over(w)).where("k = 1").select(*keys, "label_id", "number_id")
-
-
 def missing_names(required: DataFrame, present: DataFrame, keys: list[str], name: str = "name") -> DataFrame:
     """Required (keys, name) that aren't present."""
     return required.join(present.select(*keys, name).distinct(), [*keys, name], "left_anti")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import os
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plotwise.functions.scalars import METRICS, blank
+from plotwise.sources.files import Files
 
+#: The fields of a property that are compared.
 MASTER = ("name", "reit", "reit_code", "type", "region", "address", "lat", "lng")
 
 
@@ -73,12 +74,11 @@ def _digest(df: DataFrame) -> DataFrame:
 
 def archive(df: DataFrame, columns: list[str], folder: str, keep: int = 12) -> str:
     """Write df under its fingerprint unless it is there already; keep the newest. Returns the snapshot's path."""
-    path = os.path.join(folder, "snapshot=" + fingerprint(df, columns).first()["fingerprint"][:20])
-    if not os.path.exists(os.path.join(path, "_SUCCESS")):
+    files = Files(df.sparkSession)
+    path = f"{folder}/snapshot={fingerprint(df, columns).first()['fingerprint'][:20]}"
+    if not files.exists(f"{path}/_SUCCESS"):
         df.write.mode("overwrite").parquet(path)
-    old = sorted((os.path.join(folder, d) for d in os.listdir(folder) if d.startswith("snapshot=")), key=os.path.getmtime, reverse=True)
-    for d in old[max(keep, 1) :]:
-        for f in os.listdir(d):
-            os.remove(os.path.join(d, f))
-        os.rmdir(d)
+    kept = sorted((e for e in files.list(folder) if e.name.startswith("snapshot=")), key=lambda e: e.modified, reverse=True)
+    for e in kept[max(keep, 1) :]:
+        files.delete(e.path)
     return path

@@ -35,22 +35,21 @@ def with_reviews(evidence: DataFrame, ledger: DataFrame, key: str, order: str, d
     return evidence.join(last, key, "left").withColumn("status", F.coalesce("_status", F.lit(default))).drop("_status")
 
 
-def upsert(ledger: DataFrame, entries: DataFrame, key: str) -> DataFrame:
-    """The ledger with the entries in place of those of the same keys."""
-    return ledger.join(entries.select(key), key, "left_anti").unionByName(entries)
-
-
-def status_counts(df: DataFrame, status: str, known: tuple[str, ...] = ("approved", "rejected", "pending")) -> DataFrame:
+def status_counts(df: DataFrame, status: str, known: tuple[str, ...] = ("approved", "rejected", "not_required", "pending")) -> DataFrame:
     """(status, n): every known status, unknown and null ones as pending."""
     s = F.when(F.col(status).isin(*known), F.col(status)).otherwise(F.lit("pending"))
     one = df.agg(*(F.coalesce(F.sum(F.when(s == k, 1).otherwise(0)), F.lit(0)).alias(k) for k in known))
     return one.select(F.inline(F.array(*(F.struct(F.lit(k).alias("status"), F.col(k).alias("n")) for k in known))))
 
 
-def sheet_layout(cells: DataFrame, *keys: str) -> DataFrame:
-    """(keys, max_row, max_column, non_empty_cells) of cell references such as AB12; other texts don't count."""
+def sheet_layout(cells: DataFrame, *keys: str, value: str = "value") -> DataFrame:
+    """(keys, max_row, max_column, non_empty_cells) of cell references such as AB12; other texts don't count.
+
+    Cells whose value is null or empty belong to the extent, but aren't counted.
+    """
     ok = cells.where(F.col("cell").rlike(r"\A[A-Z]{1,3}[0-9]+\z"))
-    return ok.groupBy(*keys).agg(F.max(F.regexp_extract("cell", "[0-9]+", 0).cast("int")).alias("max_row"), F.max(column_number(F.regexp_extract("cell", "[A-Z]+", 0))).alias("max_column"), F.count_distinct("cell").alias("non_empty_cells"))
+    filled = F.when(~blank(F.col(value).cast("string")), F.col("cell"))
+    return ok.groupBy(*keys).agg(F.max(F.regexp_extract("cell", "[0-9]+", 0).cast("int")).alias("max_row"), F.max(column_number(F.regexp_extract("cell", "[A-Z]+", 0))).alias("max_column"), F.count_distinct(filled).alias("non_empty_cells"))
 
 
 def unmatched(df: DataFrame, reference: DataFrame, key: str, ref_key: str) -> DataFrame:

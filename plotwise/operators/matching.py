@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-PREFIX = 6
+from pyspark.sql import DataFrame, functions as F
 
+from plotwise.functions.scalars import event_name
 
-def comparable(name: Column) -> Column:
-    """A name in lower case without white space."""
-    return F.regexp_replace(F.lower(name), r"(?U)\s", "")
+PREFIX = 6
 
 
 def contained_names(left: DataFrame, right: DataFrame, name: str = "name", prefix: int = PREFIX) -> DataFrame:
@@ -18,8 +15,8 @@ def contained_names(left: DataFrame, right: DataFrame, name: str = "name", prefi
     The shorter name's first characters (all of a name shorter than `prefix`) must stand somewhere in the longer: each name
     is found under its start, and looked for under all its substrings of those lengths. Blank names match nothing.
     """
-    a = left.select(comparable(F.col(name)).alias("left_name")).where("left_name <> ''").distinct()
-    b = right.select(comparable(F.col(name)).alias("right_name")).where("right_name <> ''").distinct()
+    a = left.select(event_name(F.col(name)).alias("left_name")).where("left_name <> ''").distinct()
+    b = right.select(event_name(F.col(name)).alias("right_name")).where("right_name <> ''").distinct()
 
     def starts(df: DataFrame, c: str) -> DataFrame:
         return df.select(c, F.substring(c, 1, prefix).alias("key"))

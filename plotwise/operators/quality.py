@@ -11,6 +11,7 @@ RANGES = {
     "occupancy": (0.0, True, 100.0), "cap": (0.0, False, 20.0), "discount_rate": (0.0, False, 20.0), "terminal_cap_rate": (0.0, False, 20.0), "price": (0.0, True, None), "book_value": (0.0, True, None),
     "appraisal": (0.0, True, None), "leasable_area": (0.0, True, None), "leased_area": (0.0, True, None), "tenants": (0.0, True, None),
 }
+#: Fields that a property must have, and the group of those without one.
 REQUIRED = ("id", "reit", "reit_code", "name", "type", "address")
 UNCLASSIFIED = "未分類"
 
@@ -32,14 +33,21 @@ def long_metrics(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, F.inline(cells))
 
 
+def outside(field: str, v: Column) -> Column:
+    """Whether a value is outside the field's range. NaN is outside a range with two ends, but not below one that only begins."""
+    if field not in RANGES:
+        return F.lit(False)
+    low, included, high = RANGES[field]
+    below = v < low if included else v <= low
+    return below if high is None else below | F.isnan(v) | (v > high)
+
+
 def out_of_range(long: DataFrame) -> DataFrame:
-    """Rows of long_metrics outside their field's range; NaN is outside."""
-    bad = F.lit(False)
+    """Rows of long_metrics outside their field's range."""
     v = F.col("value")
-    for f, (low, included, high) in RANGES.items():
-        out = F.isnan(v) | (v < low if included else v <= low)
-        out = out | (v > high) if high is not None else out
-        bad = bad | ((F.col("field") == f) & out)
+    bad = F.lit(False)
+    for f in RANGES:
+        bad = bad | ((F.col("field") == f) & outside(f, v))
     return long.where(v.isNotNull() & bad)
 
 
@@ -49,20 +57,33 @@ def coordinate_state(lat: Column, lng: Column) -> Column:
     return F.when(lat.isNull() | lng.isNull(), F.lit("missing")).when(bad, F.lit("invalid")).otherwise(F.lit("valid"))
 
 
-def area_exceeded(df: DataFrame, key: str, slack: float = 1.02) -> DataFrame:
+#: Fixed value: how far the leased area may exceed the leasable one.
+AREA_SLACK = 1.02
+
+
+def area_beyond(slack: float = AREA_SLACK) -> Column:
+    """Whether a record's leased area exceeds its leasable area by more than the slack; null and NaN don't."""
+    leased, leasable = F.col("leased_area"), F.col("leasable_area")
+    return F.coalesce(~F.isnan(leased) & ~F.isnan(leasable) & (leased > leasable * slack), F.lit(False))
+
+
+def area_exceeded(df: DataFrame, key: str, slack: float = AREA_SLACK) -> DataFrame:
     """Rows whose leased area exceeds the leasable area by more than the slack."""
-    return df.where(F.col("leased_area") > F.col("leasable_area") * slack).select(key, "leased_area", "leasable_area")
+    return df.where(area_beyond(slack)).select(key, "leased_area", "leasable_area")
+
+
+def item_complete(item: Column) -> Column:
+    """Whether an evidence item names its document, time, code, unit, place and parser; page 0 and blank texts name nothing."""
+    loc, ext = item["locator"], item["extraction"]
+    placed = F.coalesce(loc["page"] != 0, F.lit(False)) | (~blank(loc["sheet"]) & (~blank(loc["cell"]) | ~blank(loc["cell_range"])))
+    for c in (item["source_document_id"], item["retrieved_at"], item["metric_code"], item["unit"], ext["parser"], ext["parser_version"]):
+        placed = placed & ~blank(c)
+    return F.coalesce(placed, F.lit(False))
 
 
 def evidence_complete(e: DataFrame) -> Column:
-    """Whether evidence names its document, time, code, unit, place and parser."""
-    loc, ext = "locator", "extraction"
-    placed = F.col(f"{loc}.page").isNotNull() | (~blank(F.col(f"{loc}.sheet")) & (~blank(F.col(f"{loc}.cell")) | ~blank(F.col(f"{loc}.cell_range"))))
-    named = [~blank(F.col(c)) for c in ("source_document_id", "retrieved_at", "metric_code", "unit", f"{ext}.parser", f"{ext}.parser_version")]
-    out = placed
-    for c in named:
-        out = out & c
-    return F.coalesce(out, F.lit(False))
+    """item_complete() of a table whose rows are evidence items."""
+    return item_complete(F.struct(*(F.col(c) for c in ("locator", "extraction", "source_document_id", "retrieved_at", "metric_code", "unit"))))
 
 
 def dictionary_of(field: Column, which: int) -> Column:
@@ -80,9 +101,14 @@ def with_recorded(e: DataFrame, properties: DataFrame, periods: DataFrame) -> Da
 
     Records are the rows of the property (id) and those of its periods (id, as_of_date) dated as the evidence's observed_at.
     """
-    fixed = long_metrics(properties, "id").where("id is not null and value is not null").groupBy(F.col("id").alias("property_id"), "field").agg(F.collect_set("value").alias("_fixed"))
-    dated = long_metrics(periods, "id", "as_of_date").where("id is not null and as_of_date is not null and value is not null")
-    dated = dated.groupBy(F.col("id").alias("property_id"), "field", F.col("as_of_date").alias("observed_at")).agg(F.collect_set("value").alias("_dated"))
+    pick = F.coalesce(*(F.when(F.col("field") == m, F.col(m).cast("double")) for m in METRICS)).alias("_v")
+    asked = e.select("property_id", "field").dropna().distinct()
+    # Only the metric that is asked for goes on from a record; records that no evidence names go no further than the join.
+    top = properties.where("id is not null").select(F.col("id").alias("property_id"), *METRICS)
+    fixed = asked.join(top, "property_id").select("property_id", "field", pick).where("_v is not null").groupBy("property_id", "field").agg(F.collect_set("_v").alias("_fixed"))
+    keys = ["property_id", "field", "observed_at"]
+    below = periods.where("id is not null and as_of_date is not null").select(F.col("id").alias("property_id"), F.col("as_of_date").alias("observed_at"), *METRICS)
+    dated = e.select(*keys).dropna().distinct().join(below, ["property_id", "observed_at"]).select(*keys, pick).where("_v is not null").groupBy(*keys).agg(F.collect_set("_v").alias("_dated"))
     none = F.array().cast("array<double>")
     both = F.concat(F.coalesce("_fixed", none), F.coalesce("_dated", none))
     return e.join(fixed, ["property_id", "field"], "left").join(dated, ["property_id", "field", "observed_at"], "left").withColumn("recorded", F.when(F.size(both) > 0, both)).drop("_fixed", "_dated")

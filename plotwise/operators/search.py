@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plotwise.functions.scalars import blank, csv_value, finite
-from plotwise.operators.geo import haversine_km, valid_coordinate
+from plotwise.functions.scalars import RADIUS_DEFAULT, RADIUS_HIGH, RADIUS_LOW, blank, clamp_radius, csv_value, finite
+from plotwise.operators.geo import EARTH_RADIUS_KM, haversine_km, valid_coordinate
 from plotwise.session import materialize
 
 
@@ -33,10 +34,24 @@ def in_bounds(df: DataFrame, south: float, north: float, west: float, east: floa
     return df.where(F.col("lat").between(south, north) & F.col("lng").between(west, east) & valid_coordinate(F.col("lat"), F.col("lng")))
 
 
-def within_radius(df: DataFrame, lat: float, lng: float, km: float) -> DataFrame:
-    """Rows at most km away, with the distance; a bounding band of latitude goes to the scan before any trigonometry."""
+def clamped_radius(km: float | None) -> float:
+    """A search radius within its bounds; the default for none, negative ones and what isn't a number."""
+    return min(RADIUS_HIGH, max(RADIUS_LOW, km)) if km is not None and math.isfinite(km) and km >= 0 else RADIUS_DEFAULT
+
+
+def within_radius(df: DataFrame, lat: float, lng: float, km: float | None) -> DataFrame:
+    """Rows at most km away, clamped, with the distance; a box around the circle goes to the scan before any trigonometry.
+
+    The box crosses the 180th meridian where the circle does, and has all longitudes where the circle holds a pole.
+    """
+    km = clamped_radius(km)
     reach = km / 111.19492664455873 * (1 + 1e-9)
-    some = df.where(F.col("lat").between(lat - reach, lat + reach) & valid_coordinate(F.col("lat"), F.col("lng")))
+    box = F.col("lat").between(lat - reach, lat + reach)
+    if abs(lat) + reach < 90:
+        wide = math.degrees(math.asin(min(1.0, math.sin(math.radians(reach)) / math.cos(math.radians(lat))))) * (1 + 1e-9)
+        x = F.col("lng")
+        box = box & (x.between(lng - wide, lng + wide) | (x >= lng - wide + 360) | (x <= lng + wide - 360))
+    some = df.where(box & valid_coordinate(F.col("lat"), F.col("lng")))
     return some.withColumn("km", haversine_km(F.col("lat"), F.col("lng"), F.lit(lat), F.lit(lng))).where(F.col("km") <= km)
 
 
@@ -73,3 +88,61 @@ def facets(df: DataFrame, *columns: str) -> DataFrame:
 def csv_lines(df: DataFrame, columns: list[str]) -> DataFrame:
     """One quoted line for each row; quotes doubled, nulls empty."""
     return df.select(F.concat_ws(",", *(csv_value(F.col(c)) for c in columns)).alias("line"))
+
+
+#: The sorts that are offered, as field-direction; area is the leasable area.
+SORTS = ("name-asc", "cap-asc", "cap-desc", "terminal_cap_rate-asc", "terminal_cap_rate-desc", "price-desc", "price-asc", "occupancy-desc", "area-desc")
+#: Fixed value: how many properties may be selected.
+SELECTION = 50
+
+
+def offered_sort(name: str) -> list[Column]:
+    """The order of an offered sort: nulls last either way, then by name; names in Japanese collation. ValueError for any other."""
+    if name not in SORTS:
+        raise ValueError(f"unknown sort {name}")
+    field, direction = name.rsplit("-", 1)
+    field = {"area": "leasable_area"}.get(field, field)
+    by_name = F.collate("name", "ja").asc_nulls_last()
+    if field == "name":
+        return [by_name, F.col("id").asc_nulls_last()]
+    c = finite(F.col(field))
+    return [c.desc_nulls_last() if direction == "desc" else c.asc_nulls_last(), by_name, F.col("id").asc_nulls_last()]
+
+
+def search(df: DataFrame, equal: dict[str, str | None] | None = None, text: str = "", ranges: dict[str, tuple[float | None, float | None]] | None = None, bounds: tuple[float, float, float, float] | None = None, circle: tuple[float, float, float | None] | None = None) -> DataFrame:
+    """Attributes, then the box, then the circle, as one plan: Catalyst puts all predicates into the scan where it can.
+
+    bounds: south, north, west, east. circle: lat, lng, km; adds the distance km. What isn't given filters nothing.
+    """
+    df = contains_text(equals(df, **(equal or {})), text)
+    for field, (low, high) in (ranges or {}).items():
+        df = in_range(df, field, low, high)
+    if bounds:
+        df = in_bounds(df, *bounds)
+    return within_radius(df, *circle) if circle else df
+
+
+def restored_selection(saved: DataFrame, properties: DataFrame, limit: int = SELECTION) -> DataFrame:
+    """(id, ord): the saved ids (id, ord) that still exist, each once, in their order, up to the limit."""
+    known = saved.join(properties.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("ord").alias("o")).orderBy("o", "id").limit(limit)
+    return known.select("id", F.row_number().over(Window.orderBy("o", "id")).alias("ord"))  # at most `limit` rows
+
+
+def selected(properties: DataFrame, selection: DataFrame) -> DataFrame:
+    """The selected properties; their order is that of the dataset, whatever the selection's."""
+    return properties.join(selection.select("id"), "id", "left_semi")
+
+
+def extent(df: DataFrame) -> DataFrame:
+    """(south, north, west, east, n) of the rows with valid coordinates; nulls where there are none."""
+    some = df.where(valid_coordinate(F.col("lat"), F.col("lng")))
+    return some.agg(F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lng").alias("west"), F.max("lng").alias("east"), F.count(F.lit(1)).alias("n"))
+
+
+def destination(lat: Column, lng: Column, km: Column, bearing: Column) -> Column:
+    """struct(lat, lng): the point km away (clamped as a search radius) in the direction of the bearing in degrees; null without a point."""
+    d = clamp_radius(km) / EARTH_RADIUS_KM
+    p, t = F.radians(lat), F.radians(bearing)
+    q = F.asin(F.sin(p) * F.cos(d) + F.cos(p) * F.sin(d) * F.cos(t))
+    x = F.radians(lng) + F.atan2(F.sin(t) * F.sin(d) * F.cos(p), F.cos(d) - F.sin(p) * F.sin(q))
+    return F.when(valid_coordinate(lat, lng), F.struct(F.degrees(q).alias("lat"), F.degrees(x).alias("lng")))
