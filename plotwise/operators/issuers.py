@@ -201,4 +201,4 @@ def report(periods: DataFrame, located_rows: DataFrame, *keys: str) -> DataFrame
     at = located_rows.groupBy(*keys, "id").agg(F.max("lat").alias("lat"))
     n = periods.groupBy(*keys).agg(F.count_distinct("period_no").alias("periods"))
     one = last.join(at, [*keys, "id"], "left").groupBy(*keys).agg(F.count(F.lit(1)).alias("properties"), F.sum("points").alias("history_points"), F.count("lat").alias("with_coordinates"), F.count("v.noi").alias("with_noi"), F.count("v.cap").alias("with_cap"))
-    return one.join(n, list(keys)).select(*keys, "properties", "periods", "history_points", "with_coordinates", "with_noi", "with_cap")
+    return (one.join(n, list(keys)) if keys else one.join(n)).select(*keys, "properties", "periods", "history_points", "with_coordinates", "with_noi", "with_cap")

@@ -69,15 +69,20 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return profile.findings(_profile(spark, sf, profile.PERIOD, profile.REPORT))
 
 
+def _whole_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """All columns of both tables from their mergeable sketches."""
+    parts = [profile.profiled(profile.sketches(table(spark, sf, s.table), s), s) for s in (profile.PERIOD_ALL, profile.REPORT_ALL)]
+    return parts[0].unionByName(parts[1])
+
+
 def p6_profile(spark: SparkSession, sf: str) -> DataFrame:
     """The profile of every column of every load: ranges, forms and what breaks a range or a pattern included."""
-    rows = _profile(spark, sf, profile.PERIOD_ALL, profile.REPORT_ALL)
-    return rows.withColumns({c: F.round(c, 6) for c in ("median", "mean")})
+    return _whole_profile(spark, sf).withColumns({"median": F.round("median", 6), "mean": F.when(F.col("column_name").isin(*profile.RISING), F.round("mean", 3)).otherwise(F.round("mean", 7))})
 
 
 def p6_control(spark: SparkSession, sf: str) -> DataFrame:
     """Loads outside the control limits that their feed's history gives."""
-    rows = profile.control_limits(_profile(spark, sf, profile.PERIOD_ALL, profile.REPORT_ALL))
+    rows = profile.control_limits(_whole_profile(spark, sf))
     return rows.withColumns({c: F.round(c, 6) for c in ("value", "low", "high")})
 
 
@@ -92,21 +97,33 @@ states AS (
 _DIFFERS = "((a.v.{c} IS NULL) <> (b.v.{c} IS NULL) OR coalesce(abs(a.v.{c} - b.v.{c}) > 1e-6, false))"
 _CHANGED = f"({_DIFFERS.format(c='cap')} OR {_DIFFERS.format(c='appraisal')})"
 
-_NUMBERS = {"property_period": ["occupancy", "cap", "terminal_cap_rate", "discount_rate", "price", "book_value", "noi", "appraisal", "leasable_area", "leased_area", "tenants"], "quality_report": ["properties", "periods", "numeric_values", "evidence_complete", "evidence_coverage_percent", "with_coordinates", "coordinate_coverage_percent", "duplicate_ids", "errors", "warnings"]}
-_TEXTS = {"property_period": ["property_id", "reit", "reit_code", "type", "period", "as_of_date"], "quality_report": ["status", "schema_version"]}
+def _form_sql(c: str) -> str:
+    return f"regexp_replace(regexp_replace(regexp_replace({c}, '[a-zA-Z]', 'a', 'g'), '[0-9]', '9', 'g'), '[^\\P{{L}}a]', 'x', 'g')"
 
 
 def _profile_sql() -> str:
     parts = []
-    for t, columns in _NUMBERS.items():
-        for c in columns:
-            x = f"CAST({'totals.' if t == 'quality_report' else ''}{c} AS DOUBLE)"
-            parts.append(f"SELECT '{t}' AS table_name, '{c}' AS column_name, feed_id, load_no, count(*) AS rows, count(*) - count({x}) AS nulls, count(DISTINCT {x}) AS \"distinct\", min({x}) AS low, max({x}) AS high, quantile_cont({x}, 0.5) AS median FROM {t} GROUP BY feed_id, load_no")
-        for c in _TEXTS[t]:
-            parts.append(f"SELECT '{t}', '{c}', feed_id, load_no, count(*), count(*) - count({c}), count(DISTINCT {c}), NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE FROM {t} GROUP BY feed_id, load_no")
+    for spec in (profile.PERIOD_ALL, profile.REPORT_ALL):
+        for c in spec.checks:
+            x = f"epoch({c.name})" if c.time else f"CAST({c.source or c.name} AS {'DOUBLE' if c.numeric else 'VARCHAR'})"
+            out = [f"{x} {'<' if c.low_included else '<='} {c.low}"] if c.low is not None else []
+            out += [f"{x} > {c.high}"] if c.high is not None else []
+            bad = f"count(*) FILTER ({' OR '.join([*out, f'isnan({x})'])})" if out else "0"
+            odd = f"count(*) FILTER ({x} IS NOT NULL AND NOT (regexp_full_match({x}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND try_cast({x} AS DATE) IS NOT NULL))" if c.date else "0"
+            number = f"min({x}) AS low, max({x}) AS high, avg({x}) AS mean, quantile_disc({x}, 0.5) FILTER (NOT isnan({x})) AS median, {bad} AS out_of_range, 0 AS bad_pattern, 0 AS forms, NULL::VARCHAR AS low_form, NULL::VARCHAR AS high_form"
+            form = _form_sql(x)
+            text = f"NULL::DOUBLE AS low, NULL::DOUBLE AS high, NULL::DOUBLE AS mean, NULL::DOUBLE AS median, 0 AS out_of_range, {odd} AS bad_pattern, count(DISTINCT {form}) AS forms, min({form}) AS low_form, max({form}) AS high_form"
+            parts.append(f"SELECT '{spec.table}' AS table_name, '{c.name}' AS column_name, feed_id, load_no, count(*) AS rows, count(*) - count({x}) AS nulls, count(DISTINCT {x}) AS \"distinct\", {number if c.numeric else text} FROM {spec.table} WHERE feed_id IS NOT NULL AND load_no IS NOT NULL GROUP BY feed_id, load_no")
     return " UNION ALL ".join(parts)
 
 
+def _control_sql() -> str:
+    mean = "CASE WHEN NOT isnan(mean) AND column_name NOT IN ({}) THEN mean END".format(", ".join(f"'{c}'" for c in profile.RISING))
+    return f"""WITH p AS ({_profile_sql()}), f AS (SELECT table_name, column_name, feed_id, load_no, unnest([struct_pack(metric := 'null_share', value := nulls::DOUBLE / rows), struct_pack(metric := 'mean', value := {mean}), struct_pack(metric := 'distinct', value := "distinct"::DOUBLE)], recursive := true) FROM p),
+      w AS (SELECT *, count(value) OVER h AS k, avg(value) OVER h AS m, stddev_samp(value) OVER h AS d FROM f WINDOW h AS (PARTITION BY table_name, column_name, feed_id, metric ORDER BY load_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+      SELECT table_name, column_name, feed_id, load_no, metric, round(value, 6) AS value, round(m - 3 * d, 6) AS low, round(m + 3 * d, 6) AS high FROM w WHERE k >= 4 AND (value < m - 3 * d - 1e-9 OR value > m + 3 * d + 1e-9)"""
+
+
 def _found_sql() -> str:
     base = []
     for t, c, x in (("property_period", "occupancy", "occupancy"), ("quality_report", "evidence_coverage_percent", "totals.evidence_coverage_percent")):
@@ -139,5 +156,8 @@ SQL = {
       i AS (SELECT *, sum(start) OVER (PARTITION BY k ORDER BY s) AS island FROM f)
       SELECT k AS id, min(s) AS valid_from, max(s) AS valid_to, round(arg_min(v, s).cap, 6) AS cap, round(arg_min(v, s).appraisal, 6) AS appraisal FROM i GROUP BY k, island""",
     "p6_found": _found_sql(),
-    "p6_profile": f"SELECT table_name, column_name, feed_id, load_no, rows, nulls, \"distinct\", low, high, round(median, 6) AS median FROM ({_profile_sql()})",
+    "p6_profile": f"SELECT * REPLACE (round(median, 6) AS median, CASE WHEN column_name IN ({', '.join(f"'{c}'" for c in profile.RISING)}) THEN round(mean, 3) ELSE round(mean, 7) END AS mean) FROM ({_profile_sql()})",
+    "p6_control": _control_sql(),
+    "p3_periods": """SELECT record_id, CAST(i AS INT) AS period_pos, TRY_CAST(p->>'$.period_no' AS INT) AS period_no, coalesce(p->>'$.period', '') AS period, coalesce(p->>'$.as_of_date', '') AS as_of_date
+      FROM (SELECT record_id, i, json_extract(j, '$.periods[' || i || ']') AS p FROM (SELECT record_id, CAST(body AS JSON) AS j FROM canonical_property_period WHERE json_valid(body)), range(0, 1000) AS r(i) WHERE i < json_array_length(j, '$.periods'))""",
 }

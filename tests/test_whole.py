@@ -18,7 +18,7 @@ needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data"
 @needs_data
 def test_profile_covers_every_column(spark):
     got = entry.queries()["p6_profile"](spark, FOLDER)
-    assert {"out_of_range", "bad_pattern", "forms", "form_set", "mean", "low", "high"} <= set(got.columns)
+    assert {"out_of_range", "bad_pattern", "forms", "low_form", "high_form", "mean", "low", "high"} <= set(got.columns)
     seen = {(r.table_name, r.column_name) for r in got.select("table_name", "column_name").distinct().collect()}
     want = set()
     for t in ("property_period", "quality_report"):
@@ -47,6 +47,27 @@ def test_profile_shows_broken_columns(spark):
     assert {(r.column_name, r.out_of_range) for r in profile.metrics(edge, [profile.PERIOD_ALL]).where("column_name in ('cap', 'price') and load_no = 1").collect()} == {("cap", 4), ("price", 0)}
 
 
+def test_sketches_merge_and_equal_the_exact_profile(spark):
+    from plotwise.operators import profile
+
+    rnd = random.Random(3)
+    columns = "row_id bigint, feed_id string, load_no int, period_no int, loaded_at timestamp, as_of_date string, property_id string, reit string, reit_code string, type string, period string, " + ", ".join(f"{c} double" for c in profile.METRICS)
+    some = lambda x: None if rnd.random() < 0.2 else x
+    rows = [(k, some("F"), k % 3, some(k % 5), datetime.datetime(2024, 1, 1 + k % 9), some(f"2024-0{k % 12}-01"), some(f"P-{k % 40}"), "r", "R1", some("霞"), "", *(some(rnd.choice([math.nan, 0.0, -0.0, 101.0, rnd.random()])) for _ in profile.METRICS)) for k in range(300)]
+    df = spark.createDataFrame(rows, columns)
+    spec = profile.PERIOD_ALL
+    whole = profile.profiled(profile.sketches(df, spec), spec)
+    parts = profile.merged_sketches(*(profile.sketches(df.where(f"row_id % 4 = {k}"), spec) for k in range(4)))
+    names = ["column_name", "feed_id", "load_no", "rows", "nulls", "distinct", "low", "high", "out_of_range", "bad_pattern", "forms"]
+    plain = lambda d: sorted(map(repr, d.select(*names).collect()))
+    assert plain(whole) == plain(profile.profiled(parts, spec)) == plain(profile.metrics(profile.state(df, spec), [spec]))
+    middle = lambda xs: sorted(xs)[(len(xs) - 1) // 2] if xs else None
+    at = [c.split()[0] for c in columns.split(", ")].index("cap")
+    want = {n: middle([r[at] for r in rows if r[1] and r[2] == n and r[at] is not None and not math.isnan(r[at])]) for n in range(3)}
+    assert {r.load_no: r.median for r in whole.where("column_name = 'cap'").collect()} == {r.load_no: r.median for r in profile.profiled(parts, spec).where("column_name = 'cap'").collect()} == want
+    assert profile.profiled(profile.sketches(df.limit(0), spec), spec).count() == 0
+
+
 @needs_data
 def test_profile_keeps_what_the_sql_gives(spark):
     pytest.importorskip("duckdb")
