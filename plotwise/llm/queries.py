@@ -70,21 +70,25 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.report(mixing.mix(sizes, targets), mixing.quotas(sizes, targets))
 
 
-def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with the address they speak of: the type and the region of their property."""
+def _places(spark: SparkSession, sf: str) -> DataFrame:
+    """(property_id, address): the kind of place each property's documents speak of, its type and region."""
     pm = table(spark, sf, "property_master").where("id is not null").groupBy(F.col("id").alias("property_id")).agg(F.max_by(F.concat_ws("|", "type", "region"), "loaded_at").alias("address"))
+    return broadcast_if_small(materialize(pm), F.lit(48) + F.octet_length("property_id") + F.octet_length("address"))
+
+
+def _subject_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     docs = table(spark, sf, "documents").select("doc_id", "text", "source", "property_id")
-    return docs.join(broadcast_if_small(materialize(pm), F.lit(48) + F.octet_length("property_id") + F.octet_length("address")), "property_id", "left").select("doc_id", "text", "source", "address")
+    return docs, table(spark, sf, "subject_label"), table(spark, sf, "subject_ref"), _places(spark, sf)
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     """The subjects of every document."""
-    return subjects.subjects_of(_documents(spark, sf), table(spark, sf, "subject_label"), table(spark, sf, "subject_ref"))
+    return subjects.subjects_of(*_subject_tables(spark, sf))
 
 
 def p9_accuracies(spark: SparkSession, sf: str) -> DataFrame:
     """How accurate each labelling function is, as the latent model learned it, and how often it votes."""
-    return subjects.accuracies(_documents(spark, sf), table(spark, sf, "subject_label"), table(spark, sf, "subject_ref"))
+    return subjects.accuracies(*_subject_tables(spark, sf))
 
 
 def p9_composition(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,5 +106,8 @@ SQL = {
       names AS (SELECT reit_code, arg_max(reit, struct_pack(n := n, r := reit)) AS reit FROM (SELECT reit_code, regexp_replace(reit, '[\\s　]', '', 'g') AS reit, count(*) AS n FROM property_period WHERE reit IS NOT NULL GROUP BY 1, 2) GROUP BY reit_code),
       v AS (SELECT reit_code, load_no, metric, p, len(xs) AS n, xs, (len(xs) - 1) * p AS pos FROM g, (VALUES {_PROBS}) AS q(p))
       SELECT v.reit_code, names.reit, load_no, metric, p, n, round(xs[CAST(floor(pos) AS BIGINT) + 1] + (xs[CAST(ceil(pos) AS BIGINT) + 1] - xs[CAST(floor(pos) AS BIGINT) + 1]) * (pos - floor(pos)), 9) AS value FROM v LEFT JOIN names ON v.reit_code IS NOT DISTINCT FROM names.reit_code""",
+    # The bounds of the exact value's place among the states: its leading 12 bits of fraction, outward for negative values.
+    "p2_combined": f"""WITH long AS ({_LONG}), g AS (SELECT reit_code, metric, list(x ORDER BY x) AS xs FROM long GROUP BY reit_code, metric), v AS (SELECT reit_code, metric, p, len(xs) AS n, xs[CAST(floor((len(xs) - 1) * p) AS BIGINT) + 1] AS x FROM g, (VALUES {_PROBS}) AS q(p)), b AS (SELECT *, CASE WHEN x <> 0 THEN pow(2.0, floor(log2(abs(x))) - 12) END AS u FROM v)
+      SELECT reit_code, metric, p, n, CASE WHEN x = 0 THEN 0.0::DOUBLE WHEN x > 0 THEN floor(x / u) * u ELSE -(ceil(-x / u) * u) END AS low, CASE WHEN x = 0 THEN 1099511627775 * pow(2.0, -1074) WHEN x > 0 THEN floor(x / u) * u + u * (1 - pow(2.0, -40)) ELSE -(ceil(-x / u) * u - u * (1 - pow(2.0, -40))) END AS high FROM b""",
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

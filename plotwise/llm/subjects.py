@@ -43,7 +43,7 @@ class Lexicon:
     learned: bool
 
 
-# Sentences and terms are cut by Python's regular expressions in Arrow batches: as higher-order functions they take ten times the CPU.
+# Sentences and terms are cut by Python's regular expressions in Arrow batches: as higher-order functions, on sf0.1 in one task, the query took 25 s instead of 8.
 _WIDE = re.compile("[\uff01-\uff5e\u3000]")
 _PARAGRAPH = re.compile(r"\r?\n\s*\r?\n")
 _END = re.compile(r"[。!?\n\r]+|(?<=[A-Za-z)\]%0-9][.])\s+|(?<=[A-Za-z)\]][.])(?=[A-Z\u3040-\u30ff\u3400-\u9fff])")
@@ -224,18 +224,14 @@ def learn_accuracies(patterns: np.ndarray, counts: np.ndarray, n_subjects: int,
     return accuracy, prior, post
 
 
-def votes(docs: DataFrame, labels: DataFrame, lexicon: Lexicon, without: tuple[str, ...] = ()) -> DataFrame:
+def votes(docs: DataFrame, labels: DataFrame, lexicon: Lexicon, places: DataFrame | None = None, without: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, h, source, address, codes): a code for each sentence, in their order, that holds the votes of the lexicon and the section.
 
-    A vote is a subject's number, -1 to abstain. docs: doc_id, text, source, and optionally address, the kind of place it speaks
-    of. Functions named in `without` abstain. A text without sentences has no codes.
+    A vote is a subject's number, -1 to abstain. docs: doc_id, text, source, and property_id where there are places (property_id,
+    address), which meet the documents only after their texts are done with. Functions named in `without` abstain. A text
+    without sentences has no codes.
     """
     n = len(lexicon.subjects)
-    base = spread(docs.where("doc_id is not null and text is not null")).select("doc_id", "text", F.lower(F.trim("source")).alias("source"), (F.col("address") if "address" in docs.columns else F.lit(None).cast("string")).alias("address"))
-    for c in ("source", "address"):
-        table = broadcast_if_small(materialize(_lifts(base, labels, c, lexicon.subjects)), F.lit(32) + F.octet_length("value"))
-        voted = base.join(table.withColumnRenamed("value", c), c, "left") if c not in without else base.withColumn("vote", F.lit(-1))
-        base = voted.withColumn(c, F.coalesce("vote", F.lit(-1)).cast("int")).drop("vote")
     # The half that a term is in is the highest bit of its CRC.
     terms = {g: 2 * k + (zlib.crc32(g.encode()) >> 31) for g, k in lexicon.terms.items()}
     used = tuple(f not in without for f in FUNCTIONS[:3])
@@ -244,7 +240,23 @@ def votes(docs: DataFrame, labels: DataFrame, lexicon: Lexicon, without: tuple[s
     def codes(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: codes_of(t, terms, n, used))
 
-    return base.where(F.col("text").rlike(r"(?U)[^\s]")).select("doc_id", F.xxhash64("text").alias("h"), "source", "address", codes("text").alias("codes"))
+    def placed(rows: DataFrame) -> DataFrame:
+        """rows with address in place of property_id."""
+        if places is None:
+            return rows.withColumn("address", F.lit(None).cast("string"))
+        return rows.join(places, "property_id", "left").drop("property_id")
+
+    named = ["doc_id", F.lower(F.trim("source")).alias("source"), *(["property_id"] if places is not None else [])]
+    rows = spread(docs.where("doc_id is not null and text is not null")).where(F.col("text").rlike(r"(?U)[^\s]"))
+    out = placed(rows.select(*named, F.xxhash64("text").alias("h"), codes("text").alias("codes")))
+    plain = placed(docs.where("doc_id is not null and text is not null").select(*named))
+    for c in ("source", "address"):
+        if c in without:
+            out = out.withColumn(c, F.lit(-1))
+        else:
+            table = broadcast_if_small(materialize(_lifts(plain, labels, c, lexicon.subjects)), F.lit(32) + F.octet_length("value"))
+            out = out.join(table.withColumnRenamed("value", c), c, "left").withColumn(c, F.coalesce("vote", F.lit(-1)).cast("int")).drop("vote")
+    return out.select("doc_id", "h", "source", "address", "codes")
 
 
 @dataclass(frozen=True)
@@ -278,16 +290,16 @@ def _names(reference: DataFrame) -> list[str]:
     return [*sorted({r.subject for r in reference.select("subject").where("subject is not null").distinct().collect()} - {GENERAL}), GENERAL]  # the list of subjects
 
 
-def subjects_of(docs: DataFrame, labels: DataFrame, reference: DataFrame, share: float = SHARE, lexicon: Lexicon | None = None, without: tuple[str, ...] = ()) -> DataFrame:
+def subjects_of(docs: DataFrame, labels: DataFrame, reference: DataFrame, places: DataFrame | None = None, share: float = SHARE, lexicon: Lexicon | None = None, without: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, subject) of every document: its subjects, or GENERAL if it has none.
 
-    docs: doc_id, text, source and optionally address; labels: doc_id, subject; reference: subject, and optionally label_en and
+    docs: doc_id, text, source, and property_id where there are places (property_id, address), each property once; labels: doc_id, subject; reference: subject, and optionally label_en and
     label_ja. Null, empty and blank texts have no row. Repeated rows count once; labels of unknown subjects or documents don't
     matter; without labels the reference's own words decide. A lexicon learned elsewhere may be given.
     """
     names = _names(reference)
     lexicon = lexicon or learn_lexicon(docs, labels, reference, names)
-    seen = materialize(votes(docs, labels, lexicon, without))
+    seen = materialize(votes(docs, labels, lexicon, places, without))
     general = len(names) - 1
     table = docs.sparkSession.createDataFrame(learn_model(seen, lexicon).rows, "source int, address int, code int, post array<double>")  # bounded as the patterns are
     one = seen.select("doc_id", "h", "source", "address", F.explode_outer("codes").alias("code"))
@@ -297,8 +309,8 @@ def subjects_of(docs: DataFrame, labels: DataFrame, reference: DataFrame, share:
     return means.select("doc_id", F.explode(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(GENERAL)))).alias("subject")).distinct()
 
 
-def accuracies(docs: DataFrame, labels: DataFrame, reference: DataFrame) -> DataFrame:
+def accuracies(docs: DataFrame, labels: DataFrame, reference: DataFrame, places: DataFrame | None = None) -> DataFrame:
     """(function, accuracy, coverage): what the latent model learned of each labelling function, and its share of sentences with a vote."""
     lexicon = learn_lexicon(docs, labels, reference, _names(reference))
-    model = learn_model(materialize(votes(docs, labels, lexicon)), lexicon)
+    model = learn_model(materialize(votes(docs, labels, lexicon, places)), lexicon)
     return docs.sparkSession.createDataFrame(model.accuracies, "function string, accuracy double, coverage double")
