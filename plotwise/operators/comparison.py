@@ -16,7 +16,7 @@ from plotwise.operators.changes import MASTER, last_wins
 from plotwise.operators.quality import UNCLASSIFIED
 
 EVENTS = "property_id string, grp string, kind string, period_key string, field string, before_text string, after_text string, before double, after double"
-#: Kinds of events, as the totals count them.
+#: Kinds of events, as the totals count them.
 KINDS = ("properties_added", "properties_removed", "master_field_changes", "periods_added", "periods_removed", "metric_values_added", "metric_values_removed", "metric_values_changed", "evidence_relinked")
 
 
