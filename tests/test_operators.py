@@ -151,6 +151,18 @@ def test_pairs_and_names(spark):
     assert {tuple(r) for r in matching.contained_names(left, right).collect()} == {("霞ビル", "新霞ビル別館"), ("霞ビル", "ビル")}
 
 
+def test_contained_names_are_never_broadcast(spark):
+    from plotwise.operators import matching
+
+    names = ["霞", "霞ビル", "霞ビル霞ビル", "アマネル霞ヶ丘ビル", "新アマネル霞ヶ丘ビル別館", "アマネル霞ヶ原ビル", "ab", "xabababy", "ビル霞", "霞ビル"]
+    left, right = names[:6] + ["霞 ビル", "xabababy"], names[3:] + [None, "　"]
+    got = matching.contained_names(spark.createDataFrame([(n,) for n in left], "name string"), spark.createDataFrame([(n,) for n in right], "name string"))
+    clean = lambda ns: {n.replace(" ", "") for n in ns if n and n.strip()}
+    assert sorted(map(tuple, got.collect())) == sorted((a, b) for a in clean(left) for b in clean(right) if a in b or b in a)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_cells(spark):
     from plotwise.operators import cells
 
