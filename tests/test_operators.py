@@ -87,6 +87,32 @@ def test_comparables(spark):
     assert [tuple(r) for r in similarity.comparables(df.where("id = 'a'"), df).orderBy("rank").collect()] == [("a", "b", 100, 1), ("a", "c", 50, 2)]
 
 
+def test_comparables_score_few_pairs_exactly_and_miss_none(spark):
+    import random
+
+    rng = random.Random(5)
+    one = lambda x: None if rng.random() < 0.05 else math.nan if rng.random() < 0.02 else x
+    places = [(35.0, 139.0), (35.3, 139.4), (34.0, 179.999), (34.0, -179.999), (89.9, 20.0), (89.9, -160.0), (-12.0, 40.0)]
+    rows = []
+    for n in range(900):
+        lat, lng = places[n % 7 if n < 895 else 6]
+        size = round(math.exp(rng.gauss(7, 0.5)), 2)
+        rows.append((f"p{n:04}", "yz"[n % 13 == 0], one(lat + round(rng.gauss(0, 0.05), 3)), one(lng + round(rng.gauss(0, 0.05), 3)), one(size), one(size * rng.choice((1.0, 2.0, -1.0))), one(round(rng.gauss(4, 0.4), 1)), one(round(rng.gauss(4.2, 0.4), 1)), one(round(rng.gauss(96, 3), 1))))
+    rows += [("p9000", "y", 0.0, 0.0, *rows[1][4:]), ("p9050", "w", 35.0, 139.0, *rows[1][4:]), ("p9051", "w", 45.0, 139.0, *rows[2][4:])]
+    df = spark.createDataFrame(rows, "id string, type string, lat double, lng double, leasable_area double, price double, cap double, terminal_cap_rate double, occupancy double").cache()
+    queries = df.where("substring(id, 2) % 10 = 0")
+    q, r = similarity.derived(queries, "q_"), similarity.derived(df, "r_")
+    every = r.join(q, "type").where("q_id <> r_id").select("q_id", "r_id", similarity.score("q_", "r_").alias("score")).collect()
+    want = {}
+    for x in sorted(every, key=lambda x: (x.q_id, -x.score, x.r_id)):
+        want.setdefault(x.q_id, []).append((x.r_id, x.score))
+    got = {}
+    for x in similarity.comparables(queries, df).orderBy("base_id", "rank").collect():
+        got.setdefault(x.base_id, []).append((x.id, x.score))
+    assert got == {i: xs[:5] for i, xs in want.items()}
+    assert similarity.candidates(q, r).count() < len(every) / 10
+
+
 def test_quality_and_changes(spark):
     df = spark.createDataFrame([("a", 101.0, math.nan), ("a", 50.0, 0.0), ("", None, 4.0)], "id string, occupancy double, cap double")
     df = df.withColumns({m: F.lit(None).cast("double") for m in S.METRICS if m not in ("occupancy", "cap")})
